@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaudit import config as C
 from plaudit.functions.text import clean_text, text_digest
-from plaudit.operators.scale import attach_group_values, dense_index
+from plaudit.operators.scale import attach_group_values, compute_once, dense_index
 
 
 def clean_reviews(raw: DataFrame, cfg: C.CleanConfig = C.CleanConfig()) -> DataFrame:
@@ -15,7 +15,7 @@ def clean_reviews(raw: DataFrame, cfg: C.CleanConfig = C.CleanConfig()) -> DataF
     present = raw.filter(F.col("comment").isNotNull())
     if cfg.na_tokens:
         present = present.filter(~F.col("comment").isin(*cfg.na_tokens))
-    cleaned = present.withColumn("comment", clean_text(F.col("comment")))
+    cleaned = compute_once(present, "comment", clean_text(F.col("comment")))
     return cleaned.filter(
         (F.length("comment") >= cfg.min_chars) & F.col("star").between(cfg.min_star, cfg.max_star)
     )
@@ -80,7 +80,7 @@ def corpus_profile(reviews: DataFrame, lengths_of: str = "comment",
         .alias("empty_comment"),
         (F.sum(F.col("chars") * F.col("freq")) / F.sum(F.when(F.col("chars").isNotNull(), F.col("freq"))))
         .alias("len_mean"),
-        F.percentile("chars", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), "freq").alias("q"),
+        F.percentile("chars", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("freq")).alias("q"),
         F.max("chars").alias("len_max"),
     )
     by_item = reviews.groupBy("item").agg(F.count(F.lit(1)).alias("n"))

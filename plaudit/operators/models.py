@@ -23,18 +23,28 @@ from plaudit.functions import scoring as S
 def attach_lexicon_scores(reviews: DataFrame, lexicon: C.SentimentLexicon = C.SentimentLexicon(),
                           threshold=0.5, text: str = "comment") -> DataFrame:
     """Word-list scorer: deterministic, row-local, no training."""
-    dist = S.binomial_ratings(F.col("p_pos"))
-    return (
-        reviews.withColumn("p_pos", S.lexicon_p_pos(F.col(text), lexicon))
-        .withColumn("pred_sent", S.verdict(F.col("p_pos"), threshold))
-        .withColumn("__dist", dist)
-        .withColumn("exp_rating", S.expected_rating(F.col("__dist")))
-        .withColumn("pred_rating", S.best_rating(F.col("__dist")))
-        .withColumn("p_rating", S.best_rating_p(F.col("__dist")))
-        .drop("__dist")
+    scored = reviews.withColumn("p_pos", S.lexicon_p_pos(F.col(text), lexicon))
+    return _rating_columns(
+        scored.withColumns(
+            {
+                "pred_sent": S.verdict(F.col("p_pos"), threshold),
+                "__dist": S.binomial_ratings(F.col("p_pos")),
+            }
+        )
     )
 
 
+def _rating_columns(with_dist: DataFrame) -> DataFrame:
+    dist = F.col("__dist")
+    return with_dist.withColumns(
+        {
+            "exp_rating": S.expected_rating(dist),
+            "pred_rating": S.best_rating(dist),
+            "p_rating": S.best_rating_p(dist),
+        }
+    ).drop("__dist")
+
+
 @dataclass(frozen=True)
 class ReviewModel:
     """Features, a sentiment model and a rating model that also sees the verdict."""
@@ -103,12 +113,8 @@ def score_reviews(model: ReviewModel, reviews: DataFrame) -> DataFrame:
     rated = model.rating.transform(scored.withColumn("verdict_feature", F.col("pred_sent").cast("double")))
     # Class 0 never occurs: ratings are their own class labels 1..5.
     dist = F.slice(vector_to_array("rating_probability"), 2, 5)
-    return (
-        rated.withColumn("__dist", dist)
-        .withColumn("exp_rating", S.expected_rating(F.col("__dist")))
-        .withColumn("pred_rating", S.best_rating(F.col("__dist")))
-        .withColumn("p_rating", S.best_rating_p(F.col("__dist")))
-        .select(*reviews.columns, "p_pos", "pred_sent", "exp_rating", "pred_rating", "p_rating")
+    return _rating_columns(rated.withColumn("__dist", dist)).select(
+        *reviews.columns, "p_pos", "pred_sent", "exp_rating", "pred_rating", "p_rating"
     )
 
 

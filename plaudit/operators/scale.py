@@ -33,6 +33,16 @@ def _local_checkpoint_folder(spark: SparkSession) -> str:
     return f"/tmp/plaudit-checkpoints-{uuid.uuid4().hex}"
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Like ``withColumn``, but filters on the column stay above it. Spark pushes a filter
+    through a projection and then evaluates the expression in both; it cannot push one through
+    a generator, and this one yields a single element."""
+    rest = [F.col(c) for c in df.columns if c != name]
+    order = df.columns if name in df.columns else [*df.columns, name]
+    made = df.select(*rest, F.explode_outer(F.array(value)).alias(name))
+    return made.select(*order)
+
+
 def attach_group_values(
     fact: DataFrame,
     groups: DataFrame,
@@ -63,11 +73,14 @@ def attach_group_values(
         )
     )
     same = _null_safe([(F.col(k), F.col(f"__hot_{k}")) for k in keys])
-    marked = fact.join(F.broadcast(hot_rows), same, "left").drop(*[f"__hot_{k}" for k in keys])
+    salt = F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    marked = fact.join(F.broadcast(hot_rows), same, "left").select(
+        *fact.columns,
+        "__hot",
+        F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(salt).alias("__salt"),
+    )
     if keep is not None:
         marked = marked.filter(F.col("__hot").isNull() | keep(F.col("__hot")))
-    salt = F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(SALTS))
-    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(salt))
     cold = groups.select(
         *[F.col(k).alias(f"__cold_{k}") for k in keys],
         F.lit(0).cast("bigint").alias("__cold_salt"),
@@ -144,9 +157,14 @@ def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
     """
     quantiles = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
     edges = df.agg(F.percentile_approx(by, quantiles, 100_000).alias("edges")).scalar()
-    placed = df.withColumn("__edges", F.array_distinct(edges)).withColumn(
-        "__bucket", F.size(F.filter("__edges", lambda e: e < F.col(by)))
-    ).drop("__edges")
+    # The coalesce makes the bucket not nullable. Otherwise the join below would infer a null
+    # test, which Spark pushes down to the scan with the whole expression of ``by`` in it.
+    above_edges = F.size(F.filter("__edges", lambda e: e < F.col(by)))
+    placed = (
+        df.withColumn("__edges", F.array_distinct(edges))
+        .withColumn("__bucket", F.coalesce(above_edges, F.lit(0)))
+        .drop("__edges")
+    )
     totals = placed.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     above = W.orderBy(F.desc("__bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

@@ -85,7 +85,7 @@ def day_cut(base: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataFrame:
     weight = F.col("movie_day_count") if cfg.day_over == "rows" else F.lit(1)
     volumes = item_days(base).groupBy("movie_day_count").agg(F.sum(weight).alias("freq"))
     return volumes.agg(
-        F.percentile("movie_day_count", F.lit(cfg.day_quantile), "freq").alias("day_burst_p999")
+        F.percentile("movie_day_count", F.lit(cfg.day_quantile), F.col("freq")).alias("day_burst_p999")
     )
 
 
@@ -128,14 +128,14 @@ def with_text_groups(base: DataFrame) -> DataFrame:
         base, groups, ["item", "norm_key"], "dup_same_movie_size", ["row_id"]
     )
     one = F.lit(1)
-    return (
-        out.withColumn("dup_same_movie_size", F.coalesce("dup_same_movie_size", one))
-        .withColumn("text_movie_count", F.coalesce("text_movie_count", one))
-        .withColumn("text_total_count", F.coalesce("text_total_count", one))
-        .withColumn(
-            "template_size",
-            F.coalesce("template_size", F.when(F.col("template_key").isNull(), 0).otherwise(1)),
-        )
+    no_template = F.when(F.col("template_key").isNull(), 0).otherwise(1)
+    return out.withColumns(
+        {
+            "dup_same_movie_size": F.coalesce("dup_same_movie_size", one),
+            "text_movie_count": F.coalesce("text_movie_count", one),
+            "text_total_count": F.coalesce("text_total_count", one),
+            "template_size": F.coalesce("template_size", no_template),
+        }
     )
 
 
@@ -150,14 +150,15 @@ def spam_detail(base: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataFram
     sized = with_user_groups(with_text_groups(base))
     cut = day_cut(base, cfg).scalar()
     real = F.col("norm_len") > 0 if cfg.ignore_empty else F.lit(True)
-    flagged = (
-        sized.withColumn("day_burst_p999", cut)
-        .withColumn("dup_same_movie", real & (F.col("dup_same_movie_size") >= cfg.dup_same_min))
-        .withColumn("dup_cross_movie", real & (F.col("text_movie_count") >= cfg.dup_cross_items))
-        .withColumn("template", F.col("template_size") >= cfg.template_min)
-        .withColumn("user_burst", F.col("user_movie_day_count") >= cfg.burst_min)
-        .withColumn("user_repeat", F.col("user_movie_count") >= cfg.repeat_min)
-        .withColumn("movie_day_burst", F.col("movie_day_count") > F.col("day_burst_p999"))
+    flagged = sized.withColumn("day_burst_p999", cut).withColumns(
+        {
+            "dup_same_movie": real & (F.col("dup_same_movie_size") >= cfg.dup_same_min),
+            "dup_cross_movie": real & (F.col("text_movie_count") >= cfg.dup_cross_items),
+            "template": F.col("template_size") >= cfg.template_min,
+            "user_burst": F.col("user_movie_day_count") >= cfg.burst_min,
+            "user_repeat": F.col("user_movie_count") >= cfg.repeat_min,
+            "movie_day_burst": F.col("movie_day_count") > F.col("day_burst_p999"),
+        }
     )
     return score_signals(flagged, cfg).select(
         "row_id", "item", "star", "likes", *C.SIGNALS,
@@ -173,11 +174,13 @@ def score_signals(flagged: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> Dat
     for name, weight in cfg.weights.items():
         points = points + F.when(F.col(name), weight).otherwise(0)
     names = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in cfg.weights]))
-    return (
-        flagged.withColumn("spam_points", F.least(F.lit(100), points))
-        .withColumn("spam_score", F.col("spam_points") / 100)
-        .withColumn("is_suspect", F.col("spam_points") >= cfg.suspect_at)
-        .withColumn("reasons", names)
+    total = F.least(F.lit(100), points)
+    return flagged.withColumn("spam_points", total).withColumns(
+        {
+            "spam_score": F.col("spam_points") / 100,
+            "is_suspect": F.col("spam_points") >= cfg.suspect_at,
+            "reasons": names,
+        }
     )
 
 

@@ -366,7 +366,8 @@ def plugged_scores(spark, sf):
             pos = tokens.map(lambda ws: sum(w in positive for w in ws)).to_numpy()
             neg = tokens.map(lambda ws: sum(w in negative for w in ws)).to_numpy()
             p = (pos + 1.0) / (pos + neg + 2.0)
-            dist = np.stack([(1 - p) ** 4, 4 * p * (1 - p) ** 3, 6 * p**2 * (1 - p) ** 2, 4 * p**3 * (1 - p), p**4], 1)
+            q = 1 - p
+            dist = np.stack([q * q * q * q, 4 * p * q * q * q, 6 * p * p * q * q, 4 * p * p * p * q, p * p * p * p], 1)
             return pd.DataFrame({
                 "p_pos": p, "pred_sent": (p >= 0.5).astype("int32"),
                 "exp_rating": dist @ np.arange(1.0, 6.0),

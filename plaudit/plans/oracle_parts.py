@@ -71,7 +71,7 @@ def scored(source: str) -> str:
     return f"""with_p AS (SELECT *, {lexicon_p("comment")} AS p_pos FROM {source}),
 with_dist AS (SELECT *, CAST(CASE WHEN p_pos >= 0.5 THEN 1 ELSE 0 END AS INT) AS pred_sent,
   {BINOMIAL} AS dist FROM with_p),
-scored AS (SELECT * EXCLUDE (dist),
+scored AS MATERIALIZED (SELECT * EXCLUDE (dist),
   dist[1] + 2 * dist[2] + 3 * dist[3] + 4 * dist[4] + 5 * dist[5] AS exp_rating,
   CAST(list_position(dist, list_max(dist)) AS INT) AS pred_rating,
   list_max(dist) AS p_rating FROM with_dist)"""
@@ -102,14 +102,14 @@ CLAUSES = f"""clause_list AS (
     lambda c: length(c) >= {ASPECTS.min_clause_chars}) AS cs FROM clean)"""
 
 HITS = """numbered AS (
-  SELECT row_id, item, likes, unnest(cs) AS clause, generate_subscripts(cs, 1) AS at FROM clause_list),
-firsts AS (SELECT row_id, item, likes, clause, min(at) AS at FROM numbered GROUP BY ALL),
+  SELECT row_id, item, likes, unnest(cs) AS clause, generate_subscripts(cs, 1) AS place FROM clause_list),
+firsts AS (SELECT row_id, item, likes, clause, min(place) AS place FROM numbered GROUP BY ALL),
 hits AS (SELECT * FROM (
   SELECT *, list_filter([{tests}], lambda a: a IS NOT NULL) AS aspects FROM firsts)
   WHERE len(aspects) > 0),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY at) - 1 AS pos FROM hits),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY place) - 1 AS pos FROM hits),
 top3 AS (SELECT * FROM ordered WHERE pos < {k}),
-mentions AS (SELECT row_id, item, likes, CAST(pos AS INT) AS pos, clause, {p} AS p,
+mentions AS MATERIALIZED (SELECT row_id, item, likes, CAST(pos AS INT) AS pos, clause, {p} AS p,
   unnest(aspects) AS aspect FROM top3)""".format(
     tests=", ".join(
         f"CASE WHEN {_aspect_test(k)} THEN {q(a)} END" for a, k in ASPECTS.lexicon.items()
@@ -210,7 +210,7 @@ flagged AS (SELECT *, dup_same_movie_size >= 2 AS dup_same_movie, text_movie_cou
   movie_day_count > day_burst_p999 AS movie_day_burst FROM sized, cut),
 pointed AS (SELECT *, least(100, {_POINTS}) AS spam_points,
   array_to_string(list_filter([{_REASONS}], lambda r: r IS NOT NULL), '|') AS reasons FROM flagged),
-detail AS (SELECT *, spam_points / 100::DOUBLE AS spam_score, spam_points >= 50 AS is_suspect FROM pointed)"""
+detail AS MATERIALIZED (SELECT *, spam_points / 100::DOUBLE AS spam_score, spam_points >= 50 AS is_suspect FROM pointed)"""
 
 SPAM_SUMMARY = """summary AS (SELECT item, count(*) AS n_reviews, count(*) FILTER (WHERE is_suspect) AS n_suspect,
   avg(is_suspect::INT) AS suspect_rate, sum(spam_points) / count(*)::DOUBLE / 100 AS mean_spam_score,
