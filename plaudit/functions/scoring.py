@@ -78,10 +78,10 @@ def like_weight(likes: Column) -> Column:
 
 
 def spread_hash(row_id: Column, seed: int = 0) -> Column:
-    """Multiplicative hash to 0 .. 2^32-1. The row id is first reduced below 2^31, so the
-    product always fits a BIGINT."""
-    small = F.pmod(row_id, F.lit(1 << 31))
-    return F.pmod(small * F.lit(C.HASH_MULTIPLIER) + F.lit(seed), F.lit(1 << 32))
+    """Multiplicative hash of ``row_id + seed`` to 0 .. 2^32-1. The sum is first reduced below
+    2^31, so the product always fits a BIGINT."""
+    small = F.pmod(F.pmod(row_id, F.lit(1 << 31)) + F.lit(seed), F.lit(1 << 31))
+    return F.pmod(small * F.lit(C.HASH_MULTIPLIER), F.lit(1 << 32))
 
 
 def split_bucket(row_id: Column, buckets: int = 1000) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.operators.scale import running_totals
+from plaudit.operators.scale import running_totals, stable_copy
 
 
 def _labelled(scored: DataFrame) -> DataFrame:
@@ -66,14 +66,14 @@ def score_steps(scored: DataFrame) -> DataFrame:
     steps = _labelled(scored).groupBy("p").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    return running_totals(steps, "p", ["pos", "neg"])
+    return running_totals(stable_copy(steps), "p", ["pos", "neg"])
 
 
 def best_threshold(scored: DataFrame) -> DataFrame:
     """One row: the cut with the highest F1 of the good class; the highest cut on a tie.
     With no labelled row the threshold is 0.5."""
     steps = score_steps(scored)
-    totals = _labelled(scored).agg(F.count_if(F.col("label") == 1).alias("t")).scalar()
+    totals = steps.agg(F.sum("pos")).scalar()
     precision = _ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     recall = _ratio(F.col("cum_pos"), F.col("__all"))
     f1 = steps.withColumn("__all", totals).select("p", _f1(precision, recall).alias("f1"))
@@ -109,7 +109,7 @@ def auc(scored: DataFrame) -> DataFrame:
     steps = score_steps(scored)
     good, bad = F.sum("pos"), F.sum("neg")
     beaten = F.col("__bad") - F.col("cum_neg") + F.col("neg") / 2.0
-    total_bad = _labelled(scored).agg(F.count_if(F.col("label") == 0).alias("b")).scalar()
+    total_bad = steps.agg(F.sum("neg")).scalar()
     return steps.withColumn("__bad", total_bad).agg(
         F.try_divide(F.sum(F.col("pos") * beaten), (good * bad).cast("double")).alias("auc"),
         good.alias("n_pos"),

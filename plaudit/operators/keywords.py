@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plaudit import config as C
 from plaudit.functions.text import word_tokens
-from plaudit.operators.scale import attach_group_values, top_per_group
+from plaudit.operators.scale import attach_group_values, stable_copy, top_per_group
 
 
 def word_bags(reviews: DataFrame, cfg: C.KeywordConfig = C.KeywordConfig(),
@@ -35,6 +35,7 @@ def log_odds(bags: DataFrame, cfg: C.KeywordConfig = C.KeywordConfig()) -> DataF
     return through size-aware joins, because one word can occur in every item and one item
     can hold most of the words.
     """
+    bags = stable_copy(bags)
     both = F.col("y") + F.col("x")
     by_word = bags.groupBy("word").agg(
         F.sum(both).alias("bg"), F.count(F.lit(1)).alias("__items")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,25 +14,39 @@ from pyspark.sql import functions as F
 from plaudit.functions.scoring import spread_hash
 
 HOT_GROUPS = 1024
+BROADCAST_ROWS = 200_000
 SALTS = 4096
 SAMPLE_BUCKETS = 1024
 SAMPLE_SALTS = 64
 QUANTILE_BUCKETS = 1024
 
 
-def stable_copy(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the session; survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or _local_checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, from the session; a new temporary one on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="plaudit-")
+    return f"{folder}/plaudit-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write once to the shared folder and read back, with the number of rows.
+
+    For an intermediate result that is used several times: it is not computed again, later
+    plans stay short and know its size, and it survives lost executors. The count reads only
+    the footers.
+    """
+    copy = stable_copy(df)
+    return copy, copy.count()
 
 
-def _local_checkpoint_folder(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"/tmp/plaudit-checkpoints-{uuid.uuid4().hex}"
+def stable_copy(df: DataFrame) -> DataFrame:
+    """The table that ``stored`` writes, without counting it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -54,55 +70,51 @@ def attach_group_values(
     """Left-join one row per group back to the rows of the group, whatever the skew.
 
     ``size`` is a column of ``groups`` with the number of fact rows of the group (or a number
-    that grows with it). The ``HOT_GROUPS`` largest groups come from a bounded top-k, so the
-    broadcast never has more rows than that. Their fact rows then take a random-looking salt
-    into the shuffle and match nothing there, which spreads them; a group left for the shuffle
-    holds at most 1/HOT_GROUPS of all rows. Keys compare null-safe, as grouping does.
-
-    ``keep`` is an optional filter on the struct of attached values. Rows of hot groups that
-    fail it are dropped before the shuffle. Rows whose group is missing from ``groups`` stay.
+    that grows with it). The groups are stored first, which gives their exact number. Up to
+    BROADCAST_ROWS of them are broadcast, and the fact table is not shuffled at all. Beyond
+    that, the HOT_GROUPS largest ones are broadcast; their fact rows take a salt into the
+    shuffle that joins the others, match nothing there and are spread evenly. A group left for
+    the shuffle holds at most 1/HOT_GROUPS of all rows. Keys compare null-safe, as grouping does.
+
+    ``keep`` is an optional filter on the struct of attached values. Rows of broadcast groups
+    that fail it are dropped before any shuffle. Rows whose group is missing from ``groups``
+    stay, with NULL values.
     """
     values = [c for c in groups.columns if c not in keys]
-    hot_rows = (
-        groups.filter(F.col(size) > 1)
-        .orderBy(F.desc(size), *keys)
-        .limit(HOT_GROUPS)
-        .select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            F.struct(*values).alias("__hot"),
-        )
-    )
-    same = _null_safe([(F.col(k), F.col(f"__hot_{k}")) for k in keys])
-    salt = F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(SALTS))
-    marked = fact.join(F.broadcast(hot_rows), same, "left").select(
-        *fact.columns,
-        "__hot",
-        F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(salt).alias("__salt"),
-    )
+    kept = [c for c in fact.columns if c not in values]
+    groups, rows = stored(groups)
+    if rows <= BROADCAST_ROWS:
+        found = _left_join(fact, F.broadcast(_packed(groups, keys, values)), keys)
+        return _unpacked(found, kept, values, keep)
+    largest = groups.filter(F.col(size) > 1).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
+    marked = _left_join(fact, F.broadcast(_packed(largest, keys, values)), keys)
     if keep is not None:
-        marked = marked.filter(F.col("__hot").isNull() | keep(F.col("__hot")))
-    cold = groups.select(
-        *[F.col(k).alias(f"__cold_{k}") for k in keys],
-        F.lit(0).cast("bigint").alias("__cold_salt"),
-        F.struct(*values).alias("__cold"),
+        marked = marked.filter(F.col("__found").isNull() | keep(F.col("__found")))
+    salt = F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    marked = marked.withColumnRenamed("__found", "__hot").withColumn(
+        "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(salt)
     )
-    same = _null_safe(
-        [(F.col(k), F.col(f"__cold_{k}")) for k in keys] + [(F.col("__salt"), F.col("__cold_salt"))]
+    rest = _packed(groups.withColumn("__salt", F.lit(0).cast("bigint")), [*keys, "__salt"], values)
+    joined = _left_join(marked, rest, [*keys, "__salt"])
+    both = joined.withColumn("__found", F.coalesce("__hot", "__found"))
+    return _unpacked(both, kept, values, keep)
+
+
+def _packed(groups: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return groups.select(
+        *[F.col(k).alias(f"__key_{k}") for k in keys], F.struct(*values).alias("__found")
     )
-    joined = marked.join(cold, same, "left")
-    found = F.coalesce(F.col("__hot"), F.col("__cold"))
-    if keep is not None:
-        joined = joined.filter(found.isNull() | keep(found))
-    kept = [F.col(c) for c in fact.columns if c not in values]
-    return joined.select(*kept, *[found[v].alias(v) for v in values])
 
 
-def _null_safe(pairs: list[tuple[Column, Column]]) -> Column:
-    test = None
-    for left, right in pairs:
-        one = left.eqNullSafe(right)
-        test = one if test is None else test & one
-    return test
+def _left_join(fact: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return fact.join(groups, same, "left").drop(*[f"__key_{k}" for k in keys])
+
+
+def _unpacked(found: DataFrame, kept: list[str], values: list[str], keep) -> DataFrame:
+    if keep is not None:
+        found = found.filter(F.col("__found").isNull() | keep(F.col("__found")))
+    return found.select(*kept, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def top_per_group(
@@ -149,7 +161,8 @@ def sample_per_group(
 
 
 def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
-    """Running sums in descending order of ``by``, which must be unique and not null.
+    """Running sums in descending order of ``by``, which must be unique and not null; ``df``
+    should be stored, as it is read three times.
 
     Quantiles of ``by`` cut the rows into buckets of about equal size. Each bucket runs its own
     window, and the totals of the buckets above it (at most QUANTILE_BUCKETS rows) are added.
@@ -157,12 +170,10 @@ def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
     """
     quantiles = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
     edges = df.agg(F.percentile_approx(by, quantiles, 100_000).alias("edges")).scalar()
-    # The coalesce makes the bucket not nullable. Otherwise the join below would infer a null
-    # test, which Spark pushes down to the scan with the whole expression of ``by`` in it.
     above_edges = F.size(F.filter("__edges", lambda e: e < F.col(by)))
     placed = (
         df.withColumn("__edges", F.array_distinct(edges))
-        .withColumn("__bucket", F.coalesce(above_edges, F.lit(0)))
+        .withColumn("__bucket", above_edges)
         .drop("__edges")
     )
     totals = placed.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])

@@ -1,7 +1,8 @@
 """Ten signals of suspicious reviews, scores, reasons and summaries.
 
-``signal_base`` reads the text once and leaves narrow rows. Everything after it groups and
-joins those; group sizes are counted with partial aggregation and joined back size-aware.
+``signal_base`` reads the text once and leaves narrow rows; store its result (``stable_copy``),
+as everything after it reads it more than once. Group sizes are counted with partial
+aggregation and joined back size-aware.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from plaudit import config as C
 from plaudit.functions.scoring import star_label
 from plaudit.functions.text import is_advert, normalize_text, template_head, text_digest
-from plaudit.operators.scale import attach_group_values, top_per_group
+from plaudit.operators.scale import attach_group_values, stable_copy, top_per_group
 
 
 def day_number(date: Column) -> Column:
@@ -48,8 +49,10 @@ def signal_base(reviews: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataF
 def text_groups(base: DataFrame) -> DataFrame:
     """Per item and normalised text: copies in the item, items and copies overall, and rows of
     the item with the same opening."""
-    same = base.groupBy("item", "norm_key", "template_key").agg(
-        F.count(F.lit(1)).alias("dup_same_movie_size")
+    same = stable_copy(
+        base.groupBy("item", "norm_key", "template_key").agg(
+            F.count(F.lit(1)).alias("dup_same_movie_size")
+        )
     )
     across = same.groupBy("norm_key").agg(
         F.count(F.lit(1)).alias("text_movie_count"),
@@ -96,7 +99,7 @@ def user_groups(base: DataFrame) -> DataFrame:
     )
     # A (user, item) window holds one row per day, however many reviews there are.
     per_item = F.sum("user_movie_day_count").over(W.partitionBy("user_id", "item"))
-    daily = daily.withColumn("user_movie_count", per_item)
+    daily = stable_copy(daily.withColumn("user_movie_count", per_item))
     volume = daily.groupBy("item", "day_no").agg(
         F.sum("user_movie_day_count").alias("movie_day_count"), F.count(F.lit(1)).alias("__users")
     )
@@ -105,7 +108,7 @@ def user_groups(base: DataFrame) -> DataFrame:
 
 def user_features(base: DataFrame) -> DataFrame:
     """Behaviour of each review's user, with the user's total over all items."""
-    groups = user_groups(base)
+    groups = stable_copy(user_groups(base))
     totals = groups.groupBy("user_id").agg(
         F.sum("user_movie_day_count").alias("user_total"), F.count(F.lit(1)).alias("__days")
     )

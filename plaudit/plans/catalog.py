@@ -3,7 +3,6 @@ SQL can state it. Sums of floats are rounded to six digits, because engines add
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +22,7 @@ from plaudit.operators import sampling as P
 from plaudit.operators import serving as V
 from plaudit.operators import spam as X
 from plaudit.operators import vocab as B
+from plaudit.operators.scale import shared_folder, stable_copy
 from plaudit.plans import oracle_parts as O
 from plaudit.sources import driver_tables as D
 from plaudit.sources import readers, sinks
@@ -55,14 +55,6 @@ def _joined(col: str, sep: str = " ") -> Column:
     return F.array_join(F.col(col).cast("array<string>"), sep).alias(col)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """Folder for a query that writes and reads back: shared on a cluster, local in tests."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/plaudit-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plaudit-")
-
-
 def clean(spark: SparkSession, sf: str) -> DataFrame:
     return N.clean_reviews(D.reviews(spark, sf))
 
@@ -87,7 +79,7 @@ _PRED = ["row_id", "item", "star", "likes", "p_pos", "pred_sent", "exp_rating",
 @query(O.base_scored() + f"SELECT row_id, item, star, likes, p_pos, pred_sent, {_sql_r('exp_rating')}, pred_rating, {_sql_r('p_rating')} FROM scored")
 def prediction_shards(spark, sf):
     """Segments written one by one, one of them twice, and read back as one table."""
-    path = _scratch(spark) + "/predictions"
+    path = shared_folder(spark) + "/predictions"
     preds = scored(spark, sf).select(*_PRED)
     sinks.write_segments(preds, path, 250)
     sinks.write_segments(preds, path, 250, start=0, end=500)
@@ -103,7 +95,7 @@ def item_scan(spark, sf):
 @query(O.base() + "SELECT row_id, item, item_label, user_id, day_no, star, likes, comment FROM clean")
 def csv_round_trip(spark, sf):
     """Raw CSV written and read with quoting, mapped to reviews and cleaned."""
-    path = _scratch(spark) + "/raw"
+    path = shared_folder(spark) + "/raw"
     rows = D.reviews(spark, sf)
     raw = rows.select(
         F.col("row_id").alias("ID"),
@@ -520,7 +512,8 @@ FROM rates JOIN ev USING (item, aspect) JOIN n USING (item)""")
 def aspects_nested(spark, sf):
     """Sampled reviews mined and nested per item, then unfolded again for comparison."""
     sample = P.sample_reviews_per_item(clean(spark, sf), 30, 42)
-    table = A.aspect_table(A.aspect_mentions(sample, clause_score, D.ASPECTS), D.ASPECTS)
+    mentions = stable_copy(A.aspect_mentions(sample, clause_score, D.ASPECTS))
+    table = A.aspect_table(mentions, D.ASPECTS)
     nested = A.aspects_by_item(table, sample)
     rows = nested.select("item", "n_sampled", F.posexplode("aspects").alias("pos", "a"))
     texts = lambda side: F.array_join(F.transform(F.col(f"a.{side}"), lambda e: e["clause"]), " / ").alias(side)
@@ -619,13 +612,17 @@ _BOARD = (O.STATS, O.CLAUSES, O.HITS, O.RATES.replace("rates AS", "rates AS", 1)
 
 
 def _pros_cons(spark, sf):
-    rows = clean(spark, sf)
-    table = A.aspect_table(A.aspect_mentions(rows, clause_score, D.ASPECTS), D.ASPECTS)
-    return A.pros_and_cons(table, rows, cfg=D.ASPECTS)
+    mentions = stable_copy(_mentions(spark, sf))
+    table = stable_copy(A.aspect_table(mentions, D.ASPECTS))
+    return A.pros_and_cons(table, clean(spark, sf), cfg=D.ASPECTS)
+
+
+def _spam_base(spark, sf):
+    return stable_copy(X.signal_base(scored(spark, sf), D.SPAM))
 
 
 def _detail(spark, sf):
-    return X.spam_detail(X.signal_base(scored(spark, sf), D.SPAM), D.SPAM)
+    return X.spam_detail(_spam_base(spark, sf), D.SPAM)
 
 
 def _board(spark, sf):
@@ -687,7 +684,7 @@ def _text_query(name: str, test: Callable[[], Column], *sizes: str):
     """One signal on text groups."""
 
     def run(spark, sf):
-        base = X.signal_base(scored(spark, sf), D.SPAM)
+        base = _spam_base(spark, sf)
         return X.with_text_groups(base).select("row_id", *sizes, test().alias(name))
 
     run.__name__ = f"signal_{name}"
@@ -698,7 +695,7 @@ def _user_query(name: str, test: Callable[[], Column], *sizes: str):
     """One signal on user groups."""
 
     def run(spark, sf):
-        base = X.signal_base(scored(spark, sf), D.SPAM)
+        base = _spam_base(spark, sf)
         return X.with_user_groups(base).select("row_id", *sizes, test().alias(name))
 
     run.__name__ = f"signal_{name}"
@@ -747,7 +744,7 @@ def day_burst_days(spark, sf):
 
 @query(O.base_scored(O.SPAM) + "SELECT row_id, user_id, day_no AS day, user_total, user_movie_count, user_movie_day_count, movie_day_count FROM detail")
 def user_features(spark, sf):
-    return X.user_features(X.signal_base(scored(spark, sf), D.SPAM))
+    return X.user_features(_spam_base(spark, sf))
 
 
 @query(O.base_scored(O.SPAM) + f"SELECT row_id, item, {', '.join(C.SIGNALS)}, CAST(spam_points AS INT) AS spam_points, spam_score, is_suspect, reasons, dup_same_movie_size, text_total_count, text_movie_count, template_size FROM detail")
@@ -803,10 +800,10 @@ SELECT s.item, n_suspect, spam_ad AS ad, spam_template AS template, spam_low_inf
 def spam_nested_json(spark, sf):
     """Nested summary written as JSON and read back with its schema."""
     rows = scored(spark, sf)
-    detail = X.spam_detail(X.signal_base(rows, D.SPAM), D.SPAM)
+    detail = stable_copy(_detail(spark, sf))
     top = X.suspect_texts(X.rank_suspects(detail, D.SPAM), rows, D.SPAM)
     nested = X.nested_spam_summary(X.spam_summary(detail), top)
-    path = _scratch(spark) + "/spam_json"
+    path = shared_folder(spark) + "/spam_json"
     sinks.write_json(nested, path)
     back = spark.read.schema(nested.schema).json(path)
     return back.select(
@@ -824,10 +821,9 @@ def leaderboard(spark, sf):
 
 @query(O.base_scored(*_BOARD) + f"SELECT item, n_reviews, {_sql_r('final_score', 'suspect_rate')}, replace(pros, '、', ',') AS pros, replace(cons, '、', ',') AS cons FROM board")
 def item_list(spark, sf):
-    detail = _detail(spark, sf)
     scores = R.item_scores(R.item_stats(scored(spark, sf)))
     summary = R.item_summary(scores, _pros_cons(spark, sf))
-    out = V.list_items(summary, X.spam_summary(detail))
+    out = V.list_items(summary, X.spam_summary(_detail(spark, sf)))
     return out.select("item", "n_reviews", *_r("final_score", "suspect_rate"), _joined("pros", ","), _joined("cons", ","))
 
 
@@ -910,9 +906,9 @@ _CHECKS = {
 
 def _checks_table(spark, sf):
     rows = scored(spark, sf)
-    scores = R.item_scores(R.item_stats(rows))
-    detail = X.spam_detail(X.signal_base(rows, D.SPAM), D.SPAM)
-    per_item = X.spam_summary(detail)
+    scores = stable_copy(R.item_scores(R.item_stats(rows)))
+    detail = stable_copy(_detail(spark, sf))
+    per_item = stable_copy(X.spam_summary(detail))
     return Q.all_checks(
         Q.summary_checks(scores), Q.prediction_checks(rows), Q.spam_checks(per_item, detail),
         Q.aspect_checks(_pros_cons(spark, sf)), Q.totals_check(scores, per_item))
@@ -962,7 +958,7 @@ def _event_stream(spark, sf):
 
 
 def _run_stream(spark, df: DataFrame) -> DataFrame:
-    folder = _scratch(spark)
+    folder = shared_folder(spark)
     jobs.write_stream(df, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
@@ -984,7 +980,7 @@ def stream_burst(spark, sf):
 
 @query()
 def stream_scores(spark, sf):
-    folder = _scratch(spark)
+    folder = shared_folder(spark)
     schema = D.table(spark, sf, "documents").schema
     docs = jobs.read_stream(spark, sf, schema, "documents.parquet")
     rows = docs.select(F.col("doc_id").alias("row_id"), T.clean_text(F.col("text")).alias("comment"))

@@ -38,7 +38,7 @@ def lexicon_p(col: str) -> str:
 
 
 def spread(col: str, seed: int) -> str:
-    return f"((({col} % 2147483648) * {C.HASH_MULTIPLIER} + {seed}) % 4294967296)"
+    return f"(((({col} + {seed}) % 2147483648) * {C.HASH_MULTIPLIER}) % 4294967296)"
 
 
 REVIEWS = """reviews AS (

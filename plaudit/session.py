@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, name: str = "plaudit") -> SparkSession:
-    spark = (
+def local_session(cores: int = 8, name: str = "plaudit", shared: str | None = None) -> SparkSession:
+    """``shared`` is the folder for stored intermediates; a temporary one if not given."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -16,7 +17,9 @@ def local_session(cores: int = 8, name: str = "plaudit") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
