@@ -98,4 +98,5 @@ def word_tokens(text: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """Array of the code points of a text; empty for an empty text."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    empty = F.array().cast("array<string>")
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(empty)

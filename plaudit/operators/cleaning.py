@@ -45,7 +45,9 @@ def dedup_keep_first(
 def item_dimension(raw: DataFrame, name: str = "item", label: str = "item_label",
                    row_id: str = "row_id") -> DataFrame:
     """Distinct items with their first label and dense ids by name, from unfiltered rows."""
-    first = raw.groupBy(name).agg(F.min_by(label, row_id).alias(label))
+    # The first step has plain numbers in its buffers and reduces in the map tasks.
+    pairs = raw.groupBy(name, label).agg(F.min(row_id).alias("__first"))
+    first = pairs.groupBy(name).agg(F.min_by(label, "__first").alias(label))
     return dense_index(first, [name], "item_id").select("item_id", name, label)
 
 
@@ -85,11 +87,13 @@ def corpus_profile(reviews: DataFrame, lengths_of: str = "comment",
     )
     by_item = reviews.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     items = by_item.agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.count_if(F.col("n") >= 100).alias("items_ge100"),
-        F.count_if(F.col("n") >= 1000).alias("items_ge1000"),
-        F.count_if(F.col("n") < 10).alias("items_lt10"),
-    )
+        F.struct(
+            F.count(F.lit(1)).alias("n_items"),
+            F.count_if(F.col("n") >= 100).alias("items_ge100"),
+            F.count_if(F.col("n") >= 1000).alias("items_ge1000"),
+            F.count_if(F.col("n") < 10).alias("items_lt10"),
+        ).alias("i")
+    ).scalar()
     copies = (
         reviews.groupBy(*dedup_keys, text_digest(text).alias("__d"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -97,7 +101,7 @@ def corpus_profile(reviews: DataFrame, lengths_of: str = "comment",
     )
     return lengths.select(
         "n_rows",
-        items.select("n_items").scalar().alias("n_items"),
+        items["n_items"].alias("n_items"),
         copies.scalar().alias("dup_global"),
         "empty_comment",
         "len_mean",
@@ -105,9 +109,9 @@ def corpus_profile(reviews: DataFrame, lengths_of: str = "comment",
         F.col("q")[1].alias("len_p90"),
         F.col("q")[2].alias("len_p99"),
         "len_max",
-        items.select("items_ge100").scalar().alias("items_ge100"),
-        items.select("items_ge1000").scalar().alias("items_ge1000"),
-        items.select("items_lt10").scalar().alias("items_lt10"),
+        items["items_ge100"].alias("items_ge100"),
+        items["items_ge1000"].alias("items_ge1000"),
+        items["items_lt10"].alias("items_lt10"),
     )
 
 

@@ -125,9 +125,7 @@ def score_distinct_texts(rows: DataFrame, text: str, score: Callable[[DataFrame]
     from plaudit.operators.scale import attach_group_values
 
     keyed = rows.withColumn("__key", text_digest(F.col(text)))
-    distinct = keyed.groupBy("__key").agg(
-        F.any_value(text).alias(text), F.count(F.lit(1)).alias("__rows")
-    )
+    distinct = keyed.groupBy("__key", text).agg(F.count(F.lit(1)).alias("__rows"))
     scored = score(distinct).drop(text)
     spread = [c for c in rows.columns if c != text]
     return attach_group_values(keyed, scored, ["__key"], "__rows", spread or [text]).drop("__key", "__rows")

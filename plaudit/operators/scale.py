@@ -17,7 +17,8 @@ HOT_GROUPS = 1024
 BROADCAST_ROWS = 200_000
 SALTS = 4096
 SAMPLE_BUCKETS = 1024
-SAMPLE_SALTS = 64
+TOP_SALTS = 64
+GROUP_LIMIT = 1000
 QUANTILE_BUCKETS = 1024
 
 
@@ -120,8 +121,14 @@ def _unpacked(found: DataFrame, kept: list[str], values: list[str], keep) -> Dat
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
-    """First ``k`` rows per group. For small ``k`` Spark cuts every map task to ``k`` rows per
-    group before the shuffle, so a hot group reaches its task as a few rows."""
+    """First ``k`` rows per group; ``order`` must be total. Up to GROUP_LIMIT Spark cuts every
+    map task to ``k`` rows per group before the shuffle, so a hot group reaches its task as a
+    few rows. Beyond that, salted parts of the groups are cut to ``k`` rows first."""
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(TOP_SALTS))
+        salted = df.withColumn("__top", salt)
+        part = F.row_number().over(W.partitionBy(*keys, "__top").orderBy(*order))
+        df = salted.withColumn("__cut", part).filter(F.col("__cut") <= k).drop("__top", "__cut")
     ranked = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k)
 
@@ -132,8 +139,7 @@ def sample_per_group(
     """Exactly ``min(n, size)`` rows per group, chosen by a seeded hash of the row id.
 
     A histogram of the hash per group finds the bucket in which the n-th row lies; everything
-    above it is dropped in the scan. What is left is ranked in two steps, so that the last
-    step sees at most ``SAMPLE_SALTS * n`` rows of a group.
+    above it is dropped in the scan, and what is left is ranked.
     """
     width = (1 << 32) // SAMPLE_BUCKETS
     hashed = df.withColumn("__h", spread_hash(F.col(row_id), seed)).withColumn(
@@ -154,10 +160,7 @@ def sample_per_group(
         hashed, cut, keys, "__size", [row_id], keep=lambda g: F.col("__bucket") <= g["__last"]
     )
     order = [F.asc("__h"), F.asc(row_id)]
-    near = near.withColumn("__part", F.pmod(F.col("__h"), F.lit(SAMPLE_SALTS)))
-    first = top_per_group(near, [*keys, "__part"], order, n, "__r1")
-    last = top_per_group(first, keys, order, n, "__r2")
-    return last.select(*df.columns)
+    return top_per_group(near, keys, order, n, "__rank").select(*df.columns)
 
 
 def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:

@@ -62,7 +62,9 @@ def text_groups(base: DataFrame) -> DataFrame:
         same.filter(F.col("template_key").isNotNull())
         .groupBy("item", "template_key")
         .agg(F.sum("dup_same_movie_size").alias("template_size"), F.count(F.lit(1)).alias("__texts"))
+        .filter(F.col("__texts") > 1)
     )
+    alone = F.when(F.col("template_key").isNotNull(), F.col("dup_same_movie_size")).otherwise(0)
     out = attach_group_values(
         same, across.filter(F.col("text_movie_count") > 1), ["norm_key"], "text_movie_count", ["item"]
     )
@@ -71,7 +73,7 @@ def text_groups(base: DataFrame) -> DataFrame:
         "item", "norm_key", "dup_same_movie_size",
         F.coalesce("text_movie_count", F.lit(1)).alias("text_movie_count"),
         F.coalesce("text_total_count", "dup_same_movie_size").alias("text_total_count"),
-        F.coalesce("template_size", F.lit(0)).alias("template_size"),
+        F.coalesce("template_size", alone).alias("template_size"),
     )
 
 

@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit import config as C
-from plaudit.functions.scoring import lexicon_p_pos
+from plaudit.functions.scoring import lexicon_p_pos, star_label
 from plaudit.operators import aspects as A
 from plaudit.operators import checks as Q
+from plaudit.operators import evaluation as E
 from plaudit.operators import keywords as K
 from plaudit.operators import models as M
 from plaudit.operators import ratings as R
 from plaudit.operators import spam as S
 from plaudit.operators.cleaning import clean_reviews, dedup_keep_first
-from plaudit.operators.sampling import sample_reviews_per_item
+from plaudit.operators import vocab as B
+from plaudit.operators.sampling import random_subset, sample_reviews_per_item, sample_texts, with_split
+from plaudit.operators.scale import stable_copy
 from plaudit.sources import sinks
 
 
@@ -32,6 +35,35 @@ class BatchConfig:
     keywords: C.KeywordConfig = field(default_factory=C.KeywordConfig)
     ratings: C.RatingConfig = C.RatingConfig()
     spam: C.SpamConfig = field(default_factory=C.SpamConfig)
+    split: C.SplitConfig = C.SplitConfig()
+    sequences: C.SequenceConfig = C.SequenceConfig()
+    max_val_rows: int = 15_000
+
+
+def validation_metrics(predictions: DataFrame, split: C.SplitConfig, max_rows: int = 15_000) -> DataFrame:
+    """Calibration record and rating error on a subset of the validation rows."""
+    rows = predictions.select(
+        "row_id", "star", "pred_rating", F.col("p_pos").alias("p"),
+        star_label(F.col("star")).alias("label"),
+    )
+    val = stable_copy(
+        random_subset(with_split(rows, split).filter(F.col("split") == "val"), max_rows)
+    )
+    error = E.rating_error(val).select(F.struct("rating_acc", "rating_mae").alias("e")).scalar()
+    return E.calibrate(val).withColumn("__e", error).select("*", "__e.*").drop("__e")
+
+
+def prepare_sequences(reviews: DataFrame, out: str, cfg: BatchConfig = BatchConfig()) -> dict[str, DataFrame]:
+    """Vocabulary and encoded reviews: supervised train and validation rows, prompts for all."""
+    spark = reviews.sparkSession
+    sinks.write_table(B.build_vocab(sample_texts(reviews), cfg.sequences), f"{out}/vocab")
+    vocab = spark.read.parquet(f"{out}/vocab")
+    labelled = with_split(reviews, cfg.split).filter(F.col("split") != "rest")
+    supervised = B.encode_supervised(labelled, vocab, cfg.sequences)
+    sinks.write_table(supervised.select("row_id", "star", "split", "ids", "labels"), f"{out}/supervised", ["split"])
+    prompts = B.encode_prompts(reviews, vocab, cfg.sequences)
+    sinks.write_table(prompts.select("row_id", "ids"), f"{out}/prompts")
+    return {n: spark.read.parquet(f"{out}/{n}") for n in ("vocab", "supervised", "prompts")}
 
 
 def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
@@ -77,6 +109,7 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     per_item = save("spam_summary", S.spam_summary(detail))
     suspects = save("suspects", S.rank_suspects(detail, cfg.spam))
     save("top_suspects", S.suspect_texts(suspects, reviews, cfg.spam))
+    save("metrics", validation_metrics(predictions, cfg.split, cfg.max_val_rows))
     scores = R.item_scores(R.item_stats(predictions), cfg.ratings)
     summary = save("summary", R.item_summary(scores, pros_cons, per_item))
     save("report", sinks.report_blocks(summary, pros_cons))

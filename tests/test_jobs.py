@@ -43,7 +43,7 @@ def test_segments_can_be_written_again(spark, tmp_path):
 
 def test_whole_batch(spark, tmp_path):
     raw = spark.createDataFrame(make_rows(400), SCHEMA).drop("p_pos")
-    cfg = batch.BatchConfig(aspects=C.AspectConfig(min_mentions=3), keywords=C.KeywordConfig(min_count=2))
+    cfg = batch.BatchConfig(split=C.SplitConfig(val_below=300, train_below=700), aspects=C.AspectConfig(min_mentions=3), keywords=C.KeywordConfig(min_count=2))
     tables = batch.run(raw, str(tmp_path), cfg)
     n = tables["reviews"].count()
     assert tables["summary"].agg(F.sum("n_reviews")).first()[0] == n == tables["spam_detail"].count()
@@ -53,7 +53,15 @@ def test_whole_batch(spark, tmp_path):
     assert block.startswith("## m") and "疑似刷评" in block
     sinks.write_csv(tables["summary"], str(tmp_path / "csv"))
     sinks.write_json(tables["pros_cons"], str(tmp_path / "json"))
-    sinks.write_report(tables["report"], str(tmp_path / "report"))
+    sinks.write_report(tables["report"], str(tmp_path / "report"), sinks.report_header(tables["summary"]))
+    text = spark.read.text(str(tmp_path / "report"), wholetext=True).collect()
+    assert any("影评总数：**%d**" % n in r.value for r in text)
+    metrics = tables["metrics"].first()
+    assert metrics.n > 0 and 0 <= metrics.rating_acc <= 1
+    seq = batch.prepare_sequences(tables["reviews"], str(tmp_path / "seq"), cfg)
+    assert seq["prompts"].count() == n
+    assert {r.split for r in seq["supervised"].select("split").distinct().collect()} <= {"train", "val"}
+    assert seq["supervised"].filter(F.size("ids") != F.size("labels")).count() == 0
     csv = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert csv.count() == tables["summary"].count() and "final_score" in csv.columns
     assert spark.read.json(str(tmp_path / "json")).count() == tables["pros_cons"].count()

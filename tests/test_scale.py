@@ -114,3 +114,13 @@ def test_compute_once_is_not_evaluated_below_the_filter(spark):
     plan = df.filter(F.length("v") > 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("concat(") == 1
     assert df.columns == ["id", "v"] and df.count() == 5
+
+
+def test_large_k_is_cut_in_salted_parts(spark, monkeypatch):
+    monkeypatch.setattr(scale, "GROUP_LIMIT", 10)
+    df = skewed(spark)
+    got = scale.top_per_group(df, ["k"], [F.desc("id")], 25).groupBy("k").agg(F.sum("id").alias("s")).collect()
+    by_key = {}
+    for r in df.collect():
+        by_key.setdefault(r.k, []).append(r.id)
+    assert {r.k: r.s for r in got} == {k: sum(sorted(v)[-25:]) for k, v in by_key.items()}
