@@ -24,8 +24,8 @@ def clean_text(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Only CJK ideographs, ASCII letters and digits survive."""
-    return F.regexp_replace(text, C.NON_WORD_PATTERN, "")
+    """Only CJK ideographs, ASCII letters and digits survive. Whole runs are dropped at once."""
+    return F.regexp_replace(text, C.NON_WORD_PATTERN + "+", "")
 
 
 def template_head(norm: Column, chars: int) -> Column:

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from plaudit import config as C
 from plaudit.functions.scoring import star_label
 from plaudit.functions.text import is_advert, normalize_text, template_head, text_digest
-from plaudit.operators.scale import attach_group_values, stable_copy, top_per_group
+from plaudit.operators.scale import (
+    BROADCAST_ROWS,
+    attach_group_values,
+    stable_copy,
+    stored,
+    top_per_group,
+)
 
 
 def day_number(date: Column) -> Column:
@@ -223,10 +229,13 @@ def rank_suspects(detail: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> Data
 
 
 def suspect_texts(suspects: DataFrame, reviews: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataFrame:
-    """Adds the opening of the text. Written to a table first, the suspects are a side whose
-    size Spark knows, and it need not shuffle the reviews."""
+    """Adds the opening of the text. There are a few suspects per item; stored and counted, they
+    are broadcast to the reviews unless the items are very many."""
+    few, rows = stored(suspects)
     text = reviews.select("row_id", F.substring("comment", 1, cfg.shown_chars).alias("comment"))
-    return suspects.join(text, "row_id", "inner")
+    return text.join(F.broadcast(few) if rows <= BROADCAST_ROWS else few, "row_id", "inner").select(
+        *suspects.columns, "comment"
+    )
 
 
 def nested_spam_summary(summary: DataFrame, top: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _key(row):
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return None if math.isnan(v) else v
     return v
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plaudit.operators import scale
 from plaudit.operators.cleaning import dedup_keep_first, item_dimension, map_item_ids
-from plaudit.operators.sampling import random_subset, sample_reviews_per_item, sample_texts
+from plaudit.operators.sampling import random_subset, sample_reviews_per_item, sample_texts, split_counts, with_key_split
 
 
 def skewed(spark, n=3000):
@@ -124,3 +124,11 @@ def test_large_k_is_cut_in_salted_parts(spark, monkeypatch):
     for r in df.collect():
         by_key.setdefault(r.k, []).append(r.id)
     assert {r.k: r.s for r in got} == {k: sum(sorted(v)[-25:]) for k, v in by_key.items()}
+
+
+def test_key_split_is_stable(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("a"), F.lit("x").alias("b"))
+    split = with_key_split(df, ["a", "b"])
+    assert split.groupBy("a", "b").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    sizes = {r.split: r.n for r in split_counts(split).collect()}
+    assert sum(sizes.values()) == 2000 and 200 < sizes["train"] < 560
