@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plaudit.llm import quality_rules, url_filters
+from plaudit.llm import quality_rules, url_filters, warc
 
-MODULES = (quality_rules, url_filters)
+MODULES = (warc, quality_rules, url_filters)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
