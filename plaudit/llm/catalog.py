@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plaudit.llm import quality_rules, url_filters, warc
+from plaudit.llm import mixing, quality_rules, url_filters, warc
 
-MODULES = (warc, quality_rules, url_filters)
+MODULES = (warc, mixing, quality_rules, url_filters)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -63,3 +63,9 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int) -> Column:
     """True for documents whose crc32 of the id as text leaves no remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Bound the Arrow batches that Python tasks get by bytes: rows may be long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
