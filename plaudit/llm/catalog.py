@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plaudit.llm import mixing, packing, quality_rules, url_filters, warc
+from plaudit.llm import mixing, packing, quality_crf, quality_rules, url_filters, warc
 
-MODULES = (packing, warc, mixing, quality_rules, url_filters)
+MODULES = (packing, quality_crf, warc, mixing, quality_rules, url_filters)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
