@@ -48,8 +48,8 @@ class CrfConfig:
     sample: int = 8_000
     window: int = 64
     steps: int = 150
-    rate: float = 0.1
-    penalty: float = 1e-3
+    rate: float = 0.3
+    penalty: float = 1e-4
     threshold: float = 0.3
     folds: int = 5
 
