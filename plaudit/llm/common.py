@@ -69,3 +69,11 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Bound the Arrow batches that Python tasks get by bytes: rows may be long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per key of a stored table whose rows with equal keys are alike. Only if keys repeat
+    (counted on the keys alone) do the rows themselves move."""
+    if df.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return df
+    return df.dropDuplicates(keys)
