@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plaudit.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_crf, quality_rules, url_filters, warc
+from plaudit.llm import fingerprints, gru_lm, jaccard_join, line_dedup, mixing, packing, quality_crf, quality_rules, url_filters, warc
 
-MODULES = (packing, quality_crf, warc, fingerprints, jaccard_join, line_dedup, mixing, quality_rules, url_filters)
+MODULES = (packing, quality_crf, warc, gru_lm, fingerprints, jaccard_join, line_dedup, mixing, quality_rules, url_filters)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
