@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -21,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plaudit-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -77,3 +81,31 @@ def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     if df.groupBy(*keys).count().filter("count > 1").isEmpty():
         return df
     return df.dropDuplicates(keys)
+
+
+def map_columns(
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], tuple[list | None, dict[str, list]]],
+    new: dict[str, str],
+    drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """Add or replace columns by Python in Arrow batches; all other columns pass through as they
+    are, whatever their types and nulls. ``work`` returns the rows to take (None: each once, as
+    they stand) and the values of the ``new`` columns (name, type) for them."""
+    parsed = {k: T._parse_datatype_string(v) for k, v in new.items()}
+    fields = [T.StructField(f.name, parsed.get(f.name, f.dataType)) for f in df.schema if f.name not in drop]
+    fields += [T.StructField(k, v) for k, v in parsed.items() if k not in df.columns]
+    schema = T.StructType(fields)
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            take, made = work(batch)
+            rest = [n for n in target.names if n not in made]
+            rows = batch.select(rest) if take is None else batch.select(rest).take(pa.array(take, pa.int64()))
+            arrays = [pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name) for f in target]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(target, arrays)]))
+
+    return df.mapInArrow(run, schema)

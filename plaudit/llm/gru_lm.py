@@ -403,7 +403,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, weights))
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id")
-    rows = docs.select("doc_id", key, F.xxhash64(text_of()).alias("th"), text_of().alias("text"), held_out(F.col("doc_id"), config.folds).alias("held_out"))
+    rows = docs.select(key, F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, w = shared.value
@@ -415,12 +415,12 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         waiting, size = [], 0
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame(held, columns=["doc_id", "id", "th", "held_out", "n_tokens", "known", "base", "net", "rare"])
+            out = pd.DataFrame(held, columns=["id", "th", "n_tokens", "known", "base", "net", "rare"])
             out["net"] += log_likelihoods(net, waiting, end)
             return out
 
         for batch in batches:
-            for doc, i, th, text, apart in zip(batch["doc_id"], batch["id"], batch["th"], batch["text"], batch["held_out"]):
+            for i, th, text in zip(batch["id"], batch["th"], batch["text"]):
                 tokens = tokens_of(text)
                 ids = _ids(tokens, words)
                 times = Counter(tokens)
@@ -436,7 +436,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
                     if word not in words.ids:
                         inside += b
                 tails = ids[ids >= net.n_words] - net.n_words
-                held.append((doc, i, th, apart, len(tokens), n_known, base, inside - log_mass[tails].sum(), rare))
+                held.append((i, th, len(tokens), n_known, base, inside - log_mass[tails].sum(), rare))
                 waiting.append(ids)
                 size += len(ids)
             if size >= config.held_tokens:
@@ -445,7 +445,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         if held:
             yield flush()
 
-    schema = "doc_id long, id long, th long, held_out boolean, n_tokens long, known long, base double, net double, rare array<struct<word: binary, n: bigint>>"
+    schema = "id long, th long, n_tokens long, known long, base double, net double, rare array<struct<word: binary, n: bigint>>"
     scored = stored(rows.mapInPandas(run, schema))
     rare = one_per_key(scored.select("id", "th", "rare"), ["id", "th"]).select("id", "th", F.explode("rare").alias("r"))
     met = rare.select("id", "th", F.col("r.word").alias("word"), F.col("r.n").alias("n")).join(counts, "word", "left")
@@ -455,9 +455,9 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         F.sum(F.col("n") * share).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rest_known")
     )
     full = scored.drop("rare").join(sums, ["id", "th"], "left")
-    rest = F.coalesce("rest", F.lit(0.0))
+    rest, doc_id = F.coalesce("rest", F.lit(0.0)), F.when(F.col("id") != NO_ID, F.col("id"))
     return full.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
+        doc_id.alias("doc_id"), held_out(doc_id, config.folds).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("net") + rest).alias("score"),
     )
 

@@ -18,10 +18,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import bounded_batches, one_per_key, stored, table, text_of
+from plaudit.llm.common import bounded_batches, map_columns, one_per_key, stored, table, text_of
 
 MARKS = np.zeros(256, bool)
 MARKS[list(b".!?;|")] = True
@@ -209,22 +210,20 @@ def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
     found = repeats(docs, config).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__id")
     met = docs.join(found, key & (F.hash(text_of()) == F.col("__th")), "left").select(*[docs[c] for c in docs.columns], "__runs")
-    columns = docs.columns
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, removed = batch["text"].tolist(), np.zeros(len(batch), np.int64)
-            sizes = batch["n_chars"].tolist() if "n_chars" in columns else None
-            for i, runs in enumerate(batch["__runs"]):
-                if runs is not None and len(runs):
-                    texts[i], removed[i] = without_runs(texts[i], [(r["first"], r["last"]) for r in runs], config)
-                    if sizes is not None:
-                        sizes[i] = len(texts[i])
-            out = batch[columns].assign(text=pd.Series(texts, batch.index, dtype=object), removed_words=removed)
-            yield out if sizes is None else out.assign(n_chars=sizes)
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "removed_words long"])
-    return met.mapInPandas(cut, schema)
+    sized = "n_chars" in docs.columns
+
+    def cut(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
+        texts, removed = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
+        sizes = batch.column("n_chars").to_pylist() if sized else []
+        for i, runs in enumerate(batch.column("__runs").to_pylist()):
+            if runs:
+                texts[i], removed[i] = without_runs(texts[i], [(r["first"], r["last"]) for r in runs], config)
+                if sized:
+                    sizes[i] = len(texts[i])
+        return None, {"text": texts, "removed_words": removed} | ({"n_chars": sizes} if sized else {})
+
+    new = {"text": "string", "removed_words": "long"} | ({"n_chars": docs.schema["n_chars"].dataType.simpleString()} if sized else {})
+    return map_columns(met, cut, new, drop=("__runs",))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

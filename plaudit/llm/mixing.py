@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import bounded_batches, stored, table, text_of, word_count
+from plaudit.llm.common import bounded_batches, map_columns, stored, table, text_of, word_count
 
 
 
@@ -30,10 +31,10 @@ class MixConfig:
 
     weights: tuple[int, ...] = (1, 2, 3)
     cap: int = 3
-    block: int = 64
+    block: int = 256
     slots: int = 4096
     seed: int = 8
-    part_docs: int = 20_000
+    part_docs: int = 5_000
 
 
 def source_targets(sizes: pd.DataFrame, config: MixConfig = MixConfig()) -> pd.DataFrame:
@@ -203,31 +204,27 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     placed, pieces, _ = mix_plan(docs, config)
-    per_doc = pieces.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "words", "shard", "slot")).alias("pieces"))
+    listed = F.collect_list(F.struct("first", "words", "shard", "slot")).alias("__pieces")
+    per_doc = pieces.groupBy(F.col("doc_id").alias("__of"), F.col("th").alias("__of_th")).agg(listed)
     text = docs.withColumn("__th", F.xxhash64(text_of()))
     if not placed.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         text = text.dropDuplicates(["doc_id", "__th"])  # their pieces are in one list
-    met = text.join(per_doc, text["doc_id"].eqNullSafe(per_doc["doc_id"]) & (F.col("__th") == F.col("th")))
-    rows = met.select(*[text[c] for c in docs.columns], "pieces")
-    names, at = docs.columns, docs.columns.index("text")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                starts = word_starts(row[at])
-                out = []
-                for p in sorted(row[-1], key=lambda p: (p["shard"], p["slot"], p["first"])):
-                    a, b = p["first"], p["first"] + p["words"]
-                    begin = 0 if a == 0 else starts[a]
-                    piece = row[at][begin : starts[b] if b < len(starts) else None]
-                    made = list(row[:-1])
-                    made[at] = piece
-                    if "n_chars" in names:
-                        made[names.index("n_chars")] = len(piece)
-                    out.append(made)
-                yield pd.DataFrame(out, columns=names, dtype=object)
-
-    return rows.mapInPandas(cut, docs.schema)
+    met = text.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__th") == F.col("__of_th")))
+    rows = met.select(*docs.columns, "__pieces")
+    sized = "n_chars" in docs.columns
+
+    def cut(batch: pa.RecordBatch) -> tuple[list, dict[str, list]]:
+        take, out = [], []
+        for i, (text, pieces) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__pieces").to_pylist())):
+            starts = word_starts(text)
+            for p in sorted(pieces, key=lambda p: (p["shard"], p["slot"], p["first"])):
+                a, b = p["first"], p["first"] + p["words"]
+                take.append(i)
+                out.append(text[0 if a == 0 else starts[a] : starts[b] if b < len(starts) else None])
+        return take, {"text": out} | ({"n_chars": [len(x) for x in out]} if sized else {})
+
+    new = {"text": "string"} | ({"n_chars": docs.schema["n_chars"].dataType.simpleString()} if sized else {})
+    return map_columns(rows, cut, new, drop=("__pieces",))
 
 
 def word_starts(text: str) -> list[int]:

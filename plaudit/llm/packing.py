@@ -83,7 +83,8 @@ def pieces(docs: DataFrame, n_tokens: Column, config: PackConfig = PackConfig())
 
 def pack(docs: DataFrame, n_tokens: Column | None = None, config: PackConfig = PackConfig()) -> DataFrame:
     """The batch plan: a row per piece with ``bucket`` (0 is the shortest), ``bucket_length``,
-    ``batch``, ``slot`` and ``padding`` beside the columns of ``pieces`` (without the hash).
+    ``batch``, ``slot`` and ``padding`` beside the columns of
+    ``pieces``; ``text_hash`` (xxhash64) tells the texts of one id apart.
 
     ``n_tokens`` defaults to the words of the text (null: none). Batches of a bucket are full but
     for the last. The order inside a bucket is drawn by hash, so reruns agree; repeated rows are
@@ -109,7 +110,7 @@ def pack(docs: DataFrame, n_tokens: Column | None = None, config: PackConfig = P
     length = F.element_at(array, F.col("bucket") + 1)
     fit = F.floor(F.lit(config.budget) / length)
     return numbered.select(
-        "doc_id", "piece", "first", "n_tokens", "bucket", length.alias("bucket_length"), F.floor(index / fit).alias("batch"),
+        "doc_id", F.col("th").alias("text_hash"), "piece", "first", "n_tokens", "bucket", length.alias("bucket_length"), F.floor(index / fit).alias("batch"),
         (index % fit).cast("int").alias("slot"), (length - F.col("n_tokens")).alias("padding"),
     )
 
@@ -117,8 +118,9 @@ def pack(docs: DataFrame, n_tokens: Column | None = None, config: PackConfig = P
 def padded_batches(docs: DataFrame, plan: DataFrame, config: PackConfig = PackConfig(), pad: str = "") -> DataFrame:
     """The batches of a plan with their words: a row per piece (bucket, batch, slot, words padded
     to the bucket's length). A batch is bounded by the token budget, so a task may gather it."""
-    words = docs.select("doc_id", word_array(text_of()).alias("words")).dropDuplicates(["doc_id"])
-    met = plan.join(words, "doc_id")
+    words = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("th"), word_array(text_of()).alias("words"))
+    words = words.dropDuplicates(["id", "th"])
+    met = plan.join(words, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
     piece = F.slice("words", (F.col("first") + 1).cast("int"), F.col("n_tokens"))
     filled = F.concat(piece, F.array_repeat(F.lit(pad), F.col("padding").cast("int")))
     return met.select("bucket", "batch", "slot", "doc_id", "piece", filled.alias("words"))

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import bounded_batches, held_out, table, text_of
+from plaudit.llm.common import bounded_batches, held_out, map_columns, table, text_of
 
 #: Classes of characters that are counted, by ASCII code; all codes from 128 on form one more.
 SYMBOLS = b"#*$%&|<>=_^~@\\+"
@@ -287,17 +288,13 @@ def score(docs: DataFrame, model: CrfModel, config: CrfConfig = CrfConfig()) ->
     """Adds ``score`` (likelihood of a good text), ``predicted`` (1 from the threshold on),
     ``n_lines`` and ``bad_lines``; columns of these names are replaced. One pass, no shuffle.
     A null or empty text is one empty line and gets what the model says of it."""
-    new = {"score": "double", "predicted": "int", "n_lines": "long", "bad_lines": "long"}
-    kept = [c for c in docs.columns if c not in new]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema], *[f"{k} {v}" for k, v in new.items()]])
     threshold = config.threshold
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            value, lines, bad = score_texts(model, batch["text"].fillna("").tolist())
-            yield batch.assign(score=value, predicted=(value >= threshold).astype(np.int32), n_lines=lines, bad_lines=bad)
+    def run(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
+        value, lines, bad = score_texts(model, [t or "" for t in batch.column("text").to_pylist()])
+        return None, {"score": value, "predicted": (value >= threshold).astype(np.int32), "n_lines": lines, "bad_lines": bad}
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInPandas(run, schema)
+    return map_columns(docs, run, {"score": "double", "predicted": "int", "n_lines": "long", "bad_lines": "long"})
 
 
 def op2_quality_crf(spark, sf_dir: str) -> DataFrame:
