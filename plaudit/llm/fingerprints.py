@@ -136,11 +136,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     floor(n / 2) code points) is replaced by the beginning of the next document.
 
     Rows alike in id and text have the same successor. Documents without id come last. The text
-    moves once, by the document's key, and the beginnings once, to the document before. A lone
+    moves once, by the document's key (both joins read the same exchange, so they take the same
+    columns), and the beginnings once, to the document before. A lone
     document follows itself; an empty table gives an empty one.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id")
-    texts = docs.select("doc_id", key, F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+    texts = docs.select(key, F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
     sizes = stored(texts.select("id", "th", (F.length("text") / 2).cast("int").alias("half")))
     unique = sizes.groupBy("id", "th").agg(F.max("half").alias("half"))
     edges = stored(next_document(unique))
@@ -153,15 +154,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     met = texts.join(begins, (F.col("id") == F.col("to_id")) & (F.col("th") == F.col("to_th")), "left")
     n = F.length("text")
     edited = F.concat(F.left("text", n - (n / 2).cast("int")), F.coalesce("begin", F.lit("")))
-    rows = once(met.select("doc_id", "id", "th", "next_id", "next_th", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited")), "v", vector(F.col("text")))
+    rows = once(met.select("id", "th", "next_id", "next_th", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited")), "v", vector(F.col("text")))
     rows = once(rows.drop("text"), "e", vector(F.col("edited")))
-    made = stored(rows.select("doc_id", "id", "th", "next_id", "next_th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e"))
+    made = stored(rows.select("id", "th", "next_id", "next_th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "v", "e"))
 
     ahead = made.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), F.col("v").alias("next_v"))
     if unique.count() < sizes.count():
         ahead = ahead.dropDuplicates(["a_id", "a_th"])
     full = made.join(ahead, (F.col("next_id") == F.col("a_id")) & (F.col("next_th") == F.col("a_th")), "left")
-    return full.select("doc_id", "n_chars", "edited_sha256", "v", "e", "next_v")
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    return full.select(doc_id, "n_chars", "edited_sha256", "v", "e", "next_v")
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
