@@ -14,12 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import bounded_batches, map_columns, one_per_key, stored, table, text_of
@@ -49,21 +51,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def folded(data: bytes, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and numbers of words of the short lines of a UTF-8 text."""
+def fold_all(texts: list[bytes], config: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Short lines of UTF-8 texts, one text behind the other: their hashes (32 bits), their
+    numbers of words, and where each text begins among them (one entry more than texts)."""
     words: list[bytes] = []
-    line_ends = []
-    for line in data.split(b"\n"):
-        words += line.split()
-        line_ends.append(len(words) - 1)
+    line_ends, text_ends = [], []
+    for data in texts:
+        for line in data.split(b"\n"):
+            words += line.split()
+            line_ends.append(len(words))
+        text_ends.append(len(words))
     n = len(words)
     if not n:
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     crc = np.fromiter(map(crc32, words), np.uint64, n)
-    ends = MARKS[np.fromiter((w[-1] for w in words), np.uint8, n)]
+    ends = MARKS[np.fromiter(map(itemgetter(-1), words), np.uint8, n)]
     ends |= _mix(crc) % np.uint64(config.fold) == 0
-    ends[[i for i in line_ends if i >= 0]] = True
-    ends[-1] = True
+    at = np.array(line_ends)
+    ends[at[at > 0] - 1] = True
     starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
     since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     ends |= (since + 1) % config.longest == 0
@@ -71,24 +76,52 @@ def folded(data: bytes, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(np.append(starts, n))
     place = (np.arange(n) - np.repeat(starts, length)).astype(np.uint64)
     total = np.add.reduceat(_mix(crc + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    return (_mix(total + length.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), length.astype(np.uint8)
+    hashes = (_mix(total + length.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    begin = np.concatenate([[0], np.searchsorted(starts, np.array(text_ends))])
+    return hashes, length.astype(np.uint8), begin
 
 
-def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a text and the lines where they begin: the minimum of every window, the
-    leftmost of equal ones. A text shorter than a window has one, over what it has."""
-    n = len(lines)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    k = min(config.gram, n)
+def folded(data: bytes, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of words of the short lines of one text."""
+    hashes, words, _ = fold_all([data], config)
+    return hashes, words
+
+
+def winnow_all(lines: np.ndarray, begin: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of texts that stand one behind the other, the number of the text and the line
+    where each begins: the minimum of every window, the leftmost of equal ones. A text shorter
+    than a window, or than a gram, has one, over what it has."""
+    if not len(lines):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    n = np.diff(begin)
+    owner = np.repeat(np.arange(len(n)), n)
     x = lines.astype(np.uint64)
-    grams = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        grams = _mix(grams + x[i : n - k + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
-    w = min(config.window, len(grams))
-    view = np.lib.stride_tricks.sliding_window_view(grams, w)
-    at = np.unique(np.arange(len(view)) + view.argmin(1))
-    return grams[at].astype(np.int64), at.astype(np.int32)
+    grams = np.zeros(len(x), np.uint64)
+    for i in range(config.gram):
+        same = np.zeros(len(x), bool)
+        same[: len(x) - i] = owner[i:] == owner[: len(x) - i]
+        ahead = np.where(same, np.concatenate([x[i:], np.zeros(i, np.uint64)]), np.uint64(0))
+        grams = _mix(grams + ahead + np.uint64(0x9E3779B97F4A7C15))
+    # A gram that runs over the end of its text counts only if the text has no whole one.
+    at = np.arange(len(x)) - begin[:-1][owner]
+    whole = at <= np.maximum(n[owner] - config.gram, 0)
+    grams, owner, at = grams[whole], owner[whole], at[whole]
+    left = np.bincount(owner, minlength=len(n))[owner] - at  # grams from here to the end of the text
+    best = np.arange(len(grams))
+    for i in range(1, config.window):
+        other = np.arange(len(grams)) + i
+        inside = left > i
+        other = np.where(inside, other, best)
+        best = np.where(grams[other] < grams[best], other, best)
+    first = (left >= config.window) | (at == 0)
+    chosen = np.unique(best[first])
+    return grams[chosen].astype(np.int64), owner[chosen], at[chosen].astype(np.int32)
+
+
+def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of one text and the lines where they begin."""
+    marks, _, at = winnow_all(lines, np.array([0, len(lines)]), config)
+    return marks, at
 
 
 def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], same: bool, config: DedupConfig) -> list[tuple[int, int]]:
@@ -140,61 +173,69 @@ def without_runs(text: str, runs: list[tuple[int, int]], config: DedupConfig) ->
     return (out if rest else out.rstrip(b" \t\n\x0b\x0c\r")).decode("utf-8"), removed
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``twin``, which tells documents with one id apart: 0 as long as ids do not repeat."""
+    if lines.groupBy("id").count().filter("count > 1").isEmpty():
+        return lines.withColumn("twin", F.lit(0))
+    order = W.partitionBy("id").orderBy("th")
+    return stored(one_per_key(lines, ["id", "th"]).withColumn("twin", F.row_number().over(order) - 1))
+
+
 def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     """``id, th, runs``: the runs of lines to delete from each document that has any. The id is
     the doc_id (a null one comes last), th tells documents with one id apart.
 
-    The corpus is read once; its line hashes are stored, 4 bytes a line. Fingerprints that occur
-    once go after a count; a hot one meets its first place by a join whose large side is split.
+    The corpus is read once; its line hashes are stored, 5 bytes a line. Fingerprints that occur
+    once go after a count; a hot one meets its first place by a join whose large side is split
+    (counts and first places are stored, so both sides of the joins are plain exchanges). Later
+    and earlier texts are joined from one exchange of the line hashes.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id")
     rows = docs.filter(F.col("text").isNotNull()).select(key, F.hash(text_of()).alias("th"), "text")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [folded(t.encode("utf-8"), config) for t in batch["text"]]
-            yield pd.DataFrame({
-                "id": batch["id"], "th": batch["th"],
-                "lines": [h.astype("<u4").tobytes() for h, _ in made], "words": [w.tobytes() for _, w in made],
-            })
+            hashes, words, begin = fold_all([t.encode("utf-8") for t in batch["text"]], config)
+            spans = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
+            packed = [hashes[a:b].astype("<u4").tobytes() + words[a:b].tobytes() for a, b in spans]
+            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "folds": packed})
 
-    lines = stored(rows.mapInPandas(fold, "id long, th int, lines binary, words binary"))
+    lines = _numbered(stored(rows.mapInPandas(fold, "id long, th int, folds binary")))
 
     def winnow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [winnowed(np.frombuffer(x, "<u4"), config) for x in batch["lines"]]
-            n = [len(h) for h, _ in made]
-            yield pd.DataFrame({
-                "h": np.concatenate([np.zeros(0, np.int64), *[h for h, _ in made]]),
-                "id": np.repeat(batch["id"].to_numpy(), n), "th": np.repeat(batch["th"].to_numpy(), n),
-                "pos": np.concatenate([np.zeros(0, np.int32), *[p for _, p in made]]),
-            })
-
-    marks = lines.mapInPandas(winnow, "h long, id long, th int, pos int")
-    several = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+            sizes = [len(x) // 5 for x in batch["folds"]]
+            all_lines = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(batch["folds"], sizes)])
+            marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
+            yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "twin": batch["twin"].to_numpy()[owner], "pos": at})
+
+    marks = lines.select("id", "twin", "folds").mapInPandas(winnow, "h long, id long, twin int, pos int")
+    several = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     shared = stored(marks.join(several, "h"))
-    firsts = shared.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("first"))
-    later = shared.join(firsts, "h").filter(F.struct("id", "th", "pos") > F.col("first"))
-    hits = later.groupBy("id", "th", F.col("first.id").alias("a_id"), F.col("first.th").alias("a_th")).agg(
+    firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "twin", "pos")).alias("first")))
+    later = shared.join(firsts, "h").filter(F.struct("id", "twin", "pos") > F.col("first"))
+    hits = later.groupBy("id", "twin", F.col("first.id").alias("a_id"), F.col("first.twin").alias("a_twin")).agg(
         F.collect_list(F.struct("pos", F.col("first.pos").alias("a_pos"))).alias("hits")
     )
-    unique = one_per_key(lines, ["id", "th"])
-    mine = hits.join(unique, ["id", "th"])
-    theirs = unique.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), F.col("lines").alias("a_lines"))
-    pairs = mine.join(theirs, ["a_id", "a_th"])
+    every = lines.select("id", "twin", "th", "folds")
+    mine = hits.join(every, ["id", "twin"])
+    theirs = every.select(F.col("id").alias("a_id"), F.col("twin").alias("a_twin"), F.col("th").alias("a_th"), F.col("folds").alias("a_folds"))
+    pairs = mine.join(theirs, ["a_id", "a_twin"])
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
+                n, m = len(r.folds) // 5, len(r.a_folds) // 5
                 found = repeated_runs(
-                    np.frombuffer(r.lines, "<u4"), np.frombuffer(r.words, np.uint8), np.frombuffer(r.a_lines, "<u4"),
+                    np.frombuffer(r.folds, "<u4", n), np.frombuffer(r.folds, np.uint8, n, 4 * n), np.frombuffer(r.a_folds, "<u4", m),
                     [(h["pos"], h["a_pos"]) for h in r.hits], (r.id, r.th) == (r.a_id, r.a_th), config,
                 )
                 out += [(r.id, r.th, a, b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
-    runs = pairs.mapInPandas(extend, "id long, th int, first int, last int")
+    columns = ["id", "th", "folds", "a_id", "a_th", "a_folds", "hits"]
+    runs = pairs.select(*columns).mapInPandas(extend, "id long, th int, first int, last int")
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
