@@ -95,15 +95,14 @@ def winnow_all(lines: np.ndarray, begin: np.ndarray, config: DedupConfig) -> tup
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     n = np.diff(begin)
     owner = np.repeat(np.arange(len(n)), n)
-    x = lines.astype(np.uint64)
-    grams = np.zeros(len(x), np.uint64)
+    x = np.concatenate([lines.astype(np.uint64), np.zeros(config.gram, np.uint64)])
+    of = np.concatenate([owner, np.full(config.gram, -1)])
+    grams = np.zeros(len(lines), np.uint64)
     for i in range(config.gram):
-        same = np.zeros(len(x), bool)
-        same[: len(x) - i] = owner[i:] == owner[: len(x) - i]
-        ahead = np.where(same, np.concatenate([x[i:], np.zeros(i, np.uint64)]), np.uint64(0))
-        grams = _mix(grams + ahead + np.uint64(0x9E3779B97F4A7C15))
+        same = of[i : i + len(lines)] == owner
+        grams = _mix(grams + np.where(same, x[i : i + len(lines)], np.uint64(0)) + np.uint64(0x9E3779B97F4A7C15))
     # A gram that runs over the end of its text counts only if the text has no whole one.
-    at = np.arange(len(x)) - begin[:-1][owner]
+    at = np.arange(len(lines)) - begin[:-1][owner]
     whole = at <= np.maximum(n[owner] - config.gram, 0)
     grams, owner, at = grams[whole], owner[whole], at[whole]
     left = np.bincount(owner, minlength=len(n))[owner] - at  # grams from here to the end of the text
