@@ -150,15 +150,16 @@ class SentimentLexicon:
 
 @dataclass(frozen=True)
 class AspectConfig:
-    """``lexicon`` maps an aspect to its keywords and is bounded by the code that states it."""
+    """``lexicon`` maps an aspect to its keywords and is bounded by the code that states it.
+    ``clauses_per_review`` and ``sample_per_item`` are off: every clause of every review counts."""
 
     lexicon: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {a: tuple(k.split()) for a, k in ASPECT_KEYWORDS.items()}
     )
     clause_pattern: str = CLAUSE_PATTERN
     min_clause_chars: int = 3
-    clauses_per_review: int = 3
-    sample_per_item: int = 4000
+    clauses_per_review: int | None = None
+    sample_per_item: int | None = None
     seed: int = 42
     evidence: int = 3
     min_mentions: int = 30

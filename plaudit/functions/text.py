@@ -77,23 +77,31 @@ def clause_aspects(clause: Column, lexicon: dict[str, tuple[str, ...]]) -> Colum
 
 
 def hit_clauses(text: Column, cfg: C.AspectConfig) -> Column:
-    """First few distinct clauses that mention an aspect: array<struct<clause, aspects>>.
-
-    Row-local: no clause ever leaves its review, so nothing is shuffled to find the first ones.
-    """
+    """Distinct clauses that mention an aspect: array<struct<clause, aspects>>, all of them or
+    the first ``clauses_per_review``. Row-local: no clause ever leaves its review."""
     distinct = F.array_distinct(clauses(text, cfg.clause_pattern, cfg.min_clause_chars))
     tagged = F.transform(
         distinct,
         lambda c: F.struct(c.alias("clause"), clause_aspects(c, cfg.lexicon).alias("aspects")),
     )
-    return F.slice(F.filter(tagged, lambda h: F.size(h["aspects"]) > 0), 1, cfg.clauses_per_review)
+    hits = F.filter(tagged, lambda h: F.size(h["aspects"]) > 0)
+    return hits if cfg.clauses_per_review is None else F.slice(hits, 1, cfg.clauses_per_review)
 
 
-def word_tokens(text: Column) -> Column:
-    """Default tokenizer: lower-cased runs of letters, CJK runs kept apart."""
-    return F.regexp_extract_all(
-        F.lower(text), F.lit(r"[一-龥]+|[\p{L}&&[^一-龥]]+"), F.lit(0)
-    )
+def word_tokens(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
+    """Default tokenizer: lower-cased runs of letters. A run of CJK ideographs has no word
+    boundaries and gives its overlapping n-grams of the given sizes."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[一-龥]+|[\p{L}&&[^一-龥]]+"), F.lit(0))
+
+    def grams(run: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(run) - (n - 1))
+        made = F.transform(starts, lambda i: F.substring(run, i, F.lit(n)))
+        return F.when(F.length(run) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def tokens(run: Column) -> Column:
+        return F.when(run.rlike("^[一-龥]"), F.concat(*[grams(run, n) for n in sizes])).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, tokens))
 
 
 def characters(text: Column) -> Column:

@@ -166,9 +166,10 @@ def batch_plan(sequences: DataFrame, cfg: C.BatchConfig = C.BatchConfig(),
 
 
 def pad_sequences(sequences: DataFrame, by: list[str], ids: str = "ids", multiple: int = 16,
-                  pad: int = C.PAD_ID) -> DataFrame:
+                  pad: int = C.PAD_ID, labels: str | None = None) -> DataFrame:
     """Adds ``padded``: every sequence of a batch (the columns ``by``) filled up to the longest
-    one, rounded up to ``multiple``. The width is grouped first and joined back, salted."""
+    one, rounded up to ``multiple``; with ``labels`` also ``padded_labels``, filled with the label
+    that is ignored. The width is grouped first and joined back, salted."""
     from plaudit.operators.scale import attach_group_values
 
     widths = sequences.groupBy(*by).agg(
@@ -176,5 +177,8 @@ def pad_sequences(sequences: DataFrame, by: list[str], ids: str = "ids", multipl
         F.count(F.lit(1)).alias("__rows"),
     )
     wide = attach_group_values(sequences, widths, by, "__rows", [ids]).drop("__rows")
-    fill = F.array_repeat(F.lit(pad), F.col("width") - F.size(ids))
-    return wide.withColumn("padded", F.concat(ids, fill))
+    missing = F.col("width") - F.size(ids)
+    padded = {"padded": F.concat(ids, F.array_repeat(F.lit(pad), missing))}
+    if labels is not None:
+        padded["padded_labels"] = F.concat(labels, F.array_repeat(F.lit(C.IGNORE_LABEL), missing))
+    return wide.withColumns(padded)

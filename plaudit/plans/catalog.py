@@ -4,6 +4,7 @@ SQL can state it. Sums of floats are rounded to six digits, because engines add
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,32 +247,54 @@ def encode_supervised(spark, sf):
     return _supervised(spark, sf).select("row_id", _joined("ids"), _joined("labels"))
 
 
-@query(O.base(_VOCAB_SQL, _SUPERVISED) + """SELECT CASE WHEN (row_id * 2654435761) % 1000 < 10 THEN 'val'
+_ENCODED = f"encoded AS (SELECT row_id, {_ids_sql('comment')} AS ids FROM clean, index_row)"
+
+
+def _encoded(spark, sf):
+    """Whole texts as ids; the fixed length of a prompt is a matter of encode_prompt alone."""
+    rows = clean(spark, sf)
+    return B.encode_column(rows, B.build_vocab(rows, _SEQ))
+
+
+@query(O.base(_VOCAB_SQL, _ENCODED) + """SELECT CASE WHEN (row_id * 2654435761) % 1000 < 10 THEN 'val'
   WHEN (row_id * 2654435761) % 1000 < 200 THEN 'train' ELSE 'rest' END AS split,
-  count(*) AS n, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(max(len(ids)) AS BIGINT) AS longest FROM supervised GROUP BY 1""")
+  count(*) AS n, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(max(len(ids)) AS BIGINT) AS longest FROM encoded GROUP BY 1""")
 def split_counts(spark, sf):
-    out = B.sequence_stats(P.with_split(_supervised(spark, sf)))
+    out = B.sequence_stats(P.with_split(_encoded(spark, sf)))
     return out.withColumn("longest", F.col("longest").cast("bigint"))
 
 
-@query(O.base(_VOCAB_SQL, _SUPERVISED) + """, b AS (SELECT CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket, count(*) AS n_rows,
-  CAST(sum(len(ids)) AS BIGINT) AS tokens FROM supervised GROUP BY 1),
+@query(O.base(_VOCAB_SQL, _ENCODED) + """, b AS (SELECT CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket, count(*) AS n_rows,
+  CAST(sum(len(ids)) AS BIGINT) AS tokens FROM encoded GROUP BY 1),
 s AS (SELECT *, CAST(greatest(8, least(128, 8192 // greatest(1, bucket * 16))) AS BIGINT) AS batch_size FROM b)
 SELECT bucket, n_rows, tokens, batch_size, CAST(ceil(n_rows / batch_size::DOUBLE) AS BIGINT) AS batches,
   bucket * 16 * n_rows AS padded_tokens FROM s""")
 def batch_plan(spark, sf):
-    return B.batch_plan(_supervised(spark, sf))
+    return B.batch_plan(_encoded(spark, sf))
 
 
-@query(O.base(_VOCAB_SQL, _SUPERVISED) + """, t AS (SELECT row_id, ids, CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket FROM supervised),
+@query(O.base(_VOCAB_SQL, _ENCODED) + """, t AS (SELECT row_id, ids, CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket FROM encoded),
 w AS (SELECT bucket, CAST(ceil(max(len(ids)) / 16.0) * 16 AS INT) AS width FROM t GROUP BY bucket)
 SELECT row_id, bucket, width, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded
 FROM t JOIN w USING (bucket)""")
 def padded_sequences(spark, sf):
-    rows = _supervised(spark, sf).select("row_id", "ids", F.ceil(F.size("ids") / 16).cast("bigint").alias("bucket"))
+    rows = _encoded(spark, sf).select("row_id", "ids", F.ceil(F.size("ids") / 16).cast("bigint").alias("bucket"))
     return B.pad_sequences(rows, ["bucket"]).select("row_id", "bucket", "width", _joined("padded"))
 
 
+@query(O.base(_VOCAB_SQL, _SUPERVISED) + """, t AS (SELECT row_id, ids, labels, CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket FROM supervised),
+w AS (SELECT bucket, CAST(ceil(max(len(ids)) / 16.0) * 16 AS INT) AS width FROM t GROUP BY bucket)
+SELECT row_id, bucket, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded,
+  array_to_string(list_concat(labels, list_transform(range(width - len(ids)), lambda x: -100)), ' ') AS padded_labels
+FROM t JOIN w USING (bucket)""")
+def padded_labels(spark, sf):
+    """Ids and labels of the supervised sequences, filled up to the width of their batch."""
+    bucket = F.ceil(F.size("ids") / 16).cast("bigint").alias("bucket")
+    rows = _supervised(spark, sf).select("row_id", "ids", "labels", bucket)
+    wide = B.pad_sequences(rows, ["bucket"], labels="labels")
+    return wide.select("row_id", "bucket", _joined("padded"), _joined("padded_labels"))
+
+
 # --- splits and samples ---------------------------------------------------------
 
 
@@ -340,7 +363,7 @@ def _ml_train(spark, sf):
 def ml_scores(spark, sf):
     """Spark ML scorer trained on stars, applied to all reviews."""
     train, everything = _ml_train(spark, sf)
-    model = M.fit_review_model(train, features=1 << 14, max_iter=10)
+    model = M.fit_review_model(train)
     return M.score_reviews(model, everything).select("row_id", "split", "star", *_PRED[4:])
 
 
@@ -462,7 +485,7 @@ def clause_split(spark, sf):
     return A.clause_rows(clean(spark, sf), D.ASPECTS)
 
 
-_ALL_HITS = O.HITS.replace("top3 AS", "every AS (SELECT row_id, clause, unnest(aspects) AS aspect FROM hits),\ntop3 AS")
+_ALL_HITS = O.HITS.replace("mentions AS", "every AS (SELECT row_id, clause, unnest(aspects) AS aspect FROM hits),\nmentions AS")
 
 
 @query(O.base(O.CLAUSES, _ALL_HITS) + "SELECT row_id, clause, aspect FROM every")
@@ -476,9 +499,11 @@ def _mentions(spark, sf):
     return A.aspect_mentions(clean(spark, sf), clause_score, D.ASPECTS)
 
 
-@query(O.base(O.CLAUSES, O.HITS) + "SELECT row_id, pos, clause, aspect FROM mentions")
+@query(O.base(O.CLAUSES, O.HITS) + "SELECT row_id, pos, clause, aspect FROM mentions WHERE pos < 3")
 def aspect_top3_clauses(spark, sf):
-    return _mentions(spark, sf).select("row_id", "pos", "clause", "aspect")
+    """The option of mining only the first three hit clauses of a review."""
+    cfg = replace(D.ASPECTS, clauses_per_review=3)
+    return A.aspect_mentions(clean(spark, sf), clause_score, cfg).select("row_id", "pos", "clause", "aspect")
 
 
 @query(O.base(O.CLAUSES, O.HITS) + "SELECT row_id, pos, aspect, p FROM mentions")
@@ -499,19 +524,16 @@ def aspect_evidence(spark, sf):
     return A.aspect_evidence(_mentions(spark, sf), D.ASPECTS).drop("strength")
 
 
-_SAMPLED = f"sampled AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {O.spread('row_id', 42)}, row_id) AS rn FROM clean) WHERE rn <= 30)"
-
-
-@query(O.base(_SAMPLED, O.CLAUSES.replace("FROM clean)", "FROM sampled)"), O.HITS, O.RATES, O.EVIDENCE) + f""",
+@query(O.base(O.CLAUSES, O.HITS, O.RATES, O.EVIDENCE) + f""",
 ev AS (SELECT item, aspect, string_agg(clause, ' / ' ORDER BY rank) FILTER (WHERE polarity = 'pos') AS evidence_pos,
   string_agg(clause, ' / ' ORDER BY rank) FILTER (WHERE polarity = 'neg') AS evidence_neg FROM evidence GROUP BY ALL),
-n AS (SELECT item, count(*) AS n_sampled FROM sampled GROUP BY item)
+n AS (SELECT item, count(*) AS n_sampled FROM clean GROUP BY item)
 SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY mentions DESC, aspect) - 1 AS INT) AS pos, n_sampled, aspect, mentions,
   {_sql_r('pos_rate', 'like_weighted_pos_rate')}, coalesce(evidence_pos, '') AS evidence_pos, coalesce(evidence_neg, '') AS evidence_neg
 FROM rates JOIN ev USING (item, aspect) JOIN n USING (item)""")
 def aspects_nested(spark, sf):
-    """Sampled reviews mined and nested per item, then unfolded again for comparison."""
-    sample = P.sample_reviews_per_item(clean(spark, sf), 30, 42)
+    """All reviews mined and nested per item, then unfolded again for comparison."""
+    sample = clean(spark, sf)
     mentions = stable_copy(A.aspect_mentions(sample, clause_score, D.ASPECTS))
     table = A.aspect_table(mentions, D.ASPECTS)
     nested = A.aspects_by_item(table, sample)

@@ -108,13 +108,11 @@ hits AS (SELECT * FROM (
   SELECT *, list_filter([{tests}], lambda a: a IS NOT NULL) AS aspects FROM firsts)
   WHERE len(aspects) > 0),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY place) - 1 AS pos FROM hits),
-top3 AS (SELECT * FROM ordered WHERE pos < {k}),
 mentions AS MATERIALIZED (SELECT row_id, item, likes, CAST(pos AS INT) AS pos, clause, {p} AS p,
-  unnest(aspects) AS aspect FROM top3)""".format(
+  unnest(aspects) AS aspect FROM ordered)""".format(
     tests=", ".join(
         f"CASE WHEN {_aspect_test(k)} THEN {q(a)} END" for a, k in ASPECTS.lexicon.items()
     ),
-    k=ASPECTS.clauses_per_review,
     p=lexicon_p("clause"),
 )
 
