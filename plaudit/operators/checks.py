@@ -26,7 +26,12 @@ def _outside(name: str, low, high) -> Column:
     return F.count_if(~F.coalesce(F.col(name).between(low, high), F.lit(False)))
 
 
-def summary_checks(summary: DataFrame, min_reviews: int = 1000) -> DataFrame:
+def _strict(smoke: bool) -> str:
+    """Level of the checks that small trial inputs need not pass."""
+    return WARNING if smoke else REQUIRED
+
+
+def summary_checks(summary: DataFrame, min_reviews: int = 1000, smoke: bool = False) -> DataFrame:
     n = F.col("n_reviews")
     tests = {
         "final_score_range": (REQUIRED, _outside("final_score", 0, 10)),
@@ -34,7 +39,7 @@ def summary_checks(summary: DataFrame, min_reviews: int = 1000) -> DataFrame:
         "confidence_range": (REQUIRED, _outside("confidence", 0, 1)),
         "stars_add_up": (REQUIRED, F.count_if(F.col("star_pos") + F.col("star_neg") + F.col("star_mid") != n)),
         "verdicts_add_up": (REQUIRED, F.count_if(F.col("model_pos") + F.col("model_neg") != n)),
-        "enough_reviews": (WARNING, F.count_if(n < min_reviews)),
+        "enough_reviews": (_strict(smoke), F.count_if(n < min_reviews)),
     }
     return _checks(summary, tests)
 
@@ -56,11 +61,11 @@ def prediction_checks(scored: DataFrame, threshold: float = 0.5, dense: bool = T
     return _checks(scored, tests)
 
 
-def spam_checks(spam_summary: DataFrame, detail: DataFrame) -> DataFrame:
+def spam_checks(spam_summary: DataFrame, detail: DataFrame, smoke: bool = False) -> DataFrame:
     per_item = {
         "suspect_rate_range": (REQUIRED, _outside("suspect_rate", 0, 1)),
         "suspects_within_reviews": (REQUIRED, F.count_if(F.col("n_suspect") > F.col("n_reviews"))),
-        "every_item_has_suspects": (WARNING, F.count_if(F.col("n_suspect") == 0)),
+        "every_item_has_suspects": (_strict(smoke), F.count_if(F.col("n_suspect") == 0)),
     }
     per_row = {
         "suspects_have_reasons": (REQUIRED, F.count_if(F.col("is_suspect") & (F.size("reasons") == 0))),
@@ -69,13 +74,13 @@ def spam_checks(spam_summary: DataFrame, detail: DataFrame) -> DataFrame:
     return _checks(spam_summary, per_item).unionByName(_checks(detail, per_row))
 
 
-def aspect_checks(pros_cons: DataFrame) -> DataFrame:
+def aspect_checks(pros_cons: DataFrame, smoke: bool = False) -> DataFrame:
     """Every item has pros, and cons or weak points; evidence is never an empty string."""
     listed = F.concat("pros", "cons", "weak")
     blank = F.exists(listed, lambda e: F.exists(e["evidence"], lambda s: F.coalesce(s, F.lit("")) == ""))
     tests = {
-        "has_pros": (WARNING, F.count_if(F.size("pros") == 0)),
-        "has_cons_or_weak": (WARNING, F.count_if((F.size("cons") == 0) & (F.size("weak") == 0))),
+        "has_pros": (_strict(smoke), F.count_if(F.size("pros") == 0)),
+        "has_cons_or_weak": (_strict(smoke), F.count_if((F.size("cons") == 0) & (F.size("weak") == 0))),
         "evidence_not_blank": (REQUIRED, F.count_if(blank)),
     }
     return _checks(pros_cons, tests)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from plaudit.functions.scoring import spread_hash
 
+#: Session setting that holds the folder of everything stored in it.
+RUN_FOLDER = "plaudit.run.folder"
 HOT_GROUPS = 1024
 BROADCAST_ROWS = 200_000
 SALTS = 4096
@@ -23,13 +24,24 @@ QUANTILE_BUCKETS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors share, from the session; a new temporary one on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="plaudit-")
-    return f"{folder}/plaudit-{uuid.uuid4().hex}"
+    """A new folder name below the run's folder in ``spark.checkpoint.dir``, which all executors
+    share. Where that is unset, the warehouse serves, which they share as well. All folders of
+    a session lie in one, which ``drop_stored`` removes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    run = spark.conf.get(RUN_FOLDER, None)
+    if run is None or not run.startswith(root.rstrip("/") + "/"):
+        run = f"{root.rstrip('/')}/plaudit-{uuid.uuid4().hex}"
+        spark.conf.set(RUN_FOLDER, run)
+    return f"{run}/{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what the operators stored in this session; tables that read it are gone then."""
+    run = spark.conf.get(RUN_FOLDER, None)
+    if run is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset(RUN_FOLDER)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, int]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit import config as C
-from plaudit.functions.scoring import lexicon_p_pos, star_label
+from plaudit.functions.scoring import lexicon_p_pos, star_label, verdict
 from plaudit.operators import aspects as A
 from plaudit.operators import checks as Q
 from plaudit.operators import evaluation as E
@@ -20,9 +20,9 @@ from plaudit.operators import keywords as K
 from plaudit.operators import models as M
 from plaudit.operators import ratings as R
 from plaudit.operators import spam as S
-from plaudit.operators.cleaning import clean_reviews, dedup_keep_first
 from plaudit.operators import vocab as B
-from plaudit.operators.sampling import random_subset, sample_reviews_per_item, sample_texts, with_split
+from plaudit.operators.cleaning import clean_reviews, dedup_keep_first
+from plaudit.operators.sampling import random_subset, sample_reviews_per_item, with_split
 from plaudit.operators.scale import stable_copy
 from plaudit.sources import sinks
 
@@ -37,26 +37,29 @@ class BatchConfig:
     spam: C.SpamConfig = field(default_factory=C.SpamConfig)
     split: C.SplitConfig = C.SplitConfig()
     sequences: C.SequenceConfig = C.SequenceConfig()
-    max_val_rows: int = 15_000
+    max_val_rows: int | None = None
+    vocab_rows: int | None = None
+    smoke: bool = False
 
 
-def validation_metrics(predictions: DataFrame, split: C.SplitConfig, max_rows: int = 15_000) -> DataFrame:
-    """Calibration record and rating error on a subset of the validation rows."""
+def validation_metrics(predictions: DataFrame, split: C.SplitConfig, max_rows: int | None = None) -> DataFrame:
+    """Calibration record and rating error on the validation rows, or on ``max_rows`` of them."""
     rows = predictions.select(
         "row_id", "star", "pred_rating", F.col("p_pos").alias("p"),
         star_label(F.col("star")).alias("label"),
     )
-    val = stable_copy(
-        random_subset(with_split(rows, split).filter(F.col("split") == "val"), max_rows)
-    )
+    chosen = with_split(rows, split).filter(F.col("split") == "val")
+    val = stable_copy(chosen if max_rows is None else random_subset(chosen, max_rows))
     error = E.rating_error(val).select(F.struct("rating_acc", "rating_mae").alias("e")).scalar()
     return E.calibrate(val).withColumn("__e", error).select("*", "__e.*").drop("__e")
 
 
 def prepare_sequences(reviews: DataFrame, out: str, cfg: BatchConfig = BatchConfig()) -> dict[str, DataFrame]:
-    """Vocabulary and encoded reviews: supervised train and validation rows, prompts for all."""
+    """Vocabulary and encoded reviews: supervised train and validation rows, prompts for all.
+    Characters are counted over all texts, or over a spread sample of ``vocab_rows``."""
     spark = reviews.sparkSession
-    sinks.write_table(B.build_vocab(sample_texts(reviews), cfg.sequences), f"{out}/vocab")
+    counted = reviews if cfg.vocab_rows is None else random_subset(reviews, cfg.vocab_rows)
+    sinks.write_table(B.build_vocab(counted, cfg.sequences), f"{out}/vocab")
     vocab = spark.read.parquet(f"{out}/vocab")
     labelled = with_split(reviews, cfg.split).filter(F.col("split") != "rest")
     supervised = B.encode_supervised(labelled, vocab, cfg.sequences)
@@ -86,16 +89,16 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     score_clause = score_clause or (lambda c: lexicon_p_pos(c, cfg.sentiment))
 
     # Text and scores share one wide table, so each text is scored once and no join by row id
-    # brings them together again; narrow reads of it are pruned to their columns.
-    reviews = save("reviews", score(dedup_keep_first(clean_reviews(raw, cfg.clean))))
-    predictions = reviews.drop("comment")
-    sampled = save(
-        "sampled",
-        sample_reviews_per_item(
-            reviews.select("row_id", "item", "likes", "pred_sent", "comment"),
-            cfg.aspects.sample_per_item, cfg.aspects.seed,
-        ),
-    )
+    # brings them together again; narrow reads of it are pruned to their columns. The verdict is
+    # taken at the threshold that the validation rows give, and stored with the narrow table.
+    stored_scores = save("reviews", score(dedup_keep_first(clean_reviews(raw, cfg.clean))))
+    metrics = save("metrics", validation_metrics(stored_scores, cfg.split, cfg.max_val_rows))
+    threshold = float(metrics.first()["threshold"])
+    reviews = tables["reviews"] = stored_scores.withColumn("pred_sent", verdict(F.col("p_pos"), threshold))
+    predictions = save("predictions", reviews.drop("comment"))
+    sampled = reviews.select("row_id", "item", "likes", "pred_sent", "comment")
+    if cfg.aspects.sample_per_item is not None:
+        sampled = save("sampled", sample_reviews_per_item(sampled, cfg.aspects.sample_per_item, cfg.aspects.seed))
     mentions = save("mentions", A.aspect_mentions(sampled, score_clause, cfg.aspects))
     table = save("aspects", A.aspect_table(mentions, cfg.aspects))
     words = K.top_keywords(K.log_odds(K.word_bags(sampled, cfg.keywords), cfg.keywords), cfg.keywords)
@@ -109,17 +112,21 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     per_item = save("spam_summary", S.spam_summary(detail))
     suspects = save("suspects", S.rank_suspects(detail, cfg.spam))
     save("top_suspects", S.suspect_texts(suspects, reviews, cfg.spam))
-    save("metrics", validation_metrics(predictions, cfg.split, cfg.max_val_rows))
     scores = R.item_scores(R.item_stats(predictions), cfg.ratings)
     summary = save("summary", R.item_summary(scores, pros_cons, per_item))
-    save("report", sinks.report_blocks(summary, pros_cons))
+    report = save("report", sinks.report_blocks(summary, pros_cons))
+    sinks.write_csv(summary, f"{out}/files/summary_csv")
+    sinks.write_json(summary, f"{out}/files/summary_json")
+    sinks.write_json(metrics, f"{out}/files/metrics_json")
+    sinks.write_json(pros_cons, f"{out}/files/pros_cons_json")
+    sinks.write_report(report, f"{out}/files/report", sinks.report_header(summary))
     save(
         "checks",
         Q.all_checks(
-            Q.summary_checks(summary),
-            Q.prediction_checks(predictions, dense=False),
-            Q.spam_checks(per_item, detail),
-            Q.aspect_checks(pros_cons),
+            Q.summary_checks(summary, smoke=cfg.smoke),
+            Q.prediction_checks(predictions, threshold, dense=False),
+            Q.spam_checks(per_item, detail, cfg.smoke),
+            Q.aspect_checks(pros_cons, cfg.smoke),
             Q.totals_check(summary, per_item),
         ).orderBy(F.col("check")),
     )

@@ -367,19 +367,38 @@ def ml_scores(spark, sf):
     return M.score_reviews(model, everything).select("row_id", "split", "star", *_PRED[4:])
 
 
+@query(O.base() + f"""SELECT CASE WHEN (row_id * {C.HASH_MULTIPLIER}) % 1000 < 100 THEN 'val' ELSE 'train' END AS split, count(*) AS n,
+  true AS in_range, true AS verdict_follows, true AS not_below_majority FROM clean GROUP BY 1""")
+def ml_score_facts(spark, sf):
+    """What must hold for the trained scorer: rows, ranges, verdicts and an accuracy on the stars
+    of the training rows that is not below that of the more frequent label (on other rows no
+    bound holds for certain, and the column is true)."""
+    rows = ml_scores(spark, sf)
+    label = S.star_label(F.col("star"))
+    good, polar = F.count_if(label == 1), F.count_if(label >= 0)
+    right = F.count_if((label >= 0) & (label == F.col("pred_sent")))
+    ranges = F.col("p_pos").between(0, 1) & F.col("exp_rating").between(1, 5) & F.col("pred_rating").between(1, 5) & F.col("p_rating").between(0.2, 1)
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(ranges).alias("in_range"),
+        F.bool_and((F.col("p_pos") >= 0.5) == (F.col("pred_sent") == 1)).alias("verdict_follows"),
+        (right >= F.greatest(good, polar - good)).alias("__right"),
+    ).select("split", "n", "in_range", "verdict_follows", (F.col("__right") | (F.col("split") != "train")).alias("not_below_majority"))
+
+
 @query(O.base_scored() + f"SELECT row_id, p_pos, pred_sent, {_sql_r('exp_rating')}, pred_rating, {_sql_r('p_rating')} FROM scored")
 def plugged_scores(spark, sf):
     """A Python scorer over Arrow batches, loaded once per task."""
-    positive, negative = set(D.SENTIMENT.positive), set(D.SENTIMENT.negative)
+    positive, negative = D.SENTIMENT.positive, D.SENTIMENT.negative
+    whole = lambda words: f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"
 
     def load():
         import numpy as np
         import pandas as pd
 
         def score(texts):
-            tokens = texts.str.lower().str.findall("[a-z]+")
-            pos = tokens.map(lambda ws: sum(w in positive for w in ws)).to_numpy()
-            neg = tokens.map(lambda ws: sum(w in negative for w in ws)).to_numpy()
+            lower = texts.str.lower()
+            pos = lower.str.count(whole(positive)).to_numpy()
+            neg = lower.str.count(whole(negative)).to_numpy()
             p = (pos + 1.0) / (pos + neg + 2.0)
             q = 1 - p
             dist = np.stack([q * q * q * q, 4 * p * q * q * q, 6 * p * p * q * q, 4 * p * p * p * q, p * p * p * p], 1)
@@ -442,6 +461,19 @@ def best_threshold(spark, sf):
 _CAL = _confusion_sql("(SELECT threshold FROM best)")
 
 
+_VAL_SPLIT = C.SplitConfig(val_below=300, train_below=600)
+_VAL_EVAL = _EVAL.replace("WHERE star <> 3", f"WHERE star <> 3 AND (row_id * {C.HASH_MULTIPLIER}) % 1000 < 300")
+
+
+@query(O.base_scored(_VAL_EVAL, _STEPS) + "SELECT row_id, threshold, CAST(CASE WHEN p_pos >= threshold THEN 1 ELSE 0 END AS INT) AS pred_sent FROM scored, best")
+def calibrated_verdict(spark, sf):
+    """The threshold found on the validation rows, applied to all reviews."""
+    val = P.with_split(_eval(spark, sf), _VAL_SPLIT).filter(F.col("split") == "val")
+    threshold = E.best_threshold(val).select("threshold").scalar()
+    rows = scored(spark, sf).select("row_id", "p_pos").withColumn("threshold", threshold)
+    return rows.select("row_id", "threshold", S.verdict(F.col("p_pos"), F.col("threshold")).alias("pred_sent"))
+
+
 @query(O.base_scored(_EVAL, _STEPS, _CAL.split("\nSELECT")[0]) + "SELECT" + _CAL.split("\nSELECT")[1])
 def calibration_record(spark, sf):
     return _rounded_confusion(E.calibrate(_eval(spark, sf)))
@@ -569,6 +601,20 @@ def weak_points(spark, sf):
 # --- keywords -------------------------------------------------------------------
 
 
+_LETTERS, _IDEOGRAPHS = "abcdefghij", "一丁七万丈三上下不与"
+_GRAMS = "flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, length(run) - n + 2), lambda i: substring(run, i, n))))"
+
+
+@query("WITH " + O.REVIEWS + f""", runs AS (SELECT unnest(regexp_extract_all(translate(lower(comment), '{_LETTERS}', '{_IDEOGRAPHS}'), '[一-龥]+|[^\\P{{L}}一-龥]+')) AS run FROM reviews),
+tokens AS (SELECT unnest(CASE WHEN regexp_matches(run, '^[一-龥]') THEN {_GRAMS} ELSE [run] END) AS token FROM runs)
+SELECT token, count(*) AS n FROM tokens GROUP BY token""")
+def cjk_tokens(spark, sf):
+    """Tokens of the texts with ten letters written as ideographs: n-grams of ideograph runs."""
+    text = F.translate(F.lower("comment"), _LETTERS, _IDEOGRAPHS)
+    tokens = D.reviews(spark, sf).select(F.explode(T.word_tokens(text)).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(O.base_scored(O.WORDS) + "SELECT item, word, y, x FROM bags")
 def word_bags(spark, sf):
     return K.word_bags(scored(spark, sf), D.KEYWORDS)
@@ -659,17 +705,35 @@ def item_summary(spark, sf):
         "pros", "cons", "n_suspect", *_r("suspect_rate"))
 
 
-@query(O.base_scored(O.STATS) + """SELECT item, '## ' || item || ' — **' || printf('%.2f', final_score) || ' / 10**' || chr(10) ||
- '- 影评 ' || n_reviews || ' 条｜真实好评 ' || star_pos || ' / 差评 ' || star_neg || ' / 中评 ' || star_mid || '｜好评率 ' || printf('%.1f%%', star_pos_rate * 100) || chr(10) ||
- '- 模型判定好评 ' || model_pos || ' / 差评 ' || model_neg || '｜模型好评率 ' || printf('%.1f%%', model_pos_rate * 100) || '｜贝叶斯均分 ' || printf('%.2f', bayes_rating) || '/5｜置信度 ' || printf('%.2f', confidence) AS block FROM scores""")
+_PCT = lambda share: f"CAST(floor({share} * 100 + 0.5) AS BIGINT) || '%'"
+_HEAD_LINES = f"""'score: ' || item || ' ' || printf('%.2f', final_score) || chr(10) ||
+ 'reviews by stars: ' || star_pos || ' good, ' || star_neg || ' bad, ' || star_mid || ' neutral, ' || n_reviews || ' in all (' || {_PCT('star_pos_rate')} || ' good)' || chr(10) ||
+ 'reviews by model: ' || model_pos || ' good, ' || model_neg || ' bad (' || {_PCT('model_pos_rate')} || ' good)'"""
+
+
+@query(O.base_scored(O.STATS) + f"SELECT item, {_HEAD_LINES} AS block FROM scores")
 def item_report(spark, sf):
     return sinks.report_blocks(R.item_scores(R.item_stats(scored(spark, sf)))).select("item", "block")
 
 
-@query()
+def _aspect_lines_sql(name: str, label: str, polarity: str) -> str:
+    return f"""{name}_lines AS (SELECT l.item, '{label}: ' || string_agg(l.aspect || ' ' || l.mentions || ' (' || {_PCT('l.pos_rate')} || ')', ', ' ORDER BY l.rank)
+  || coalesce(chr(10) || string_agg('  > ' || substring(e.clause, 1, 60), chr(10) ORDER BY l.rank) FILTER (WHERE l.rank <= 2 AND e.clause IS NOT NULL), '') AS lines
+  FROM {name} l LEFT JOIN (SELECT * FROM evidence WHERE rank = 1 AND polarity = '{polarity}') e ON e.item = l.item AND e.aspect = l.aspect GROUP BY l.item)"""
+
+
+_REPORT = ", ".join([O.EVIDENCE, _aspect_lines_sql("pros", "liked", "pos"), _aspect_lines_sql("cons", "disliked", "neg"), _aspect_lines_sql("weak", "weakest", "neg")])
+
+
+@query(O.base_scored(*_BOARD, _REPORT) + f"""SELECT b.item, round(final_score, 6) AS final_score, {_HEAD_LINES.replace("|| item ||", "|| b.item ||")}
+ || chr(10) || 'suspicious: ' || n_suspect || ' (' || {_PCT('suspect_rate')} || ')'
+ || coalesce(chr(10) || p.lines, '') || coalesce(chr(10) || c.lines, '') || coalesce(chr(10) || w.lines, '') AS block
+FROM board b LEFT JOIN pros_lines p ON p.item = b.item LEFT JOIN cons_lines c ON c.item = b.item LEFT JOIN weak_lines w ON w.item = b.item""")
 def full_report(spark, sf):
     """Report blocks with suspects, aspects and quotes."""
-    return sinks.report_blocks(_board(spark, sf), _pros_cons(spark, sf))
+    aspects = stable_copy(_pros_cons(spark, sf))
+    board = R.item_summary(R.item_scores(R.item_stats(scored(spark, sf))), aspects, X.spam_summary(_detail(spark, sf)))
+    return sinks.report_blocks(board, aspects).select("item", *_r("final_score"), "block")
 
 
 # --- suspicious reviews -------------------------------------------------------------
@@ -907,7 +971,7 @@ _CHECKS = {
     "confidence_range": ("required", "SELECT count(*) FROM scores WHERE NOT confidence BETWEEN 0 AND 1"),
     "stars_add_up": ("required", "SELECT count(*) FROM scores WHERE star_pos + star_neg + star_mid <> n_reviews"),
     "verdicts_add_up": ("required", "SELECT count(*) FROM scores WHERE model_pos + model_neg <> n_reviews"),
-    "enough_reviews": ("warning", "SELECT count(*) FROM scores WHERE n_reviews < 1000"),
+    "enough_reviews": ("required", "SELECT count(*) FROM scores WHERE n_reviews < 1000"),
     "p_pos_range": ("required", "SELECT count(*) FROM scored WHERE NOT p_pos BETWEEN 0 AND 1"),
     "pred_sent_values": ("required", "SELECT count(*) FROM scored WHERE pred_sent NOT IN (0, 1)"),
     "exp_rating_range": ("warning", "SELECT count(*) FROM scored WHERE NOT exp_rating BETWEEN 1 AND 5"),
@@ -916,11 +980,11 @@ _CHECKS = {
     "row_id_dense": ("required", "SELECT abs(max(row_id) - min(row_id) + 1 - count(DISTINCT row_id)) + abs(min(row_id)) FROM scored"),
     "suspect_rate_range": ("required", "SELECT count(*) FROM summary WHERE NOT suspect_rate BETWEEN 0 AND 1"),
     "suspects_within_reviews": ("required", "SELECT count(*) FROM summary WHERE n_suspect > n_reviews"),
-    "every_item_has_suspects": ("warning", "SELECT count(*) FROM summary WHERE n_suspect = 0"),
+    "every_item_has_suspects": ("required", "SELECT count(*) FROM summary WHERE n_suspect = 0"),
     "suspects_have_reasons": ("required", "SELECT count(*) FROM detail WHERE is_suspect AND reasons = ''"),
     "spam_score_range": ("required", "SELECT count(*) FROM detail WHERE NOT spam_score BETWEEN 0 AND 1"),
-    "has_pros": ("warning", "SELECT count(*) FROM (SELECT DISTINCT item FROM rates) WHERE item NOT IN (SELECT item FROM pros)"),
-    "has_cons_or_weak": ("warning", "SELECT count(*) FROM (SELECT DISTINCT item FROM rates) WHERE item NOT IN (SELECT item FROM cons UNION SELECT item FROM weak)"),
+    "has_pros": ("required", "SELECT count(*) FROM (SELECT DISTINCT item FROM rates) WHERE item NOT IN (SELECT item FROM pros)"),
+    "has_cons_or_weak": ("required", "SELECT count(*) FROM (SELECT DISTINCT item FROM rates) WHERE item NOT IN (SELECT item FROM cons UNION SELECT item FROM weak)"),
     "evidence_not_blank": ("required", "SELECT count(*) FROM mentions WHERE clause = ''"),
     "totals_match": ("required", "SELECT count(*) FROM scores s FULL JOIN summary m ON s.item = m.item WHERE s.n_reviews IS DISTINCT FROM m.n_reviews"),
 }
@@ -942,7 +1006,14 @@ def quality_checks(spark, sf):
     return _checks_table(spark, sf)
 
 
-@query()
+_GATES = {
+    "accuracy": "NOT acc > 0.80", "f1_good": "NOT f1_pos > 0.85", "rating_mae": "NOT (SELECT avg(abs(pred_rating - star)) FROM scored) < 0.8",
+    "threshold": "NOT (threshold > 0.05 AND threshold < 0.95)",
+}
+
+
+@query(O.base_scored(_EVAL, _STEPS, _CAL.split("\nSELECT")[0], "cal AS (SELECT" + _CAL.split("\nSELECT")[1] + ")") + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"check\", 'required' AS level, ({sql})::BIGINT AS violations, NOT ({sql}) AS ok FROM cal" for n, sql in _GATES.items()))
 def metric_gates(spark, sf):
     """Gates on the calibrated metrics; the word-list scorer is not expected to pass them all."""
     rows = _eval(spark, sf)
@@ -985,22 +1056,33 @@ def _run_stream(spark, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-@query()
+@query("SELECT DISTINCT event_type AS item, user_id, value FROM events")
 def stream_dedup(spark, sf):
-    return _run_stream(spark, jobs.dedup_stream(_event_stream(spark, sf), ["item", "user_id", "value"], None))
+    """The keys that pass; which of several equal events does is a matter of arrival."""
+    kept = _run_stream(spark, jobs.dedup_stream(_event_stream(spark, sf), ["item", "user_id", "value"], None))
+    return kept.select("item", "user_id", "value")
 
 
-@query()
+def _run_counts(spark, df: DataFrame, keys: list[str]) -> DataFrame:
+    folder = shared_folder(spark)
+    jobs.write_updates(df, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return jobs.latest_counts(spark, f"{folder}/out", df.schema, keys)
+
+
+@query("SELECT event_type AS item, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_day_volume(spark, sf):
-    return _run_stream(spark, jobs.day_volume_stream(_event_stream(spark, sf)))
+    """Counts by updates, so that the last days are there as well."""
+    return _run_counts(spark, jobs.day_volume_stream(_event_stream(spark, sf)), ["item", "day"])
 
 
-@query()
+@query("SELECT user_id, event_type AS item, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 3")
 def stream_burst(spark, sf):
-    return _run_stream(spark, jobs.burst_stream(_event_stream(spark, sf), ["user_id", "item"], 3))
+    bursts = jobs.burst_stream(_event_stream(spark, sf), ["user_id", "item"], 3)
+    return _run_counts(spark, bursts, ["user_id", "item", "day"])
 
 
-@query()
+@query("WITH " + O.REVIEWS + f", every AS (SELECT row_id, star, {O.cleaned('comment')} AS comment FROM reviews), " + O.scored("every")
+       + f" SELECT row_id, p_pos, pred_sent, {_sql_r('exp_rating')}, pred_rating, {_sql_r('p_rating')} FROM scored")
 def stream_scores(spark, sf):
     folder = shared_folder(spark)
     schema = D.table(spark, sf, "documents").schema
@@ -1008,4 +1090,4 @@ def stream_scores(spark, sf):
     rows = docs.select(F.col("doc_id").alias("row_id"), T.clean_text(F.col("text")).alias("comment"))
     score = lambda df: M.attach_lexicon_scores(df, D.SENTIMENT).drop("comment")
     jobs.score_stream(rows, score, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("row_id", "p_pos", "pred_sent", *_r("exp_rating"), "pred_rating", *_r("p_rating"))

@@ -61,6 +61,30 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every change of a running count into a folder of its micro-batch. Nothing waits for
+    the watermark, so the last days of a stream that ends are there as well; a batch that is
+    replayed overwrites its folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        df.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, path: str, schema, keys: list[str], count: str = "n") -> DataFrame:
+    """The current counts from the changes that ``write_updates`` left: counts only grow, so the
+    largest one of a key is the latest."""
+    changes = spark.read.schema(schema).parquet(path)
+    return changes.groupBy(*keys).agg(F.max(count).alias(count))
+
+
 def score_stream(reviews: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
                  checkpoint: str) -> StreamingQuery:
     """Score each micro-batch into its own folder. A batch that is replayed after a failure
