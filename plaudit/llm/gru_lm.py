@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from plaudit.llm.common import bounded_batches, held_out, one_per_key, stored, t
 END = b""
 TAILS = 16
 LOG10 = math.log(10)
+#: Logits are cut here; exp of it is still a number, and trained ones stay far below.
+LARGEST = np.float32(60)
 #: Key of documents without an id.
 NO_ID = (1 << 63) - 1
 
@@ -161,8 +164,9 @@ class Gru:
         w, n = self.w, len(target)
         word = target < self.n_words
         cls = np.where(word, target % self.c, self.c + target - self.n_words)
-        logits = hidden @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
+        logits = hidden @ w["wc"]
+        logits += w["bc"]
+        np.minimum(logits, LARGEST, out=logits)
         p = np.exp(logits)
         total = p.sum(1, keepdims=True)
         rows = np.arange(n)
@@ -181,12 +185,14 @@ class Gru:
             if not len(mine):
                 continue
             here, place = hidden[mine], target[mine] // self.c
-            y = here @ w["ww"][c] + w["bw"][c]
-            y -= y.max(1, keepdims=True)
-            q = np.exp(y)
-            sums = q.sum(1, keepdims=True)
+            y = here @ w["ww"][c]
+            y += w["bw"][c]
+            np.minimum(y, LARGEST, out=y)
             at = np.arange(len(mine))
-            out[mine] += y[at, place] - np.log(sums[:, 0])
+            mine_of = y[at, place]
+            q = np.exp(y, out=y)
+            sums = q.sum(1, keepdims=True)
+            out[mine] += mine_of - np.log(sums[:, 0])
             if gradient:
                 q /= sums
                 q[at, place] -= 1
@@ -214,7 +220,9 @@ class Gru:
             carry = d * z + dgh @ w["wh"].T
         flat = dgx.reshape(-1, 3 * h)
         demb = np.zeros_like(w["emb"])
-        np.add.at(demb, ids.reshape(-1), flat @ w["wx"].T)
+        order = np.argsort(ids, axis=None, kind="stable")
+        seen, first = np.unique(ids.reshape(-1)[order], return_index=True)
+        demb[seen] = np.add.reduceat((flat @ w["wx"].T)[order], first, axis=0)
         return {"wx": x.reshape(-1, self.e).T @ flat, "b": flat.sum(0), "wh": dwh, "emb": demb}
 
 
@@ -361,10 +369,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: LmConfig = LmConfig()
 
             for batch in batches:
                 for text, mix in zip(batch["text"], batch["mix"]):
-                    tokens = _ids(tokens_of(text), words)
+                    tokens = tokens_of(text)
                     at = int(mix * (2 * number + 1) >> 3) % max(1, len(tokens) - config.span + 1)
-                    target = tokens[at : at + config.span]
-                    lanes.append((np.concatenate([[tokens[at - 1] if at else end], target[:-1]]), target))
+                    span = _ids([tokens[at - 1] if at else END, *tokens[at : at + config.span]], words)
+                    target = span[1:]
+                    lanes.append((span[:-1], target))
                     seen += len(target)
                     first = int(mix) if first is None else first
                     if len(lanes) == config.lanes:
@@ -376,20 +385,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: LmConfig = LmConfig()
                 yield pd.DataFrame({"part": [first % 64], "tokens": [seen], "weights": [net.pack()]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The mean of the weights, by tokens."""
             total, tokens = None, 0
             for batch in batches:
                 for n, w in zip(batch["tokens"], batch["weights"]):
                     part = np.frombuffer(w, np.float32).astype(np.float64) * n
                     total, tokens = part if total is None else total + part, tokens + int(n)
             if tokens:
-                yield pd.DataFrame({"tokens": [tokens], "total": [total.tobytes()]})
+                yield pd.DataFrame({"tokens": [tokens], "weights": [(total / tokens).astype(np.float32).tobytes()]})
 
         trained = rows.mapInPandas(run, "part long, tokens long, weights binary")
-        sums = trained.repartition(16, "part").mapInPandas(add, "tokens long, total binary").toPandas()  # at most 16 rows
-        if not len(sums):
+        parts = trained.repartition(16, "part").mapInPandas(add, "tokens long, weights binary")  # at most 64 rows
+        row = parts.repartition(1).mapInPandas(add, "tokens long, weights binary").first()
+        if row is None:
             break
-        mean = sum(np.frombuffer(x, np.float64) for x in sums["total"]) / sums["tokens"].sum()
-        weights = start.unpack(mean)
+        weights = start.unpack(np.frombuffer(row.weights, np.float32))
     return weights
 
 
@@ -409,8 +419,12 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         words, w = shared.value
         net = Gru(words, config, w)
         end = words.ids.get(END, len(words.ids) + tail_of(END))
-        log_mass, known = np.log10(words.mass), words.counts
-        log_base = {c: math.log10(words.base(c)) for c in set(known.values())}
+        log_mass = np.log10(words.mass)
+        # Known words by number, those of the network first: one lookup a token gives the rest.
+        names = [*words.ids, *(w for w in words.counts if w not in words.ids)]
+        number = {w: i for i, w in enumerate(names)}
+        log_base = np.log10([words.base(words.counts[w]) for w in names])
+        net_id = np.array([*range(net.n_words), *(net.n_words + tail_of(w) for w in names[net.n_words :])], np.int32)
         held: list[tuple] = []
         waiting, size = [], 0
 
@@ -422,21 +436,16 @@ def score_documents(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary,
         for batch in batches:
             for i, th, text in zip(batch["id"], batch["th"], batch["text"]):
                 tokens = tokens_of(text)
-                ids = _ids(tokens, words)
-                times = Counter(tokens)
-                n_known, base, inside, rare = 0, 0.0, 0.0, []
-                for word, n in times.items():
-                    c = known.get(word)
-                    if c is None:
-                        rare.append({"word": word, "n": n})
-                        continue
-                    n_known += n
-                    b = n * log_base[c]
-                    base += b
-                    if word not in words.ids:
-                        inside += b
+                numbers = np.fromiter(map(number.get, tokens, repeat(-1)), np.int32, len(tokens))
+                known = numbers[numbers >= 0]
+                ids = np.empty(len(tokens), np.int32)
+                ids[numbers >= 0] = net_id[known]
+                unknown = [tokens[k] for k in np.flatnonzero(numbers < 0)]
+                ids[numbers < 0] = [net.n_words + tail_of(w) for w in unknown]
+                base, inside = log_base[known].sum(), log_base[known[known >= net.n_words]].sum()
                 tails = ids[ids >= net.n_words] - net.n_words
-                held.append((i, th, len(tokens), n_known, base, inside - log_mass[tails].sum(), rare))
+                rare = [{"word": w, "n": n} for w, n in Counter(unknown).items()]
+                held.append((i, th, len(tokens), len(known), base, inside - log_mass[tails].sum(), rare))
                 waiting.append(ids)
                 size += len(ids)
             if size >= config.held_tokens:
