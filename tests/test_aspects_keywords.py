@@ -33,7 +33,7 @@ def mentions(reviews):
 def test_mentions(mentions):
     got = {(r.row_id, r.clause, r.aspect) for r in mentions.collect()}
     assert got == {
-        (1, "剧情精彩", "剧情故事"), (1, "演技出色", "演技表演"), (1, "画面惊艳", "画面特效"),
+        (1, "剧情精彩", "剧情故事"), (1, "演技出色", "演技表演"), (1, "画面惊艳", "画面特效"), (1, "配乐好听", "配乐音效"),
         (2, "剧情无聊", "剧情故事"), (2, "节奏拖沓", "节奏剪辑"),
         (3, "结局失望", "结局结尾"), (3, "剧情很差", "剧情故事"),
         (5, "故事喜欢", "剧情故事"), (5, "故事精彩", "剧情故事"),
@@ -54,7 +54,7 @@ def test_rates_and_evidence(mentions):
 def test_pros_cons_weak(spark, mentions, reviews):
     table = A.aspect_table(mentions, CFG)
     out = {r["item"]: r for r in A.pros_and_cons(table, reviews, cfg=CFG).collect()}
-    assert {p.aspect for p in out["m1"].pros} == {"演技表演", "画面特效"}
+    assert {p.aspect for p in out["m1"].pros} == {"演技表演", "画面特效", "配乐音效"}
     assert [c.aspect for c in out["m1"].cons] == ["节奏剪辑"] and out["m1"].weak == []
     assert {c.aspect for c in out["m2"].cons} == {"结局结尾", "剧情故事"}
     assert out["m1"].n_sampled == 3 and out["m1"].cons[0].evidence == ["节奏拖沓"]

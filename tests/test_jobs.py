@@ -43,28 +43,29 @@ def test_segments_can_be_written_again(spark, tmp_path):
 
 def test_whole_batch(spark, tmp_path):
     raw = spark.createDataFrame(make_rows(400), SCHEMA).drop("p_pos")
-    cfg = batch.BatchConfig(split=C.SplitConfig(val_below=300, train_below=700), aspects=C.AspectConfig(min_mentions=3), keywords=C.KeywordConfig(min_count=2))
+    cfg = batch.BatchConfig(split=C.SplitConfig(val_below=300, train_below=700), aspects=C.AspectConfig(min_mentions=3), keywords=C.KeywordConfig(min_count=2), smoke=True)
     tables = batch.run(raw, str(tmp_path), cfg)
     n = tables["reviews"].count()
     assert tables["summary"].agg(F.sum("n_reviews")).first()[0] == n == tables["spam_detail"].count()
     failed = [r.check for r in tables["checks"].filter("level = 'required' and not ok").collect()]
     assert failed == []
     block = tables["report"].orderBy(F.desc("final_score")).first().block
-    assert block.startswith("## m") and "疑似刷评" in block
-    sinks.write_csv(tables["summary"], str(tmp_path / "csv"))
-    sinks.write_json(tables["pros_cons"], str(tmp_path / "json"))
-    sinks.write_report(tables["report"], str(tmp_path / "report"), sinks.report_header(tables["summary"]))
-    text = spark.read.text(str(tmp_path / "report"), wholetext=True).collect()
-    assert any("影评总数：**%d**" % n in r.value for r in text)
+    assert block.startswith("score: m") and "suspicious: " in block
+    files = str(tmp_path / "files")
+    text = spark.read.text(f"{files}/report", wholetext=True).collect()
+    assert any("reviews: %d" % n in r.value for r in text)
     metrics = tables["metrics"].first()
+    assert spark.read.json(f"{files}/metrics_json").first().threshold == metrics.threshold
+    wrong = tables["predictions"].filter((F.col("p_pos") >= metrics.threshold).cast("int") != F.col("pred_sent"))
+    assert wrong.count() == 0 and tables["predictions"].count() == n
     assert metrics.n > 0 and 0 <= metrics.rating_acc <= 1
     seq = batch.prepare_sequences(tables["reviews"], str(tmp_path / "seq"), cfg)
     assert seq["prompts"].count() == n
     assert {r.split for r in seq["supervised"].select("split").distinct().collect()} <= {"train", "val"}
     assert seq["supervised"].filter(F.size("ids") != F.size("labels")).count() == 0
-    csv = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    csv = spark.read.option("header", True).csv(f"{files}/summary_csv")
     assert csv.count() == tables["summary"].count() and "final_score" in csv.columns
-    assert spark.read.json(str(tmp_path / "json")).count() == tables["pros_cons"].count()
+    assert spark.read.json(f"{files}/pros_cons_json").count() == tables["pros_cons"].count()
 
 
 @pytest.fixture()
@@ -118,3 +119,23 @@ def test_stream_scores_match_batch(spark, late_events, tmp_path):
     got = spark.read.parquet(out).select("row_id", "p_pos")
     want = M.attach_lexicon_scores(spark.read.parquet(folder)).select("row_id", "p_pos")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_counts_by_updates_lose_no_tail(spark, late_events, tmp_path):
+    df = jobs.day_volume_stream(_stream(spark, late_events))
+    out, cp = str(tmp_path / "u"), str(tmp_path / "u-cp")
+    jobs.write_updates(df, out, cp).awaitTermination()
+    jobs.write_updates(df, out, cp).awaitTermination()
+    got = {r.day.day: r.n for r in jobs.latest_counts(spark, out, df.schema, ["item", "day"]).collect()}
+    assert got == {1: 3, 2: 1, 10: 1, 12: 1}  # the row that came after the watermark is dropped
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from plaudit.operators.scale import drop_stored, shared_folder, stable_copy
+
+    copy = stable_copy(spark.range(5))
+    assert copy.count() == 5
+    folder = shared_folder(spark).rpartition("/")[0]
+    drop_stored(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

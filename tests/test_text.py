@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,66 +8,69 @@ from plaudit import config as C
 from plaudit.functions import text as T
 from plaudit.functions import scoring as S
 
-LINES = [
-    "see https://x.org/a?b=1 now", "www.abc.com好看", "a\x00b\x07c", "　全角　空格　", "tab\there\nand\r\nthere",
-    "   ", "", "😀😀😀", "aaabbcccc好好好好", "nbsp end", "VX：abc123", "加wx看", "@中文", "x@y", " em ",
-]
+CLEANED = {
+    "read http://q.test/p?x=1#y today": "read today",
+    "www.shop.test/灯 end": "end",
+    "left\x01right\x1f": "leftright",
+    "\u3000wide\u3000space\u3000": "wide space",
+    "one\ttwo\r\nthree": "one two three",
+    " \n ": "",
+    "": "",
+    "hard\u00a0space": "hard space",
+}
 
 
-def _python_clean(s):
-    s = re.sub(r"https?://\S+|www\.\S+", " ", s)
-    s = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", s)
-    return re.sub(r"\s+", " ", s.replace("　", " ").strip())
-
-
-def _column(spark, expr, lines=LINES):
+def _column(spark, expr, lines):
     df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
     return [r.v for r in df.select("i", expr(F.col("t")).alias("v")).orderBy("i").collect()]
 
 
-def test_clean_text_follows_python(spark):
-    assert _column(spark, T.clean_text) == [_python_clean(s) for s in LINES]
+def test_clean_text(spark):
+    assert _column(spark, T.clean_text, list(CLEANED)) == list(CLEANED.values())
 
 
-def test_normalize_and_template(spark):
-    norm = [re.sub(C.NON_WORD_PATTERN, "", s) for s in LINES]
-    assert _column(spark, T.normalize_text) == norm
-    texts = ["a" * 11, "a" * 12, "a" * 13, "aaabbccccdefghijklmnop", "aabbccddeeff"]
-    expected = [None if len(s) < 12 else re.sub(C.REPEAT_PATTERN, r"\1", s)[:12] for s in texts]
-    assert _column(spark, lambda c: T.template_head(c, 12), texts) == expected
+def test_normal_form_and_opening(spark):
+    assert _column(spark, T.normalize_text, ["A-b c!", "灯火，1 盏。", "é😀", ""]) == ["Abc", "灯火1盏", "", ""]
+    openings = {"short": None, "z" * 11: None, "z" * 12: "z", "mmmmnopqrstuvwxyz": "mnopqrstuvwx", "aabbaabbaabb": "aabbaabbaabb"}
+    assert _column(spark, lambda c: T.template_head(c, 12), list(openings)) == list(openings.values())
 
 
-def test_advert_pattern(spark):
-    texts = ["加微信看资源", "VX：abc123", "私聊我领取福利", "www.xxx.com", "剧情很棒，演员表演在线，结局有点仓促", "加wx看", "@中文", "see wx now"]
-    expected = [bool(re.search(C.AD_PATTERN, s, re.I)) for s in texts]
-    assert _column(spark, T.is_advert, texts) == expected == [True, True, True, True, False, False, True, True]
+def test_adverts(spark):
+    adverts = {"加VX领券": True, "http www.deal.test": True, "灯光柔和，镜头安静": False, "wxyz is no contact": False, "找 @店主 问": True}
+    got = dict(zip(adverts, _column(spark, T.is_advert, list(adverts))))
+    assert got == {t: bool(re.search(C.AD_PATTERN, t, re.I)) for t in adverts}
+    assert not got["灯光柔和，镜头安静"]
 
 
-def test_clauses_and_aspects(spark):
+def test_clauses(spark):
     cfg = C.AspectConfig()
-    got = _column(spark, lambda c: T.clauses(c, cfg.clause_pattern, 3), ["剧情很棒，但是节奏太拖沓了！特效呢？好。"])[0]
-    assert got == ["剧情很棒", "但是节奏太拖沓了", "特效呢"]
-    hits = _column(
-        spark, lambda c: T.clause_aspects(c, cfg.lexicon),
-        ["剧本写得非常敷衍", "特效很震撼，画面精美", "BGM 太好听了", "bgm 太好听了", "今天天气不错", "imax Imax"],
-    )
-    assert hits[0] == ["剧情故事"] and "画面特效" in hits[1]
-    assert hits[2] == hits[3] == ["配乐音效"]
-    assert hits[4] == [] and hits[5] == ["画面特效"]
-
-
-def test_no_keyword_belongs_to_two_aspects():
-    seen = {}
-    for aspect, words in C.AspectConfig().lexicon.items():
-        for word in words:
-            assert seen.setdefault(word, aspect) == aspect
-    assert len(C.ASPECT_KEYWORDS) == 21
-
-
-def test_hit_clauses_keep_the_first_distinct_ones(spark):
-    cfg = C.AspectConfig(lexicon={"a": ("xx",), "b": ("yy",)}, clause_pattern=",")
-    rows = _column(spark, lambda c: T.hit_clauses(c, cfg), ["xx1,xx1,none,yyxx,xx2,xx3,yy4"])[0]
-    assert [(r.clause, r.aspects) for r in rows] == [("xx1", ["a"]), ("yyxx", ["a", "b"]), ("xx2", ["a"])]
+    rows = _column(spark, lambda c: T.clauses(c, cfg.clause_pattern, 3), ["灯光柔和，镜头安静！短。尾声悠长"])
+    assert rows == [["灯光柔和", "镜头安静", "尾声悠长"]]
+
+
+def test_aspects_of_a_clause(spark):
+    lexicon = {"light": ("灯光", "lamp"), "sound": ("Echo", "回声"), "pace": ("慢",)}
+    clauses = ["灯光与回声", "LAMP on", "an echo", "nothing", "慢慢"]
+    assert _column(spark, lambda c: T.clause_aspects(c, lexicon), clauses) == [["light", "sound"], ["light"], ["sound"], [], ["pace"]]
+
+
+def test_aspect_keywords_are_disjoint():
+    words = [set(w) for w in C.AspectConfig().lexicon.values()]
+    assert len(set().union(*words)) == sum(map(len, words))
+
+
+def test_hit_clauses(spark):
+    every = C.AspectConfig(lexicon={"a": ("xx",), "b": ("yy",)}, clause_pattern=",")
+    text = ["xx1,xx1,none,yyxx,xx2,xx3,yy4"]
+    pairs = lambda cfg: [(r.clause, r.aspects) for r in _column(spark, lambda c: T.hit_clauses(c, cfg), text)[0]]
+    want = [("xx1", ["a"]), ("yyxx", ["a", "b"]), ("xx2", ["a"]), ("xx3", ["a"]), ("yy4", ["b"])]
+    assert pairs(every) == want
+    assert pairs(replace(every, clauses_per_review=3)) == want[:3]
+
+
+def test_tokens(spark):
+    got = _column(spark, T.word_tokens, ["Red lamp灯火红 é2x 夜", ""])
+    assert got == [["red", "lamp", "灯火", "火红", "灯火红", "é", "x"], []]
 
 
 def test_labels_and_scores(spark):
