@@ -64,7 +64,8 @@ def log_odds(bags: DataFrame, cfg: C.KeywordConfig = C.KeywordConfig()) -> DataF
 
 
 def top_keywords(scored: DataFrame, cfg: C.KeywordConfig = C.KeywordConfig()) -> DataFrame:
-    """Best and worst words per item, as rows. Short lists may overlap."""
+    """Best and worst words per item, as rows. Short lists may overlap. ``scored`` is read
+    twice; store it if it is not a table."""
     best = top_per_group(scored, ["item"], [F.desc("z"), F.asc("word")], cfg.top)
     worst = top_per_group(scored, ["item"], [F.asc("z"), F.desc("word")], cfg.top)
     return best.withColumn("polarity", F.lit("pos")).unionByName(

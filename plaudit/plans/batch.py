@@ -101,8 +101,8 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
         sampled = save("sampled", sample_reviews_per_item(sampled, cfg.aspects.sample_per_item, cfg.aspects.seed))
     mentions = save("mentions", A.aspect_mentions(sampled, score_clause, cfg.aspects))
     table = save("aspects", A.aspect_table(mentions, cfg.aspects))
-    words = K.top_keywords(K.log_odds(K.word_bags(sampled, cfg.keywords), cfg.keywords), cfg.keywords)
-    keywords = save("keywords", words)
+    odds = stable_copy(K.log_odds(K.word_bags(sampled, cfg.keywords), cfg.keywords))
+    keywords = save("keywords", K.top_keywords(odds, cfg.keywords))
     pros_cons = save(
         "pros_cons",
         A.pros_and_cons(table, sampled, K.keyword_lists(keywords, cfg.keywords), cfg.aspects),

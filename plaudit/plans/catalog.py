@@ -636,7 +636,7 @@ _Z0 = "z0 AS (SELECT item, word, y, x, round(z, 3) AS z FROM z)"
 
 def _top_words(spark, sf):
     """z is rounded to three digits first, as it is reported; equal z then go by word."""
-    return K.top_keywords(_log_odds(spark, sf).withColumn("z", F.round("z", 3)), D.KEYWORDS)
+    return K.top_keywords(stable_copy(_log_odds(spark, sf).withColumn("z", F.round("z", 3))), D.KEYWORDS)
 
 
 @query(O.base_scored(O.WORDS, O.LOG_ODDS, _Z0, _TOPK) + "SELECT item, polarity, CAST(rank AS INT) AS rank, word, z, y, x FROM top_words")
@@ -679,10 +679,15 @@ board AS (SELECT s.*, coalesce(n.pros, '') AS pros, coalesce(n.cons, '') AS cons
 _BOARD = (O.STATS, O.CLAUSES, O.HITS, O.RATES.replace("rates AS", "rates AS", 1), O.ASPECT_CHOICE, O.SPAM, O.SPAM_SUMMARY, _SUMMARY_SQL)
 
 
-def _pros_cons(spark, sf):
-    mentions = stable_copy(_mentions(spark, sf))
+def _shared(spark, sf) -> DataFrame:
+    """Cleaned and scored reviews, stored once for a query that reads them several times."""
+    return stable_copy(scored(spark, sf))
+
+
+def _pros_cons(rows: DataFrame) -> DataFrame:
+    mentions = stable_copy(A.aspect_mentions(rows, clause_score, D.ASPECTS))
     table = stable_copy(A.aspect_table(mentions, D.ASPECTS))
-    return A.pros_and_cons(table, clean(spark, sf), cfg=D.ASPECTS)
+    return A.pros_and_cons(table, rows, cfg=D.ASPECTS)
 
 
 def _spam_base(spark, sf):
@@ -693,14 +698,19 @@ def _detail(spark, sf):
     return X.spam_detail(_spam_base(spark, sf), D.SPAM)
 
 
-def _board(spark, sf):
-    scores = R.item_scores(R.item_stats(scored(spark, sf)))
-    return R.item_summary(scores, _pros_cons(spark, sf), X.spam_summary(_detail(spark, sf)))
+def _detail_of(rows: DataFrame) -> DataFrame:
+    return X.spam_detail(stable_copy(X.signal_base(rows, D.SPAM)), D.SPAM)
+
+
+def _board(rows: DataFrame, aspects: DataFrame) -> DataFrame:
+    scores = R.item_scores(R.item_stats(rows))
+    return R.item_summary(scores, aspects, X.spam_summary(_detail_of(rows)))
 
 
 @query(O.base_scored(*_BOARD) + f"SELECT item, {', '.join(_COUNTS)}, likes_sum, {_sql_r('star_pos_rate', 'model_pos_rate', 'pred_rating_mean', 'star_mean', 'likes_mean', *_SCORES)}, pros, cons, n_suspect, {_sql_r('suspect_rate')} FROM board")
 def item_summary(spark, sf):
-    return _board(spark, sf).select(
+    rows = _shared(spark, sf)
+    return _board(rows, _pros_cons(rows)).select(
         "item", *_COUNTS, "likes_sum", *_r("star_pos_rate", "model_pos_rate", "pred_rating_mean", "star_mean", "likes_mean", *_SCORES),
         "pros", "cons", "n_suspect", *_r("suspect_rate"))
 
@@ -731,9 +741,9 @@ _REPORT = ", ".join([O.EVIDENCE, _aspect_lines_sql("pros", "liked", "pos"), _asp
 FROM board b LEFT JOIN pros_lines p ON p.item = b.item LEFT JOIN cons_lines c ON c.item = b.item LEFT JOIN weak_lines w ON w.item = b.item""")
 def full_report(spark, sf):
     """Report blocks with suspects, aspects and quotes."""
-    aspects = stable_copy(_pros_cons(spark, sf))
-    board = R.item_summary(R.item_scores(R.item_stats(scored(spark, sf))), aspects, X.spam_summary(_detail(spark, sf)))
-    return sinks.report_blocks(board, aspects).select("item", *_r("final_score"), "block")
+    rows = _shared(spark, sf)
+    aspects = stable_copy(_pros_cons(rows))
+    return sinks.report_blocks(_board(rows, aspects), aspects).select("item", *_r("final_score"), "block")
 
 
 # --- suspicious reviews -------------------------------------------------------------
@@ -857,8 +867,10 @@ def spam_summary(spark, sf):
 @query(O.base_scored(O.SPAM) + """SELECT item, CAST(rank AS INT) AS rank, row_id, star, likes, spam_score, reasons, substring(comment, 1, 80) AS comment FROM (
   SELECT *, row_number() OVER (PARTITION BY item ORDER BY spam_points DESC, likes DESC, row_id) AS rank FROM detail WHERE is_suspect) WHERE rank <= 8""")
 def spam_top8(spark, sf):
-    ranked = X.rank_suspects(_detail(spark, sf), D.SPAM)
-    out = X.suspect_texts(ranked, clean(spark, sf), D.SPAM)
+    """The suspects meet the raw table, so only their texts are cleaned."""
+    ranked = stable_copy(X.rank_suspects(_detail(spark, sf), D.SPAM))
+    raw = D.reviews(spark, sf).join(ranked.select("row_id"), "row_id", "left_semi")
+    out = X.suspect_texts(ranked, N.clean_reviews(raw), D.SPAM)
     return out.select("item", "rank", "row_id", "star", "likes", "spam_score", X.reasons_text(F.col("reasons")).alias("reasons"), "comment")
 
 
@@ -885,8 +897,8 @@ def spam_ranked_items(spark, sf):
 SELECT s.item, n_suspect, spam_ad AS ad, spam_template AS template, spam_low_info AS low_info, coalesce(n_top, 0) AS n_top FROM summary s LEFT JOIN t ON s.item = t.item""")
 def spam_nested_json(spark, sf):
     """Nested summary written as JSON and read back with its schema."""
-    rows = scored(spark, sf)
-    detail = stable_copy(_detail(spark, sf))
+    rows = _shared(spark, sf)
+    detail = stable_copy(_detail_of(rows))
     top = X.suspect_texts(X.rank_suspects(detail, D.SPAM), rows, D.SPAM)
     nested = X.nested_spam_summary(X.spam_summary(detail), top)
     path = shared_folder(spark) + "/spam_json"
@@ -907,17 +919,17 @@ def leaderboard(spark, sf):
 
 @query(O.base_scored(*_BOARD) + f"SELECT item, n_reviews, {_sql_r('final_score', 'suspect_rate')}, replace(pros, '、', ',') AS pros, replace(cons, '、', ',') AS cons FROM board")
 def item_list(spark, sf):
-    scores = R.item_scores(R.item_stats(scored(spark, sf)))
-    summary = R.item_summary(scores, _pros_cons(spark, sf))
-    out = V.list_items(summary, X.spam_summary(_detail(spark, sf)))
+    rows = _shared(spark, sf)
+    summary = R.item_summary(R.item_scores(R.item_stats(rows)), _pros_cons(rows))
+    out = V.list_items(summary, X.spam_summary(_detail_of(rows)))
     return out.select("item", "n_reviews", *_r("final_score", "suspect_rate"), _joined("pros", ","), _joined("cons", ","))
 
 
 @query(O.base_scored(*_BOARD) + f"""SELECT board.item, board.n_reviews, {_sql_r('final_score')}, board.n_suspect, pros, cons,
   coalesce((SELECT string_agg(aspect, '、' ORDER BY rank) FROM weak WHERE weak.item = board.item), '') AS weak FROM board WHERE board.item = 'src3'""")
 def item_detail(spark, sf):
-    pc = _pros_cons(spark, sf)
-    details = V.item_details(R.item_scores(R.item_stats(scored(spark, sf))), pc, X.spam_summary(_detail(spark, sf)))
+    rows = _shared(spark, sf)
+    details = V.item_details(R.item_scores(R.item_stats(rows)), _pros_cons(rows), X.spam_summary(_detail_of(rows)))
     names = lambda c: R.aspect_names(F.col(c)).alias(c)
     return V.item_detail(details, "src3").select(
         "item", F.col("stats.n_reviews").alias("n_reviews"), F.round("score.final_score", 6).alias("final_score"),
@@ -991,13 +1003,13 @@ _CHECKS = {
 
 
 def _checks_table(spark, sf):
-    rows = scored(spark, sf)
+    rows = _shared(spark, sf)
     scores = stable_copy(R.item_scores(R.item_stats(rows)))
-    detail = stable_copy(_detail(spark, sf))
+    detail = stable_copy(_detail_of(rows))
     per_item = stable_copy(X.spam_summary(detail))
     return Q.all_checks(
         Q.summary_checks(scores), Q.prediction_checks(rows), Q.spam_checks(per_item, detail),
-        Q.aspect_checks(_pros_cons(spark, sf)), Q.totals_check(scores, per_item))
+        Q.aspect_checks(_pros_cons(rows)), Q.totals_check(scores, per_item))
 
 
 @query(O.base_scored(*_BOARD) + "SELECT \"check\", level, violations, violations = 0 AS ok FROM (" + " UNION ALL ".join(
