@@ -6,14 +6,14 @@ A scored table has row_id -> p_pos, pred_sent, exp_rating, pred_rating, p_rating
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit import config as C
@@ -55,6 +55,27 @@ class ReviewModel:
     threshold: float = 0.5
 
 
+def save_review_model(model: ReviewModel, path: str) -> None:
+    """Write the three parts and the threshold under a folder."""
+    for name in ("features", "sentiment", "rating"):
+        getattr(model, name).write().overwrite().save(f"{path}/{name}")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(model.threshold,)], "threshold double").write.mode("overwrite").parquet(f"{path}/threshold")
+
+
+def load_review_model(spark: SparkSession, path: str) -> ReviewModel:
+    parts = {name: PipelineModel.load(f"{path}/{name}") for name in ("features", "sentiment", "rating")}
+    return ReviewModel(**parts, threshold=spark.read.parquet(f"{path}/threshold").first()["threshold"])
+
+
+def calibrated(model: ReviewModel, val: DataFrame) -> ReviewModel:
+    """The model with the threshold that is best on labelled validation rows."""
+    from plaudit.operators.evaluation import best_threshold
+
+    rows = score_reviews(model, val).select(S.star_label(F.col("star")).alias("label"), F.col("p_pos").alias("p"))
+    return replace(model, threshold=float(best_threshold(rows).first()["threshold"]))
+
+
 def _verdict_stage(scored: DataFrame, threshold: float) -> DataFrame:
     p = vector_to_array("sent_probability")[1]
     return scored.withColumn("p_pos", p).withColumn("pred_sent", S.verdict(F.col("p_pos"), threshold))

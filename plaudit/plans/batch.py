@@ -54,6 +54,16 @@ def validation_metrics(predictions: DataFrame, split: C.SplitConfig, max_rows: i
     return E.calibrate(val).withColumn("__e", error).select("*", "__e.*").drop("__e")
 
 
+def trained_scorer(raw: DataFrame, path: str, cfg: BatchConfig = BatchConfig(), **fit) -> Callable[[DataFrame], DataFrame]:
+    """Fit on the training rows, calibrate on the validation rows, save under ``path``, and
+    return the scorer of the model as it is read back: the ``score`` of ``run``."""
+    rows = stable_copy(with_split(dedup_keep_first(clean_reviews(raw, cfg.clean)), cfg.split))
+    model = M.fit_review_model(rows.filter(F.col("split") == "train"), **fit)
+    M.save_review_model(M.calibrated(model, rows.filter(F.col("split") == "val")), path)
+    loaded = M.load_review_model(raw.sparkSession, path)
+    return lambda df: M.score_reviews(loaded, df)
+
+
 def prepare_sequences(reviews: DataFrame, out: str, cfg: BatchConfig = BatchConfig()) -> dict[str, DataFrame]:
     """Vocabulary and encoded reviews: supervised train and validation rows, prompts for all.
     Characters are counted over all texts, or over a spread sample of ``vocab_rows``."""

@@ -68,6 +68,19 @@ def test_whole_batch(spark, tmp_path):
     assert spark.read.json(f"{files}/pros_cons_json").count() == tables["pros_cons"].count()
 
 
+def test_trained_path(spark, tmp_path):
+    """Fit, calibrate, save, load and score give the scores of the model in memory."""
+    raw = spark.createDataFrame(make_rows(300), SCHEMA).drop("p_pos")
+    cfg = batch.BatchConfig(split=C.SplitConfig(val_below=300, train_below=1000))
+    score = batch.trained_scorer(raw, str(tmp_path / "model"), cfg, features=1 << 8, max_iter=3)
+    rows = raw.filter("comment is not null")
+    got = score(rows).select("row_id", "p_pos", "pred_sent").collect()
+    loaded = M.load_review_model(spark, str(tmp_path / "model"))
+    again = M.score_reviews(loaded, rows).select("row_id", "p_pos", "pred_sent").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == rows.count()
+    assert all((r.p_pos >= loaded.threshold) == (r.pred_sent == 1) for r in got)
+
+
 @pytest.fixture()
 def late_events(spark, tmp_path):
     day = lambda d, h=12: dt.datetime(2024, 1, d, h)
