@@ -125,7 +125,8 @@ def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.nda
 
 def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], same: bool, config: DedupConfig) -> list[tuple[int, int]]:
     """Runs of lines of the later text, from hits (line there, line in the earlier text) extended
-    both ways, that have at least ``min_words`` words. ``same``: both are one text."""
+    both ways, that have at least ``min_words`` words; those that meet are joined. ``same``:
+    both are one text."""
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     out = []
     by_shift: dict[int, list[int]] = {}
@@ -147,7 +148,13 @@ def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hit
             reached = int(differ[i]) if i < len(differ) else high
             if total[reached] - total[first] >= config.min_words:
                 out.append((first, reached))
-    return out
+    merged: list[tuple[int, int]] = []
+    for first, last in sorted(out):  # text that repeats itself matches at many shifts
+        if merged and first <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
+        else:
+            merged.append((first, last))
+    return merged
 
 
 def without_runs(text: str, runs: list[tuple[int, int]], config: DedupConfig) -> tuple[str, int]:
