@@ -171,11 +171,14 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFram
     named = spark.createDataFrame(
         [(i, s) for i, s in enumerate(targets["source"])], "no int, source string"
     )
+    # The sources are at the driver already, one row each; they may be broadcast. The slots grow
+    # with the corpus, but Spark takes them for as small as the draws they come from.
+    named = F.broadcast(named)
     rows = placed.filter("size > 0").join(named, placed["source"].eqNullSafe(named["source"])).drop("source")
     covered = F.sequence((F.col("start") / config.block).cast("bigint"), ((F.col("start") + F.col("size") - 1) / config.block).cast("bigint"))
     spans = rows.withColumn("block", F.explode(covered))
     taken = block_takes(spark, targets, config)
-    met = spans.join(taken, ["no", "block"])
+    met = spans.join(taken.hint("merge"), ["no", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * config.block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * config.block)
     pieces = met.select(
@@ -194,7 +197,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     )
     keys = [placed[k].eqNullSafe(per_doc[k]) for k in ("doc_id", "th", "start")]
     counted = placed.join(per_doc, keys, "left").select(placed["*"], F.coalesce("taken", F.lit(0)).alias("taken"))
-    return counted.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return counted.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
