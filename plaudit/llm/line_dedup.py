@@ -223,10 +223,13 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     hits = later.groupBy("id", "twin", F.col("first.id").alias("a_id"), F.col("first.twin").alias("a_twin")).agg(
         F.collect_list(F.struct("pos", F.col("first.pos").alias("a_pos"))).alias("hits")
     )
-    every = lines.select("id", "twin", "th", "folds")
-    mine = hits.join(every, ["id", "twin"])
-    theirs = every.select(F.col("id").alias("a_id"), F.col("twin").alias("a_twin"), F.col("th").alias("a_th"), F.col("folds").alias("a_folds"))
-    pairs = mine.join(theirs, ["a_id", "a_twin"])
+
+    def side(name: str) -> DataFrame:
+        """Both sides rename all columns, so that their exchanges are the same."""
+        return lines.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "twin", "th", "folds")])
+
+    mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("twin") == F.col("late_twin")))
+    pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_twin") == F.col("first_twin")))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,8 +243,9 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
                 out += [(r.id, r.th, a, b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
-    columns = ["id", "th", "folds", "a_id", "a_th", "a_folds", "hits"]
-    runs = pairs.select(*columns).mapInPandas(extend, "id long, th int, first int, last int")
+    columns = {"late_th": "th", "late_folds": "folds", "first_th": "a_th", "first_folds": "a_folds"}
+    named = pairs.select("id", "a_id", "hits", *[F.col(k).alias(v) for k, v in columns.items()])
+    runs = named.mapInPandas(extend, "id long, th int, first int, last int")
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
