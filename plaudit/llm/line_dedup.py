@@ -1,11 +1,10 @@
 """Line dedup: later repeats of passages are found by winnowing over line hashes and deleted.
 
-Texts are folded into short lines: at line ends, behind sentence marks, and behind words chosen by
-their hash. The folds depend on the words around them only, so a passage is folded alike wherever
-it stands, also in the middle of a long line. Of the hashes of ``gram`` lines in a row the minimum
-of every window is a fingerprint: any shared run of ``window + gram - 1`` lines has a common one.
-The first occurrence of each fingerprint, in document order, is the partner of all later ones; the
-match is extended both ways line by line, and if the run is long enough it is deleted from the
+Texts are folded into lines of one word each, so a passage is folded alike wherever it stands, also
+in the middle of a long line and without any marks. Of the hashes of ``gram`` lines in a row the
+minimum of every window is a fingerprint: any shared run of ``window + gram - 1`` words has a common
+one. The first occurrence of each fingerprint, in document order, is the partner of all later ones;
+the match is extended both ways word by word, and if the run is long enough it is deleted from the
 later text. What is deleted always stands in an earlier place, and the first place stays.
 """
 
@@ -14,7 +13,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -26,8 +24,6 @@ from pyspark.sql import functions as F
 
 from plaudit.llm.common import bounded_batches, map_columns, one_per_key, stored, table, text_of
 
-MARKS = np.zeros(256, bool)
-MARKS[list(b".!?;|")] = True
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Key of documents without an id, which come last.
 NO_ID = (1 << 63) - 1
@@ -35,14 +31,13 @@ NO_ID = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class DedupConfig:
-    """Runs of fewer than ``min_words`` words stay. ``fold`` is the mean number of words after
-    which a line is folded without a mark, ``longest`` the largest."""
+    """Runs of fewer than ``min_words`` words stay. A line has ``longest`` words; any run of
+    ``gram + window - 1`` shared words has a common fingerprint, which must not exceed 51."""
 
     min_words: int = 40
-    gram: int = 3
-    window: int = 7
-    fold: int = 4
-    longest: int = 64
+    gram: int = 24
+    window: int = 27
+    longest: int = 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,40 +46,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fold_all(texts: list[bytes], config: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Short lines of UTF-8 texts, one text behind the other: their hashes (32 bits), their
-    numbers of words, and where each text begins among them (one entry more than texts)."""
+def fold_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of UTF-8 texts, one text behind the other: the hashes of their words (32 bits), and
+    where each text begins among them (one entry more than texts)."""
     words: list[bytes] = []
-    line_ends, text_ends = [], []
+    begin = [0]
     for data in texts:
-        for line in data.split(b"\n"):
-            words += line.split()
-            line_ends.append(len(words))
-        text_ends.append(len(words))
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    crc = np.fromiter(map(crc32, words), np.uint64, n)
-    ends = MARKS[np.fromiter(map(itemgetter(-1), words), np.uint8, n)]
-    ends |= _mix(crc) % np.uint64(config.fold) == 0
-    at = np.array(line_ends)
-    ends[at[at > 0] - 1] = True
-    starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-    since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    ends |= (since + 1) % config.longest == 0
-    starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-    length = np.diff(np.append(starts, n))
-    place = (np.arange(n) - np.repeat(starts, length)).astype(np.uint64)
-    total = np.add.reduceat(_mix(crc + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    hashes = (_mix(total + length.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    begin = np.concatenate([[0], np.searchsorted(starts, np.array(text_ends))])
-    return hashes, length.astype(np.uint8), begin
+        words += data.split()
+        begin.append(len(words))
+    return np.fromiter(map(crc32, words), np.uint32, len(words)), np.array(begin, np.int64)
 
 
 def folded(data: bytes, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and numbers of words of the short lines of one text."""
-    hashes, words, _ = fold_all([data], config)
-    return hashes, words
+    """Hashes and numbers of words of the lines of one text."""
+    hashes, _ = fold_all([data])
+    return hashes, np.full(len(hashes), config.longest, np.uint8)
+
+
+def _grams(lines: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` lines in a row from each line on, put together from those of powers of
+    two. The last ``size - 1`` run over the end and mean nothing."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    part, width, out, done = _mix(lines.astype(np.uint64) + step), 1, None, 0
+
+    def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        ahead = np.zeros_like(b)
+        ahead[: max(len(b) - shift, 0)] = b[shift:]
+        return _mix(a * step + ahead)
+
+    while True:
+        if size & width:
+            out = part if out is None else joined(out, part, done)
+            done += width
+        if done == size:
+            return out
+        part, width = joined(part, part, width), 2 * width
 
 
 def winnow_all(lines: np.ndarray, begin: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,23 +91,22 @@ def winnow_all(lines: np.ndarray, begin: np.ndarray, config: DedupConfig) -> tup
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     n = np.diff(begin)
     owner = np.repeat(np.arange(len(n)), n)
-    x = np.concatenate([lines.astype(np.uint64), np.zeros(config.gram, np.uint64)])
-    of = np.concatenate([owner, np.full(config.gram, -1)])
-    grams = np.zeros(len(lines), np.uint64)
-    for i in range(config.gram):
-        same = of[i : i + len(lines)] == owner
-        grams = _mix(grams + np.where(same, x[i : i + len(lines)], np.uint64(0)) + np.uint64(0x9E3779B97F4A7C15))
-    # A gram that runs over the end of its text counts only if the text has no whole one.
     at = np.arange(len(lines)) - begin[:-1][owner]
+    grams = _grams(lines, config.gram)
+    short = np.flatnonzero((n > 0) & (n < config.gram))
+    for i in short:
+        grams[begin[i]] = _grams(lines[begin[i] : begin[i + 1]], int(n[i]))[0]
+    # A gram that runs over the end of its text counts only if the text has no whole one.
     whole = at <= np.maximum(n[owner] - config.gram, 0)
     grams, owner, at = grams[whole], owner[whole], at[whole]
     left = np.bincount(owner, minlength=len(n))[owner] - at  # grams from here to the end of the text
-    best = np.arange(len(grams))
-    for i in range(1, config.window):
-        other = np.arange(len(grams)) + i
-        inside = left > i
-        other = np.where(inside, other, best)
-        best = np.where(grams[other] < grams[best], other, best)
+    place = np.arange(len(grams))
+    best, width = place.copy(), 1
+    while width < config.window:  # the leftmost minimum of twice as many grams, or of all of the window
+        shift = min(width, config.window - width)
+        other = best[np.minimum(place + shift, len(grams) - 1)]
+        best = np.where((left > shift) & (grams[other] < grams[best]), other, best)
+        width += shift
     first = (left >= config.window) | (at == 0)
     chosen = np.unique(best[first])
     return grams[chosen].astype(np.int64), owner[chosen], at[chosen].astype(np.int32)
@@ -123,11 +118,10 @@ def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.nda
     return marks, at
 
 
-def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], same: bool, config: DedupConfig) -> list[tuple[int, int]]:
+def repeated_runs(later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], same: bool, config: DedupConfig) -> list[tuple[int, int]]:
     """Runs of lines of the later text, from hits (line there, line in the earlier text) extended
     both ways, that have at least ``min_words`` words; those that meet are joined. ``same``:
     both are one text."""
-    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     out = []
     by_shift: dict[int, list[int]] = {}
     for b, a in hits:
@@ -146,7 +140,7 @@ def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hit
                 continue  # equal fingerprints of different lines
             first = int(differ[i - 1]) + 1 if i else low
             reached = int(differ[i]) if i < len(differ) else high
-            if total[reached] - total[first] >= config.min_words:
+            if reached - first >= config.min_words:
                 out.append((first, reached))
     merged: list[tuple[int, int]] = []
     for first, last in sorted(out):  # text that repeats itself matches at many shifts
@@ -157,12 +151,10 @@ def repeated_runs(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, hit
     return merged
 
 
-def without_runs(text: str, runs: list[tuple[int, int]], config: DedupConfig) -> tuple[str, int]:
-    """The text without runs of its short lines, and the number of words taken out. The blanks
+def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without runs of its words, and the number of words taken out. The blanks
     behind a deleted run go with it, at the end of the text those before it."""
     data = text.encode("utf-8")
-    _, length = folded(data, config)
-    first_word = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
     starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
     kept, at, removed, covered = [], 0, 0, 0
     for a, b in sorted(runs):
@@ -170,10 +162,9 @@ def without_runs(text: str, runs: list[tuple[int, int]], config: DedupConfig) ->
         if a >= b:
             continue
         covered = b
-        wa, wb = int(first_word[a]), int(first_word[b])
-        kept.append(data[at : starts[wa]])
-        at = starts[wb]
-        removed += wb - wa
+        kept.append(data[at : starts[a]])
+        at = starts[b]
+        removed += b - a
     rest = data[at:]
     out = b"".join(kept) + rest
     return (out if rest else out.rstrip(b" \t\n\x0b\x0c\r")).decode("utf-8"), removed
@@ -191,7 +182,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     """``id, th, runs``: the runs of lines to delete from each document that has any. The id is
     the doc_id (a null one comes last), th tells documents with one id apart.
 
-    The corpus is read once; its line hashes are stored, 5 bytes a line. Fingerprints that occur
+    The corpus is read once; its line hashes are stored, 4 bytes a word. Fingerprints that occur
     once go after a count; a hot one meets its first place by a join whose large side is split
     (counts and first places are stored, so both sides of the joins are plain exchanges). Later
     and earlier texts are joined from one exchange of the line hashes.
@@ -201,21 +192,21 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes, words, begin = fold_all([t.encode("utf-8") for t in batch["text"]], config)
-            spans = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
-            packed = [hashes[a:b].astype("<u4").tobytes() + words[a:b].tobytes() for a, b in spans]
+            hashes, begin = fold_all([t.encode("utf-8") for t in batch["text"]])
+            packed = [hashes[a:b].astype("<u4").tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
             yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "folds": packed})
 
     lines = _numbered(stored(rows.mapInPandas(fold, "id long, th int, folds binary")))
+    enough = F.octet_length("folds") >= 4 * config.min_words
 
     def winnow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = [len(x) // 5 for x in batch["folds"]]
-            all_lines = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(batch["folds"], sizes)])
+            sizes = [len(x) // 4 for x in batch["folds"]]
+            all_lines = np.frombuffer(b"".join(batch["folds"]), "<u4")
             marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
             yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "twin": batch["twin"].to_numpy()[owner], "pos": at})
 
-    marks = lines.select("id", "twin", "folds").mapInPandas(winnow, "h long, id long, twin int, pos int")
+    marks = lines.filter(enough).select("id", "twin", "folds").mapInPandas(winnow, "h long, id long, twin int, pos int")
     several = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     shared = stored(marks.join(several, "h"))
     firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "twin", "pos")).alias("first")))
@@ -226,7 +217,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         """Both sides rename all columns, so that their exchanges are the same."""
-        return lines.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "twin", "th", "folds")])
+        return lines.filter(enough).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "twin", "th", "folds")])
 
     mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("twin") == F.col("late_twin")))
     pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_twin") == F.col("first_twin")))
@@ -235,11 +226,8 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                n, m = len(r.folds) // 5, len(r.a_folds) // 5
-                found = repeated_runs(
-                    np.frombuffer(r.folds, "<u4", n), np.frombuffer(r.folds, np.uint8, n, 4 * n), np.frombuffer(r.a_folds, "<u4", m),
-                    [(h["pos"], h["a_pos"]) for h in r.hits], (r.id, r.th) == (r.a_id, r.a_th), config,
-                )
+                hits = [(h["pos"], h["a_pos"]) for h in r.hits]
+                found = repeated_runs(np.frombuffer(r.folds, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, (r.id, r.th) == (r.a_id, r.a_th), config)
                 out += [(r.id, r.th, a, b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
@@ -268,7 +256,7 @@ def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
         sizes = batch.column("n_chars").to_pylist() if sized else []
         for i, runs in enumerate(batch.column("__runs").to_pylist()):
             if runs:
-                texts[i], removed[i] = without_runs(texts[i], [(r["first"], r["last"]) for r in runs], config)
+                texts[i], removed[i] = without_runs(texts[i], [(r["first"], r["last"]) for r in runs])
                 if sized:
                     sizes[i] = len(texts[i])
         return None, {"text": texts, "removed_words": removed} | ({"n_chars": sizes} if sized else {})

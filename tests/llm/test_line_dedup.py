@@ -114,3 +114,20 @@ def test_winnowing_text_by_text_and_side_by_side():
         if len(t) >= CONFIG.gram + CONFIG.window - 1:  # every window has a mark
             gaps = np.diff(np.concatenate([[-1], one[1], [len(t) - CONFIG.gram + 1]]))
             assert gaps.max() <= CONFIG.window
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_passages_of_51_words_and_more_in_the_middle_of_a_sentence(spark, marks):
+    r = random.Random(21)
+    own = lambda n: r.choices([f"{a}{b}{c}" for a in "abcdefgh" for b in "lmnopqrst" for c in "uvwxyz"], k=n)
+    texts, planted = [], []
+    for n in [*range(51, 61)] * 4:
+        passage = (prose(n, r) if marks else " ".join(own(n))).split(" ")
+        planted.append(" ".join(passage))
+        texts += [" ".join([*own(r.randint(30, 90)), *passage, *own(r.randint(30, 90))]) for _ in range(2)]
+    texts.append("\n".join(["plain words"] * 15))
+    rows = D.dedup_lines(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    for k, passage in enumerate(planted):
+        first, later = rows["text"].iloc[2 * k], rows["text"].iloc[2 * k + 1]
+        assert first == texts[2 * k] and passage not in later
+        assert rows["removed_words"].iloc[2 * k + 1] >= len(passage.split()) and not set(windows(passage, 12)) & set(windows(later, 12))
