@@ -3,9 +3,12 @@
 Texts are folded into lines of one word each, so a passage is folded alike wherever it stands, also
 in the middle of a long line and without any marks. Of the hashes of ``gram`` lines in a row the
 minimum of every window is a fingerprint: any shared run of ``window + gram - 1`` words has a common
-one. The first occurrence of each fingerprint, in document order, is the partner of all later ones;
-the match is extended both ways word by word, and if the run is long enough it is deleted from the
-later text. What is deleted always stands in an earlier place, and the first place stays.
+one. The first occurrence of each fingerprint, in document order, is the partner of all later ones.
+A gram has as many words as a run must have, so whatever else the first place holds, the gram itself
+is a run to delete from the later text; the match is extended both ways word by word. Fingerprints
+inside a shared run are at most ``window`` apart, so their grams cover it but for fewer than
+``window`` words at either end, which stay if the first places of the outermost grams do not share
+them. What is deleted always stands in an earlier place, and the first place stays.
 """
 
 from __future__ import annotations
@@ -32,13 +35,18 @@ NO_ID = (1 << 63) - 1
 @dataclass(frozen=True)
 class DedupConfig:
     """Runs of fewer than ``min_words`` words stay. A line has ``longest`` words; any run of
-    ``gram + window - 1`` shared words has a common fingerprint, which must not exceed 51."""
+    ``gram + window - 1`` shared words has a common fingerprint, which must not exceed 51.
+    ``gram`` is not below ``min_words``: each common gram is a run by itself."""
 
     min_words: int = 40
-    gram: int = 24
-    window: int = 27
+    gram: int = 40
+    window: int = 12
     longest: int = 1
 
+    def __post_init__(self):
+        if self.gram < self.min_words:
+            raise ValueError("gram must not be below min_words")
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -118,32 +126,23 @@ def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.nda
     return marks, at
 
 
-def repeated_runs(later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], same: bool, config: DedupConfig) -> list[tuple[int, int]]:
+def repeated_runs(later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], config: DedupConfig) -> list[tuple[int, int]]:
     """Runs of lines of the later text, from hits (line there, line in the earlier text) extended
-    both ways, that have at least ``min_words`` words; those that meet are joined. ``same``:
-    both are one text."""
-    out = []
-    by_shift: dict[int, list[int]] = {}
-    for b, a in hits:
-        by_shift.setdefault(b - a, []).append(b)
-    for shift, at in by_shift.items():
-        if same and shift <= 0:
-            continue
-        low, high = max(0, shift), min(len(later), len(earlier) + shift)
-        differ = np.flatnonzero(later[low:high] != earlier[low - shift : high - shift]) + low
-        reached = -1
-        for b in sorted(at):
-            if b < reached:
-                continue
-            i = np.searchsorted(differ, b)
-            if i < len(differ) and differ[i] == b:
-                continue  # equal fingerprints of different lines
-            first = int(differ[i - 1]) + 1 if i else low
-            reached = int(differ[i]) if i < len(differ) else high
-            if reached - first >= config.min_words:
-                out.append((first, reached))
+    both ways by less than a window, since behind that the next hit lies; those that meet are
+    joined. The work grows with the hits, however a text repeats itself."""
+    found, edge = [], config.window - 1
+    around = np.arange(-edge, config.gram + edge)
+    for part in range(0, len(hits), 16_384):  # bounded memory
+        b, a = np.array(hits[part : part + 16_384], np.int64).T
+        mine, other = b[:, None] + around, a[:, None] + around
+        inside = (mine >= 0) & (mine < len(later)) & (other >= 0) & (other < len(earlier))
+        same = inside & (later[np.where(inside, mine, 0)] == earlier[np.where(inside, other, 0)])
+        before = np.logical_and.accumulate(same[:, edge - 1 :: -1][:, :edge], axis=1).sum(1) if edge else 0
+        behind = np.logical_and.accumulate(same[:, edge + config.gram :], axis=1).sum(1)
+        whole = same[:, edge : edge + config.gram].all(1)  # else equal fingerprints of different lines
+        found += zip((b - before)[whole].tolist(), (b + config.gram + behind)[whole].tolist())
     merged: list[tuple[int, int]] = []
-    for first, last in sorted(out):  # text that repeats itself matches at many shifts
+    for first, last in sorted(found):
         if merged and first <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
         else:
@@ -227,7 +226,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 hits = [(h["pos"], h["a_pos"]) for h in r.hits]
-                found = repeated_runs(np.frombuffer(r.folds, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, (r.id, r.th) == (r.a_id, r.a_th), config)
+                found = repeated_runs(np.frombuffer(r.folds, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, config)
                 out += [(r.id, r.th, a, b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 

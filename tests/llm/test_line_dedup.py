@@ -131,3 +131,18 @@ def test_passages_of_51_words_and_more_in_the_middle_of_a_sentence(spark, marks)
         first, later = rows["text"].iloc[2 * k], rows["text"].iloc[2 * k + 1]
         assert first == texts[2 * k] and passage not in later
         assert rows["removed_words"].iloc[2 * k + 1] >= len(passage.split()) and not set(windows(passage, 12)) & set(windows(later, 12))
+
+
+def test_a_passage_of_a_middle_document_goes_whose_sentence_stood_before(spark):
+    r = random.Random(23)
+    own = lambda n: r.choices([f"{a}{b}{c}" for a in "abcdefgh" for b in "lmnopqrst" for c in "uvwxyz"], k=n)
+    texts, n = [], 12
+    for _ in range(n):
+        passage = own(60)
+        # Earlier documents hold each piece of 36 words of it, so no short fingerprint is new in the second holder.
+        pieces = [[*own(20), *passage[at : at + 36], *own(20)] for at in range(0, 25, 3)]
+        texts += [" ".join(x) for x in [*pieces, [*own(50), *passage, *own(50)], [*own(50), *passage, *own(50)]]]
+    rows = D.dedup_lines(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    size = len(texts) // n
+    later = rows["removed_words"].iloc[size - 1 :: size]
+    assert (later >= 60).all() and rows["removed_words"].sum() == later.sum()
