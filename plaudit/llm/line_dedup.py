@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import bounded_batches, map_columns, one_per_key, stored, table, text_of
@@ -169,14 +168,6 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return (out if rest else out.rstrip(b" \t\n\x0b\x0c\r")).decode("utf-8"), removed
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Adds ``twin``, which tells documents with one id apart: 0 as long as ids do not repeat."""
-    if lines.groupBy("id").count().filter("count > 1").isEmpty():
-        return lines.withColumn("twin", F.lit(0))
-    order = W.partitionBy("id").orderBy("th")
-    return stored(one_per_key(lines, ["id", "th"]).withColumn("twin", F.row_number().over(order) - 1))
-
-
 def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     """``id, th, runs``: the runs of lines to delete from each document that has any. The id is
     the doc_id (a null one comes last), th tells documents with one id apart.
@@ -187,7 +178,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     and earlier texts are joined from one exchange of the line hashes.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id")
-    rows = docs.filter(F.col("text").isNotNull()).select(key, F.hash(text_of()).alias("th"), "text")
+    rows = docs.filter(F.col("text").isNotNull()).select(key, F.xxhash64(text_of()).alias("th"), "text")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,7 +186,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
             packed = [hashes[a:b].astype("<u4").tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
             yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "folds": packed})
 
-    lines = _numbered(stored(rows.mapInPandas(fold, "id long, th int, folds binary")))
+    lines = one_per_key(stored(rows.mapInPandas(fold, "id long, th long, folds binary")), ["id", "th"])
     enough = F.octet_length("folds") >= 4 * config.min_words
 
     def winnow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,23 +194,23 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
             sizes = [len(x) // 4 for x in batch["folds"]]
             all_lines = np.frombuffer(b"".join(batch["folds"]), "<u4")
             marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
-            yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "twin": batch["twin"].to_numpy()[owner], "pos": at})
+            yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "th": batch["th"].to_numpy()[owner], "pos": at})
 
-    marks = lines.filter(enough).select("id", "twin", "folds").mapInPandas(winnow, "h long, id long, twin int, pos int")
+    marks = lines.filter(enough).select("id", "th", "folds").mapInPandas(winnow, "h long, id long, th long, pos int")
     several = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     shared = stored(marks.join(several, "h"))
-    firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "twin", "pos")).alias("first")))
-    later = shared.join(firsts, "h").filter(F.struct("id", "twin", "pos") > F.col("first"))
-    hits = later.groupBy("id", "twin", F.col("first.id").alias("a_id"), F.col("first.twin").alias("a_twin")).agg(
+    firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("first")))
+    later = shared.join(firsts, "h").filter(F.struct("id", "th", "pos") > F.col("first"))
+    hits = later.groupBy("id", "th", F.col("first.id").alias("a_id"), F.col("first.th").alias("a_th")).agg(
         F.collect_list(F.struct("pos", F.col("first.pos").alias("a_pos"))).alias("hits")
     )
 
     def side(name: str) -> DataFrame:
         """Both sides rename all columns, so that their exchanges are the same."""
-        return lines.filter(enough).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "twin", "th", "folds")])
+        return lines.filter(enough).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "th", "folds")])
 
-    mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("twin") == F.col("late_twin")))
-    pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_twin") == F.col("first_twin")))
+    mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("th") == F.col("late_th")))
+    pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_th") == F.col("first_th")))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,9 +221,8 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
                 out += [(r.id, r.th, a, b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
-    columns = {"late_th": "th", "late_folds": "folds", "first_th": "a_th", "first_folds": "a_folds"}
-    named = pairs.select("id", "a_id", "hits", *[F.col(k).alias(v) for k, v in columns.items()])
-    runs = named.mapInPandas(extend, "id long, th int, first int, last int")
+    named = pairs.select("id", "th", "hits", F.col("late_folds").alias("folds"), F.col("first_folds").alias("a_folds"))
+    runs = named.mapInPandas(extend, "id long, th long, first int, last int")
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
@@ -247,7 +237,7 @@ def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
     docs = docs.drop("removed_words")
     found = repeats(docs, config).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__id")
-    met = docs.join(found, key & (F.hash(text_of()) == F.col("__th")), "left").select(*[docs[c] for c in docs.columns], "__runs")
+    met = docs.join(found, key & (F.xxhash64(text_of()) == F.col("__th")), "left").select(*[docs[c] for c in docs.columns], "__runs")
     sized = "n_chars" in docs.columns
 
     def cut(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:

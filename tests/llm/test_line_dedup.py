@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from cases import LONG, PLAIN, docs_of, edge_docs, no_docs
+from pyspark.sql import functions as F
 
 from plaudit.llm import line_dedup as D
 
@@ -146,3 +147,14 @@ def test_a_passage_of_a_middle_document_goes_whose_sentence_stood_before(spark):
     size = len(texts) // n
     later = rows["removed_words"].iloc[size - 1 :: size]
     assert (later >= 60).all() and rows["removed_words"].sum() == later.sum()
+
+
+def test_texts_without_id_whose_32_bit_hashes_collide_are_two_documents(spark):
+    r = random.Random(25)
+    passage, other = prose(60, r), prose(60, r)
+    a = spark.range(400_000).select(F.concat(F.lit(passage + " a"), "id").alias("a")).withColumn("h", F.hash("a"))
+    b = spark.range(400_000).select(F.concat(F.lit(other + " b"), "id").alias("b")).withColumn("h", F.hash("b"))
+    met = a.join(b, "h").select("a", "b").first()
+    docs = spark.createDataFrame([(1, passage), (None, met.a), (None, met.b)], "doc_id long, text string")
+    rows = {r.text: r.removed_words for r in D.dedup_lines(docs).collect()}
+    assert rows == {passage: 0, met.a.split(" ")[-1]: 60, met.b: 0}
