@@ -3,10 +3,10 @@
 The output is factored: a softmax over classes, then one over the words of the class. The most
 frequent words have places in classes; every other word belongs to one of a few tail classes by its
 shape, and inside it has its share of the smoothed word counts. So every word has a probability,
-and the counts of the whole corpus are part of the model. Training runs in all tasks at once on
-spans of all training documents, with truncated backpropagation and carried state; the weights are
-averaged after every round. Scoring carries the state through a document from its first to its
-last token.
+and the counts of the whole corpus are part of the model. Training runs in all tasks at once on all
+tokens of all training documents, with truncated backpropagation; the weights are averaged after
+every round. Training and scoring carry the state through a document from its first to its last
+token.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ NO_ID = (1 << 63) - 1
 class LmConfig:
     """``vocabulary`` words have a place in the network; the counts of ``known`` words are at
     hand in every task (both bounds on what is broadcast), those of rarer words are joined.
-    Every training document gives a span of ``span`` tokens at a hashed place to each round."""
+    Every training document is read from end to end in each round, ``lanes`` of them side by side
+    in windows of ``window`` tokens. ``span`` has no effect any more."""
 
     vocabulary: int = 4096
     known: int = 1 << 17
@@ -47,7 +48,7 @@ class LmConfig:
     window: int = 32
     span: int = 64
     lanes: int = 64
-    rounds: int = 2
+    rounds: int = 1
     rate: float = 0.01
     folds: int = 10
     smoothing: float = 0.1
@@ -227,26 +228,49 @@ class Gru:
 
 
 class Trainer:
-    """Adam on windows of a batch of spans; the state is carried from window to window."""
+    """Adam on windows of documents that are read side by side; a lane carries the state of its
+    document from window to window, and takes the next document when it ends."""
 
-    def __init__(self, net: Gru, config: LmConfig):
-        self.net, self.config, self.t = net, config, 0
+    def __init__(self, net: Gru, config: LmConfig, end: int):
+        self.net, self.config, self.end, self.t, self.tokens = net, config, end, 0, 0
         self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.w.items()}
-
-    def batch(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> None:
-        """``inputs``, ``targets``, ``live``: (time, lane); lanes end where ``live`` does."""
-        state = np.zeros((inputs.shape[1], self.net.h), np.float32)
-        for at in range(0, len(inputs), self.config.window):
-            ids, mask = inputs[at : at + self.config.window], live[at : at + self.config.window]
-            if not mask.any():
-                return
-            hidden, kept, x = self.net.steps(ids, state, keep=True)
-            state = hidden[-1]
-            _, g, dh = self.net.log_probs(hidden[mask], targets[at : at + self.config.window][mask], gradient=True)
-            full = np.zeros_like(hidden)
-            full[mask] = dh
-            self._update(g | self.net.backward(ids, kept, x, full))
+        self.lanes: list[tuple[np.ndarray, int]] = []  # documents and how far they are read
+        self.state = np.zeros((0, net.h), np.float32)
+
+    def read(self, document: np.ndarray) -> None:
+        """Takes the token ids of a document; trains as long as no lane is free for the next."""
+        self.lanes.append((document, 0))
+        self.state = np.concatenate([self.state, np.zeros((1, self.net.h), np.float32)])
+        while len(self.lanes) >= self.config.lanes:
+            self._window()
+
+    def finish(self) -> None:
+        """Trains on what is left of the documents taken."""
+        while self.lanes:
+            self._window()
+
+    def _window(self) -> None:
+        size = min(self.config.window, max(len(d) - at for d, at in self.lanes))
+        inputs = np.full((size, len(self.lanes)), self.end, np.int32)
+        targets, live = np.zeros_like(inputs), np.zeros(inputs.shape, bool)
+        for j, (d, at) in enumerate(self.lanes):
+            part = d[at : at + size]
+            targets[: len(part), j], live[: len(part), j] = part, True
+            before = d[max(at - 1, 0) : at + len(part) - 1]
+            inputs[len(part) - len(before) : len(part), j] = before
+        hidden, kept, x = self.net.steps(inputs, self.state, keep=True)
+        _, g, dh = self.net.log_probs(hidden[live], targets[live], gradient=True)
+        full = np.zeros_like(hidden)
+        full[live] = dh
+        g |= self.net.backward(inputs, kept, x, full)
+        seen = int(live.sum())
+        share = np.float32(seen / (self.config.lanes * self.config.window))  # each token weighs alike
+        self._update({k: v * share for k, v in g.items()})
+        self.tokens += seen
+        ahead = [(d, at + size) for d, at in self.lanes]
+        stay = [j for j, (d, at) in enumerate(ahead) if at < len(d)]
+        self.lanes, self.state = [ahead[j] for j in stay], hidden[-1][stay]
 
     def _update(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
@@ -338,51 +362,35 @@ def vocabulary_of(counts: DataFrame, config: LmConfig) -> Vocabulary:
 
 
 def _ids(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    get, n = vocabulary.ids.get, len(vocabulary.ids)
-    return np.fromiter((i if (i := get(w)) is not None else n + tail_of(w) for w in words), np.int32, len(words))
+    out = np.fromiter(map(vocabulary.ids.get, words, repeat(-1)), np.int32, len(words))
+    rare = np.flatnonzero(out < 0)
+    out[rare] = [len(vocabulary.ids) + tail_of(words[k]) for k in rare]
+    return out
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, config: LmConfig = LmConfig()) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` rounds. In each one every task of the scan trains on a span of
-    all of its documents, and the results are averaged by tokens, in two steps, so that neither a
+    """Weights after ``rounds`` rounds. In each one every task of the scan trains on all
+    tokens of all of its documents, and the results are averaged by tokens, in two steps, so that neither a
     task nor the driver holds more than a few copies of the network."""
     start = Gru(vocabulary, config)
     end = vocabulary.ids.get(END, len(vocabulary.ids) + tail_of(END))
     rows = docs.select("text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(config.seed)), F.lit(1 << 40)).alias("mix"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     weights = start.w
-    for number in range(config.rounds):
+    for _ in range(config.rounds):
         state = docs.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = shared.value
             net = Gru(words, config, {k: v.copy() for k, v in state.value.items()})
-            trainer, lanes, seen, first = Trainer(net, config), [], 0, None
-
-            def step() -> None:
-                n = max(len(t) for _, t in lanes)
-                inputs, targets = np.full((n, len(lanes)), end, np.int32), np.zeros((n, len(lanes)), np.int32)
-                live = np.zeros((n, len(lanes)), bool)
-                for j, (i, t) in enumerate(lanes):
-                    inputs[: len(i), j], targets[: len(t), j], live[: len(t), j] = i, t, True
-                trainer.batch(inputs, targets, live)
-
+            trainer, first = Trainer(net, config, end), None
             for batch in batches:
                 for text, mix in zip(batch["text"], batch["mix"]):
-                    tokens = tokens_of(text)
-                    at = int(mix * (2 * number + 1) >> 3) % max(1, len(tokens) - config.span + 1)
-                    span = _ids([tokens[at - 1] if at else END, *tokens[at : at + config.span]], words)
-                    target = span[1:]
-                    lanes.append((span[:-1], target))
-                    seen += len(target)
                     first = int(mix) if first is None else first
-                    if len(lanes) == config.lanes:
-                        step()
-                        lanes.clear()
-            if lanes:
-                step()
-            if seen:
-                yield pd.DataFrame({"part": [first % 64], "tokens": [seen], "weights": [net.pack()]})
+                    trainer.read(_ids(tokens_of(text), words))
+            trainer.finish()
+            if trainer.tokens:
+                yield pd.DataFrame({"part": [first % 64], "tokens": [trainer.tokens], "weights": [net.pack()]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """The mean of the weights, by tokens."""

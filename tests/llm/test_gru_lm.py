@@ -117,3 +117,34 @@ def test_edges(spark):
     assert G.score_corpus(no_docs(spark), SMALL).count() == 0
     unseen = G.score_corpus(docs_of(spark, ["a b"]).selectExpr("9L AS doc_id", "text").filter("crc32('9') % 10 = 0"), SMALL)
     assert unseen.count() in (0, 1)
+
+
+def test_training_reads_every_token_with_carried_state(monkeypatch):
+    _, net = small_model()
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, net.n_words + G.TAILS, n).astype(np.int32) for n in (1, 23, 7, 5, 40, 6, 10, 300, 2)]
+    want = G.log_likelihoods(net, docs, 0).sum()
+    trainer, got, plain = G.Trainer(net, SMALL, 0), [], net.log_probs
+
+    def spied(hidden, target, gradient=False):
+        out = plain(hidden, target, gradient)
+        got.append(out[0])
+        return out
+
+    monkeypatch.setattr(net, "log_probs", spied)
+    monkeypatch.setattr(trainer, "_update", lambda g: None)
+    for d in docs:
+        trainer.read(d)
+    trainer.finish()
+    assert trainer.tokens == sum(map(len, docs)) == len(np.concatenate(got))
+    assert np.concatenate(got).sum() / math.log(10) == pytest.approx(want, rel=1e-4)
+
+
+def test_every_part_of_a_long_document_is_learned_from(spark):
+    words = [f"w{i * i % 37}" for i in range(3000)]
+    vocabulary = G.vocabulary_of(G.word_counts(docs_of(spark, [" ".join(words)])), SMALL)
+    plain = G.train(docs_of(spark, [" ".join(words)]), vocabulary, SMALL)
+    for at in (300, 1400, 2600):
+        moved = [*words[:at], *sorted(words[at : at + 40]), *words[at + 40 :]]
+        other = G.train(docs_of(spark, [" ".join(moved)]), vocabulary, SMALL)
+        assert any((plain[k] != other[k]).any() for k in plain), at
