@@ -210,18 +210,22 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
         return lines.filter(enough).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "th", "folds")])
 
     mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("th") == F.col("late_th")))
+    # Only the part of the later text around its hits goes on.
+    least = F.greatest(F.lit(0), F.array_min("hits.pos") - config.window)
+    size = F.array_max("hits.pos") + config.gram + config.window - F.col("from")
+    mine = mine.withColumn("from", least).withColumn("part", F.substring("late_folds", 4 * F.col("from") + 1, 4 * size)).drop("late_folds")
     pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_th") == F.col("first_th")))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                hits = [(h["pos"], h["a_pos"]) for h in r.hits]
+                hits = [(h["pos"] - r.start, h["a_pos"]) for h in r.hits]
                 found = repeated_runs(np.frombuffer(r.folds, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, config)
-                out += [(r.id, r.th, a, b) for a, b in found]
+                out += [(r.id, r.th, r.start + a, r.start + b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
-    named = pairs.select("id", "th", "hits", F.col("late_folds").alias("folds"), F.col("first_folds").alias("a_folds"))
+    named = pairs.select("id", "th", "hits", F.col("from").alias("start"), F.col("part").alias("folds"), F.col("first_folds").alias("a_folds"))
     runs = named.mapInPandas(extend, "id long, th long, first int, last int")
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
