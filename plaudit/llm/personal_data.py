@@ -291,7 +291,7 @@ def masked(text: Column, spans: Column) -> Column:
 def op12_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter(spans["kind"], lambda x: x == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(spans, BASE), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
