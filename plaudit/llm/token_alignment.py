@@ -4,11 +4,6 @@ Both tokenizers cut the bytes of a text. A dictionary of each leads from the byt
 ends to the token's index; the ends that both have, sorted, cut both id lists into groups, and every
 A token of a group is linked with every B token of it. Corpus-wide counts of linked id pairs come
 from Spark; the most frequent pairs, a bounded table, are looked up in the scan and the others joined.
-
-Texts are encoded in units, a run from one space that follows a character to the next such space.
-Neither tokenizer joins bytes across such a place (``units_hold`` checks the vocabulary), so the
-units of a text give exactly its tokens, and both always end there. Units that occur again are not
-encoded again.
 """
 
 from __future__ import annotations
@@ -16,10 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,52 +28,47 @@ FOLDER = os.environ.get("PLAUDIT_TOKENIZERS", "/opt/tokenizers")
 SHIFT = 1 << 20
 #: Pairs whose counts every task holds; all others are joined.
 FREQUENT = 1 << 18
-#: Units that a worker remembers, twice that at most, and the longest of them in characters.
-REMEMBERED = 1 << 16
-LONGEST = 48
-
-UNIT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
-
-
-@dataclass(frozen=True)
-class Aligned:
-    """Of a unit: tokens of A and B, groups, links, the groups as text, and the linked pairs."""
-
-    n_a: int
-    n_b: int
-    groups: int
-    links: int
-    text: str
-    pairs: dict[int, int]
-
-
-def align(a_ids: list[int], a_bytes: list[bytes], b_ids: list[int], b_bytes: list[bytes]) -> Aligned:
-    """Groups and links of two token lists over the same bytes."""
-    a_at, end = {}, 0
-    for i, piece in enumerate(a_bytes):
-        end += len(piece)
-        a_at[end] = i  # of tokens that end in one place, the last
-    b_at, end = {}, 0
-    for i, piece in enumerate(b_bytes):
-        end += len(piece)
-        b_at[end] = i
-    shown, pairs, links, i, j = [], {}, 0, 0, 0
-    for cut in sorted(a_at.keys() & b_at.keys()):
-        k, m = a_at[cut] + 1, b_at[cut] + 1
-        left, right = a_ids[i:k], b_ids[j:m]
-        shown.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-        links += len(left) * len(right)
-        if len(left) == len(right) == 1:
-            pair = left[0] * SHIFT + right[0]
-            pairs[pair] = pairs.get(pair, 0) + 1
-        else:
-            ours, theirs = Counter(left), Counter(right)
-            for a, x in ours.items():
-                for b, y in theirs.items():
-                    pair = a * SHIFT + b
-                    pairs[pair] = pairs.get(pair, 0) + x * y
-        i, j = k, m
-    return Aligned(len(a_ids), len(b_ids), len(shown), links, ";".join(shown), pairs)
+#: Groups of more links than that are counted by distinct ids and not link by link.
+LARGE = 1 << 12
+
+
+class Cuts:
+    """Where the groups of a text end in both id lists (exclusive indexes), and their sizes."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.a_sizes, self.b_sizes = [x - np.concatenate([[0], x[:-1]]) for x in (a, b)]
+
+
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> Cuts:
+    """The ends that both lists have, by a dictionary of each and the hash-set intersection of
+    their keys. Of tokens that end in one place, the last counts."""
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    cuts = sorted(a_at.keys() & b_at.keys())
+    return Cuts(*[np.fromiter(map(at.__getitem__, cuts), np.int64, len(cuts)) for at in (a_at, b_at)])
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct linked id pairs, ascending, with the number of their links."""
+    ga, gb = cuts.a_sizes, cuts.b_sizes
+    small = ga * gb <= LARGE
+    width = np.repeat(np.where(small, gb, 0), ga)  # links of every A token
+    first = np.repeat(cuts.b - gb, ga)
+    left = np.repeat(a[: len(width)], width)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
+    pairs, times = np.unique(left * SHIFT + b[right], return_counts=True)
+    if small.all():
+        return pairs, times
+    parts = [(pairs, times)]
+    for g in np.flatnonzero(~small):
+        ours, x = np.unique(a[cuts.a[g] - ga[g] : cuts.a[g]], return_counts=True)
+        theirs, y = np.unique(b[cuts.b[g] - gb[g] : cuts.b[g]], return_counts=True)
+        parts.append(((ours[:, None] * SHIFT + theirs).ravel(), (x[:, None] * y).ravel()))
+    pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    times = np.zeros(len(pairs), np.int64)
+    np.add.at(times, at, np.concatenate([t for _, t in parts]))
+    return pairs, times
 
 
 def byte_of_char() -> dict[str, int]:
@@ -92,7 +79,11 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Tokenizers:
-    """The two tokenizers of a task, with the bytes of every token and the units seen before."""
+    """Both tokenizers of a task, with the bytes and the written form of every id.
+
+    A is read from its vocabulary file and run by the faster library for the same kind, ids being
+    the ranks of its merges; its special tokens are left out, so their strings are plain text.
+    """
 
     def __init__(self, folder: str, a_file: str, b_file: str):
         import sentencepiece
@@ -100,83 +91,57 @@ class Tokenizers:
 
         letters = byte_of_char()
         with open(f"{folder}/{a_file}", encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        special = set(self._special(f"{folder}/{a_file}"))
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+            given = json.load(f)
+        special = {t["content"] for t in given["added_tokens"] if t["special"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in given["model"]["vocab"].items() if token not in special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.a = tiktoken.Encoding(a_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.a_bytes = {i: token for token, i in ranks.items()}
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
+        #: The pattern leaves out no character; with all single bytes, A gives back every text.
+        self.a_exact = all(bytes([x]) in ranks for x in range(256))
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{b_file}")
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.units_hold = not any(re.search(r"[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.young: dict[str, Aligned | None] = {}
-        self.old: dict[str, Aligned | None] = {}
-
-    @staticmethod
-    def _special(path: str) -> list[str]:
-        with open(path, encoding="utf-8") as f:
-            return [t["content"] for t in json.load(f)["added_tokens"] if t["special"]]
+        self.a_lengths, self.b_lengths = [np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes)]
+        if max(len(self.a_bytes), len(self.b_bytes)) > SHIFT:
+            raise ValueError(f"vocabularies of more than {SHIFT} ids")
+        #: Every id with the sign that follows it: inside a group and at its end, first all of A.
+        self.shown = [f"{i}{sign}" for i in range(len(self.a_bytes)) for sign in ",|"]
+        self.shown += [f"{i}{sign}" for i in range(len(self.b_bytes)) for sign in ",;"]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]) -> Iterator[Aligned | None]:
-        """The alignment of each unit, None where a tokenizer does not give back its bytes."""
-        for unit, b_ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1)):
-            a_ids = self.a.encode_ordinary(unit)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            data = unit.encode()
-            yield align(a_ids, a_bytes, b_ids, b_bytes) if b"".join(a_bytes) == data == b"".join(b_bytes) else None
-
-    def split(self, text: str) -> list[str]:
-        """The units of a text; a lone space at the end belongs to the one before."""
-        if not self.units_hold:
-            return [" " + text]
-        units = UNIT.findall(" " + text)
-        if len(units) > 1 and units[-1] == " ":
-            units[-2:] = [units[-2] + " "]
-        return units
-
-    def aligned(self, units: Iterable[str]) -> dict[str, Aligned | None]:
-        """Alignments of the distinct units; those not remembered are encoded together."""
-        found, new = {}, []
-        for unit in units:
-            if unit in self.young:
-                found[unit] = self.young[unit]
-            elif unit in self.old:
-                found[unit] = self.young[unit] = self.old[unit]
-            else:
-                new.append(unit)
-        for unit, made in zip(new, self.encode(new)):
-            found[unit] = made
-            if len(unit) <= LONGEST:
-                self.young[unit] = made
-                if len(self.young) >= REMEMBERED:
-                    self.young, self.old = {}, self.young
-        return found
-
-    def document(self, text: str | None) -> tuple[int, int, int, int, str, dict[int, int]]:
-        """n_a, n_b, n_groups, n_links, hash of the groups, linked pairs with their links."""
+    def written(self, a: np.ndarray, b: np.ndarray, cuts: Cuts) -> str:
+        """The groups as text, ``a1,a2|b1;a3|b2,b3``."""
+        ga, gb = cuts.a_sizes, cuts.b_sizes
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[cuts.a - 1] = b_last[cuts.b - 1] = 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(cuts.b - gb, ga)] = 2 * a + a_last
+        order[np.arange(len(b)) + np.repeat(cuts.a, gb)] = 2 * (len(self.a_bytes) + b) + b_last
+        return "".join(map(self.shown.__getitem__, order.tolist()))[:-1]
+
+    def document(self, text: str | None) -> tuple:
+        """n_a, n_b, n_groups, n_links, hash of the groups, linked pairs and their links."""
+        nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
         if not text:
-            return 0, 0, 0, 0, "", {}
-        units = self.split(text)
-        times = Counter(units)
-        found = self.aligned(times)
-        if None in found.values():  # bytes may still agree over the whole text
-            units = [" " + text]
-            times, found = Counter(units), {units[0]: next(self.encode(units))}
-            if found[units[0]] is None:
-                return 0, 0, 0, 0, "", {}
-        n_a = n_b = groups = links = 0
-        pairs: dict[int, int] = {}
-        for unit, k in times.items():
-            u = found[unit]
-            n_a, n_b, groups, links = n_a + k * u.n_a, n_b + k * u.n_b, groups + k * u.groups, links + k * u.links
-            for pair, x in u.pairs.items():
-                pairs[pair] = pairs.get(pair, 0) + k * x
-        digest = hashlib.sha256(";".join([found[u].text for u in units]).encode()).hexdigest()
-        return n_a, n_b, groups, links, digest, pairs
+            return nothing
+        data = (" " + text).encode()
+        a, b = self.a.encode_to_numpy(" " + text).astype(np.int64), np.array(self.b.encode(text), np.int64)
+        a_ends, b_ends = self.a_lengths[a].cumsum(), self.b_lengths[b].cumsum()
+        if not len(b) or not a_ends[-1] == b_ends[-1] == len(data):
+            return nothing
+        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
+            return nothing
+        if not self.a_exact and b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
+            return nothing
+        cuts = common_ends(a_ends, b_ends)
+        pairs, times = linked_pairs(a, b, cuts)
+        digest = hashlib.sha256(self.written(a, b, cuts).encode()).hexdigest()
+        return len(a), len(b), len(cuts.a), int(cuts.a_sizes @ cuts.b_sizes), digest, pairs, times
 
 
 @lru_cache(maxsize=1)
@@ -199,10 +164,8 @@ def align_documents(docs: DataFrame, folder: str = FOLDER, a_file: str = "byte_b
             plain = list(zip(*[m[:5] for m in made])) or [[]] * 5
             ids = pa.array(range(uid, uid + len(made)), pa.int64())
             uid += len(made)
-            pairs = [np.fromiter(m[5].keys(), np.int64, len(m[5])) for m in made]
-            times = [np.fromiter(m[5].values(), np.int64, len(m[5])) for m in made]
             columns = [batch.column("doc_id"), ids, *[pa.array(c, pa.int64()) for c in plain[:4]], pa.array(plain[4], pa.string())]
-            columns += [pa.array(x, pa.list_(pa.int64())) for x in (pairs, times)]
+            columns += [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (5, 6)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ALIGNED.split(", ")])
 
     bounded_batches(docs.sparkSession, 4)

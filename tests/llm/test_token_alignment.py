@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -69,27 +70,30 @@ def both():
     return X.tokenizers(X.FOLDER, "byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
-def test_units_give_the_tokens_of_the_whole_text(both):
-    assert both.units_hold
+def test_texts_against_whole_walk(both, monkeypatch):
     rnd = random.Random(3)
-    signs = [*" \n\t\xa0　\x1c\x85ab'.9é漢😀▁", "the", " and", "s", "\r\n", "ll"]
+    signs = [*" \n\t\xa0\u3000\x1c\x85ab'.9é漢😀▁", "the", " and", "s", "\r\n", "ll"]
     texts = HARD + ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
-    for text in texts:
-        g = brute(text)
-        n_a, n_b, groups, links, digest, pairs = both.document(text)
-        if g is None:
-            assert (n_a, digest, pairs) == (0, "", {}), repr(text)
-            continue
-        shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
-        assert digest == hashlib.sha256(shown.encode()).hexdigest(), repr(text)
-        assert pairs == Counter(a * X.SHIFT + b for left, right in g for a in left for b in right)
-        assert (groups, links) == (len(g), sum(pairs.values())) and "".join(both.split(text)) == " " + text
+    for large in (X.LARGE, 3):
+        monkeypatch.setattr(X, "LARGE", large)
+        for text in texts:
+            g = brute(text)
+            n_a, n_b, groups, links, digest, pairs, times = both.document(text)
+            if g is None:
+                assert (n_a, digest, len(pairs)) == (0, "", 0), repr(text)
+                continue
+            shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
+            assert digest == hashlib.sha256(shown.encode()).hexdigest(), repr(text)
+            assert dict(zip(pairs.tolist(), times.tolist())) == Counter(a * X.SHIFT + b for left, right in g for a in left for b in right)
+            assert (groups, links) == (len(g), times.sum())
 
 
 def test_alignment_of_given_lists():
-    got = X.align([1, 2, 2, 3], [b"a", b"bc", b"d", b"ef"], [7, 8, 7], [b"ab", b"cd", b"ef"])
-    assert (got.n_a, got.n_b, got.groups, got.links, got.text) == (4, 3, 2, 7, "1,2,2|7,8;3|7")
-    assert got.pairs == {X.SHIFT + 7: 1, X.SHIFT + 8: 1, 2 * X.SHIFT + 7: 2, 2 * X.SHIFT + 8: 2, 3 * X.SHIFT + 7: 1}
+    a, b = np.array([1, 2, 2, 3]), np.array([7, 8, 7])
+    cuts = X.common_ends(np.array([1, 3, 4, 6]), np.array([2, 4, 6]))
+    assert (cuts.a.tolist(), cuts.b.tolist()) == ([3, 4], [2, 3])
+    pairs, times = X.linked_pairs(a, b, cuts)
+    assert dict(zip(pairs.tolist(), times.tolist())) == {X.SHIFT + 7: 1, X.SHIFT + 8: 1, 2 * X.SHIFT + 7: 2, 2 * X.SHIFT + 8: 2, 3 * X.SHIFT + 7: 1}
 
 
 @pytest.mark.parametrize("frequent", [0, 40, 1 << 18])
