@@ -170,8 +170,21 @@ class AspectConfig:
     evidence_shown: int = 2
 
 
+@dataclass(frozen=True)
+class SegmentConfig:
+    """``max_words`` bounds the mined dictionary, the most frequent words first, as a vocabulary
+    size does; with the characters (at most 20,902) it is what every task holds."""
+
+    max_chars: int = 4
+    min_count: int = 5
+    min_pmi: float = 1.0
+    min_entropy: float = 0.5
+    max_words: int = 200_000
+
+
 @dataclass(frozen=True)
 class KeywordConfig:
+    segments: SegmentConfig = SegmentConfig()
     stop_words: tuple[str, ...] = tuple(dict.fromkeys(STOP_WORDS.split()))
     min_chars: int = 2
     min_count: int = 5

@@ -88,10 +88,15 @@ def hit_clauses(text: Column, cfg: C.AspectConfig) -> Column:
     return hits if cfg.clauses_per_review is None else F.slice(hits, 1, cfg.clauses_per_review)
 
 
+def letter_runs(text: Column) -> Column:
+    """Lower-cased runs of CJK ideographs and of other letters, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[一-龥]+|[\p{L}&&[^一-龥]]+"), F.lit(0))
+
+
 def word_tokens(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
-    """Default tokenizer: lower-cased runs of letters. A run of CJK ideographs has no word
-    boundaries and gives its overlapping n-grams of the given sizes."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[一-龥]+|[\p{L}&&[^一-龥]]+"), F.lit(0))
+    """Tokens without a dictionary: lower-cased runs of letters. A run of CJK ideographs has no
+    word boundaries and gives its overlapping n-grams of the given sizes."""
+    runs = letter_runs(text)
 
     def grams(run: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(run) - (n - 1))

@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaudit import config as C
-from plaudit.functions.text import word_tokens
 from plaudit.operators.scale import attach_group_values, stable_copy, top_per_group
+from plaudit.operators.segmentation import corpus_tokenizer
 
 
 def word_bags(reviews: DataFrame, cfg: C.KeywordConfig = C.KeywordConfig(),
-              tokenize: Callable[[Column], Column] = word_tokens) -> DataFrame:
+              tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Counts per item and word in the reviews judged good (``y``) and bad (``x``).
 
-    ``tokenize`` maps the text column to an array column, so any segmenter can be plugged in.
+    Runs of ideographs are cut by a dictionary mined from ``reviews``, which are read once more
+    for it. ``tokenize`` maps the text column to an array column in its place: the n-grams of
+    ``word_tokens``, a segmenter over a stored dictionary, or any other.
     """
+    if tokenize is None:
+        tokenize = corpus_tokenizer(reviews, cfg.segments)
     words = reviews.select("item", "pred_sent", F.explode(tokenize(F.col("comment"))).alias("word"))
     kept = words.filter(F.length("word") >= cfg.min_chars)
     if cfg.stop_words:

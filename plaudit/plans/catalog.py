@@ -20,6 +20,7 @@ from plaudit.operators import keywords as K
 from plaudit.operators import models as M
 from plaudit.operators import ratings as R
 from plaudit.operators import sampling as P
+from plaudit.operators import segmentation as G
 from plaudit.operators import serving as V
 from plaudit.operators import spam as X
 from plaudit.operators import vocab as B
@@ -615,6 +616,56 @@ def cjk_tokens(spark, sf):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SEGMENTS = C.SegmentConfig(min_count=20, min_pmi=0.5, min_entropy=0.5)
+_MINED = f"""han AS (SELECT unnest(regexp_extract_all(translate(lower(comment), '{_LETTERS}', '{_IDEOGRAPHS}'), '[一-龥]+|[^\\P{{L}}一-龥]+')) AS run FROM reviews),
+runs AS (SELECT run, count(*) AS times FROM han WHERE regexp_matches(run, '^[一-龥]') GROUP BY run),
+grams AS (SELECT times, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, length(run) - k + 2), lambda i: substring(run, i, k))))) AS gram FROM runs),
+counts AS MATERIALIZED (SELECT gram, CAST(sum(times) AS BIGINT) AS n FROM grams GROUP BY gram),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM counts WHERE length(gram) = 1),
+often AS (SELECT gram, n FROM counts WHERE n >= {_SEGMENTS.min_count}),
+cand AS (SELECT gram AS word, n FROM often WHERE length(gram) BETWEEN 2 AND 4),
+lefts AS (SELECT substring(gram, 2) AS word, sum(n * ln(n)) AS s FROM counts WHERE length(gram) > 2 GROUP BY 1),
+rights AS (SELECT substring(gram, 1, length(gram) - 1) AS word, sum(n * ln(n)) AS s FROM counts WHERE length(gram) > 2 GROUP BY 1),
+halves AS (SELECT word, n, unnest(range(1, length(word))) AS cut_at FROM cand),
+bonds AS (SELECT word, min(ln(c.n) + ln(t) - ln(h.n) - ln(e.n)) AS pmi FROM halves c, often h, often e, total
+  WHERE h.gram = substring(word, 1, cut_at) AND e.gram = substring(word, cut_at + 1) GROUP BY word),
+stats AS MATERIALIZED (SELECT c.word, c.n, pmi, greatest(0.0::DOUBLE, ln(c.n) - coalesce(b.s, 0) / c.n) AS left_entropy,
+  greatest(0.0::DOUBLE, ln(c.n) - coalesce(a.s, 0) / c.n) AS right_entropy
+  FROM cand c JOIN bonds USING (word) LEFT JOIN lefts b ON b.word = c.word LEFT JOIN rights a ON a.word = c.word)"""
+_PATHS = f"""dict AS MATERIALIZED (SELECT word, CAST(round(1000000 * ln(n / t)) AS BIGINT) AS weight FROM (
+  SELECT word, n FROM stats WHERE pmi >= {_SEGMENTS.min_pmi} AND least(left_entropy, right_entropy) >= {_SEGMENTS.min_entropy}
+  UNION ALL SELECT gram, n FROM counts WHERE length(gram) = 1), total),
+paths AS (SELECT run, 0 AS pos, 0::BIGINT AS weight, []::INT[] AS sizes FROM runs
+  UNION ALL SELECT run, pos + k, p.weight + d.weight, list_append(sizes, CAST(k AS INT)) FROM paths p, range(1, 5) s(k), dict d
+  WHERE pos + k <= length(run) AND d.word = substring(run, pos + 1, k)),
+best AS (SELECT run, sizes FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY weight DESC, len(sizes), sizes DESC) AS rn
+  FROM paths WHERE pos = length(run)) WHERE rn = 1),
+cut AS (SELECT run, unnest(sizes) AS size, unnest(list_transform(range(1, len(sizes) + 1), lambda i: coalesce(list_sum(sizes[1:i-1]), 0))) AS start FROM best),
+words AS (SELECT substring(run, CAST(start AS INT) + 1, size) AS token, times FROM cut JOIN runs USING (run)
+  UNION ALL SELECT run, 1 FROM han WHERE NOT regexp_matches(run, '^[一-龥]'))"""
+
+
+def _as_ideographs(spark, sf):
+    """The reviews with ten letters written as ideographs, so that they have runs without spaces."""
+    return D.reviews(spark, sf).withColumn("comment", F.translate(F.lower("comment"), _LETTERS, _IDEOGRAPHS))
+
+
+@query("WITH " + O.REVIEWS + f", {_MINED} SELECT word, n, {_sql_r('pmi', 'left_entropy', 'right_entropy')} FROM stats")
+def mined_words(spark, sf):
+    """Statistics by which the dictionary is chosen."""
+    counts = stable_copy(G.gram_counts(_as_ideographs(spark, sf), _SEGMENTS))
+    return G.word_statistics(counts, _SEGMENTS).select("word", "n", *_r("pmi", "left_entropy", "right_entropy"))
+
+
+@query("WITH RECURSIVE " + O.REVIEWS + f", {_MINED}, {_PATHS} SELECT token, CAST(sum(times) AS BIGINT) AS n FROM words GROUP BY token")
+def segmented_tokens(spark, sf):
+    """Tokens after the best cut of every run; the SQL tries all cuts."""
+    rows = stable_copy(_as_ideographs(spark, sf).select("comment"))
+    cut = G.corpus_tokenizer(rows, _SEGMENTS)
+    tokens = rows.select(F.explode(cut(F.col("comment"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(O.base_scored(O.WORDS) + "SELECT item, word, y, x FROM bags")
 def word_bags(spark, sf):
     return K.word_bags(scored(spark, sf), D.KEYWORDS)
