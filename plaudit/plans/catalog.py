@@ -17,6 +17,7 @@ from plaudit.operators import checks as Q
 from plaudit.operators import cleaning as N
 from plaudit.operators import evaluation as E
 from plaudit.operators import keywords as K
+from plaudit.operators import lexicon as L
 from plaudit.operators import models as M
 from plaudit.operators import ratings as R
 from plaudit.operators import sampling as P
@@ -577,6 +578,42 @@ def aspects_nested(spark, sf):
         F.round("a.like_weighted_pos_rate", 6).alias("like_weighted_pos_rate"), texts("evidence_pos"), texts("evidence_neg"))
 
 
+_LEXICON = """terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS w FROM benchmark),
+lexicon AS (SELECT 'topic' || (length(w) % 5) AS aspect, w AS keyword FROM terms WHERE length(w) <= 6
+  UNION SELECT 'opening', substring(w, 1, 1 + length(w) % 2) FROM terms)"""
+_DISTINCT_CLAUSES = """pieces AS (SELECT row_id, item, likes, list_distinct(cs) AS cs FROM clause_list),
+pieced AS (SELECT row_id, item, likes, unnest(cs) AS clause FROM pieces)"""
+_CONTAINED = """contained AS (SELECT row_id, item, likes, clause, aspect, keyword FROM pieced, lexicon
+  WHERE CASE WHEN regexp_matches(keyword, '^[\\x00-\\x7F]*$') THEN contains(lower(clause), lower(keyword)) ELSE contains(clause, keyword) END)"""
+
+
+def _lexicon(spark, sf):
+    """Words of the benchmark texts as a lexicon, and their openings of one or two letters."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")
+    words = D.table(spark, sf, "benchmark").select(found).distinct()
+    n = F.length("w")
+    topics = words.filter(n <= 6).select(F.concat(F.lit("topic"), (n % 5).cast("string")).alias("aspect"), F.col("w").alias("keyword"))
+    return topics.union(words.select(F.lit("opening"), F.substring("w", F.lit(1), 1 + n % 2))).distinct()
+
+
+@query(O.base(O.CLAUSES, _LEXICON, _DISTINCT_CLAUSES, _CONTAINED) + "SELECT aspect, keyword, count(*) AS n_clauses, count(DISTINCT row_id) AS n_reviews FROM contained GROUP BY aspect, keyword")
+def lexicon_contains(spark, sf):
+    """Clauses that contain a keyword of a lexicon table, by the q-gram index."""
+    parts = F.array_distinct(T.clauses(F.col("comment"), D.ASPECTS.clause_pattern, D.ASPECTS.min_clause_chars))
+    rows = stable_copy(clean(spark, sf).select("row_id", F.posexplode(parts).alias("pos", "clause")))
+    found = L.contains_join(rows, ["row_id", "pos"], "clause", _lexicon(spark, sf))
+    return found.groupBy("aspect", "keyword").agg(F.count(F.lit(1)).alias("n_clauses"), F.count_distinct("row_id").alias("n_reviews"))
+
+
+@query(O.base(O.CLAUSES, _LEXICON, _DISTINCT_CLAUSES, _CONTAINED) + f""", m AS (SELECT DISTINCT row_id, item, likes, clause, aspect, {O.lexicon_p('clause')} AS p FROM contained)
+SELECT item, aspect, count(*) AS mentions, round(avg(p), 6) AS pos_rate,
+  round(sum({O.LIKE_WEIGHT} * p) / sum({O.LIKE_WEIGHT}), 6) AS like_weighted_pos_rate FROM m GROUP BY item, aspect""")
+def lexicon_rates(spark, sf):
+    """Aspect rates for a lexicon that is a table."""
+    found = L.lexicon_mentions(clean(spark, sf), clause_score, _lexicon(spark, sf), D.ASPECTS)
+    return A.aspect_rates(found).select("item", "aspect", "mentions", *_r("pos_rate", "like_weighted_pos_rate"))
+
+
 _CHOICE = (O.CLAUSES, O.HITS, O.RATES, O.ASPECT_CHOICE)
 
 
