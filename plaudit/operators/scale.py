@@ -224,3 +224,22 @@ def dense_index(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     return parts.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).select(
         *df.columns, (local + F.col("__offset")).cast("bigint").alias(name)
     )
+
+
+def hash_bitmap(df: DataFrame, key: Column, bits: int) -> DataFrame:
+    """``word, set_bits``: a bitmap of 2^bits bits over the 64-bit hashes ``key``. However many keys
+    there are, it has at most 2^bits / 64 rows, so it may be broadcast; with more keys than bits it
+    only drops less."""
+    place = F.pmod(key, F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
+    return words.groupBy("word").agg(F.bit_or("bit").alias("set_bits"))
+
+
+def sift(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows whose ``key`` may be in the bitmap, in the scan and without a shuffle. What passes still
+    has to meet its partner in a join; what is dropped has none."""
+    place = F.pmod(key, F.lit(1 << bits))
+    words = F.broadcast(bitmap.withColumnsRenamed({"word": "__word", "set_bits": "__set"}))
+    met = df.join(words, F.shiftright(place, 6) == F.col("__word"))
+    return met.filter(F.getbit("__set", F.pmod(place, F.lit(64)).cast("int")) == 1).drop("__word", "__set")
