@@ -50,6 +50,14 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*rest, F.explode_outer(F.array(value)).alias(name))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name), F.lit(""))

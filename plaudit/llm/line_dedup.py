@@ -25,22 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import bounded_batches, map_columns, one_per_key, stored, table, text_of
+from plaudit.operators.scale import hash_bitmap, sift
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Key of documents without an id, which come last.
 NO_ID = (1 << 63) - 1
+#: Bits (log2) of the bitmaps of repeated fingerprints and of documents with hits.
+MARK_BITS = 25
+DOC_BITS = 23
 
 
 @dataclass(frozen=True)
 class DedupConfig:
-    """Runs of fewer than ``min_words`` words stay. A line has ``longest`` words; any run of
-    ``gram + window - 1`` shared words has a common fingerprint, which must not exceed 51.
-    ``gram`` is not below ``min_words``: each common gram is a run by itself."""
+    """Runs of fewer than ``min_words`` words stay. Any run of ``gram + window - 1`` shared words
+    has a common fingerprint, which must not exceed 51. ``gram`` is not below ``min_words``: each
+    common gram is a run by itself."""
 
     min_words: int = 40
     gram: int = 40
     window: int = 12
-    longest: int = 1
 
     def __post_init__(self):
         if self.gram < self.min_words:
@@ -64,12 +67,6 @@ def fold_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(crc32, words), np.uint32, len(words)), np.array(begin, np.int64)
 
 
-def folded(data: bytes, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and numbers of words of the lines of one text."""
-    hashes, _ = fold_all([data])
-    return hashes, np.full(len(hashes), config.longest, np.uint8)
-
-
 def _grams(lines: np.ndarray, size: int) -> np.ndarray:
     """Hashes of ``size`` lines in a row from each line on, put together from those of powers of
     two. The last ``size - 1`` run over the end and mean nothing."""
@@ -125,10 +122,14 @@ def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.nda
     return marks, at
 
 
-def repeated_runs(later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], config: DedupConfig) -> list[tuple[int, int]]:
+def repeated_runs(
+    later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int, int]], config: DedupConfig, shift: int | None = None
+) -> list[tuple[int, int]]:
     """Runs of lines of the later text, from hits (line there, line in the earlier text) extended
     both ways by less than a window, since behind that the next hit lies; those that meet are
-    joined. The work grows with the hits, however a text repeats itself."""
+    joined. The work grows with the hits, however a text repeats itself. ``shift`` is given where
+    both are one text: line i of the earlier is line i + shift of the later, and a run begins no
+    earlier than behind the gram that it repeats."""
     found, edge = [], config.window - 1
     around = np.arange(-edge, config.gram + edge)
     for part in range(0, len(hits), 16_384):  # bounded memory
@@ -139,7 +140,11 @@ def repeated_runs(later: np.ndarray, earlier: np.ndarray, hits: list[tuple[int,
         before = np.logical_and.accumulate(same[:, edge - 1 :: -1][:, :edge], axis=1).sum(1) if edge else 0
         behind = np.logical_and.accumulate(same[:, edge + config.gram :], axis=1).sum(1)
         whole = same[:, edge : edge + config.gram].all(1)  # else equal fingerprints of different lines
-        found += zip((b - before)[whole].tolist(), (b + config.gram + behind)[whole].tolist())
+        first, last = b - before, b + config.gram + behind
+        if shift is not None:
+            first = np.maximum(first, a + shift + config.gram)
+        whole &= first < last
+        found += zip(first[whole].tolist(), last[whole].tolist())
     merged: list[tuple[int, int]] = []
     for first, last in sorted(found):
         if merged and first <= merged[-1][1]:
@@ -175,7 +180,9 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     The corpus is read once; its line hashes are stored, 4 bytes a word. Fingerprints that occur
     once go after a count; a hot one meets its first place by a join whose large side is split
     (counts and first places are stored, so both sides of the joins are plain exchanges). Later
-    and earlier texts are joined from one exchange of the line hashes.
+    and earlier texts are joined from one exchange of the line hashes. Bitmaps of constant size
+    keep out of the exchanges what has no partner; on a corpus with more partners than they have
+    bits they keep out less, and the joins find the same.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id")
     rows = docs.filter(F.col("text").isNotNull()).select(key, F.xxhash64(text_of()).alias("th"), "text")
@@ -198,47 +205,58 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
 
     marks = lines.filter(enough).select("id", "th", "folds").mapInPandas(winnow, "h long, id long, th long, pos int")
     several = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    shared = stored(marks.join(several, "h"))
+    # Most fingerprints occur once: a bitmap of constant size drops them before they move again.
+    likely = sift(marks, F.xxhash64("h"), hash_bitmap(several, F.xxhash64("h"), MARK_BITS), MARK_BITS)
+    shared = stored(likely.join(several, "h"))
     firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("first")))
     later = shared.join(firsts, "h").filter(F.struct("id", "th", "pos") > F.col("first"))
-    hits = later.groupBy("id", "th", F.col("first.id").alias("a_id"), F.col("first.th").alias("a_th")).agg(
+    hits = stored(later.groupBy("id", "th", F.col("first.id").alias("a_id"), F.col("first.th").alias("a_th")).agg(
         F.collect_list(F.struct("pos", F.col("first.pos").alias("a_pos"))).alias("hits")
-    )
+    ))
+    # Only documents with hits, on either side, are exchanged; both sides take the same columns.
+    ids = hits.select("id", "th").union(hits.select("a_id", "a_th"))
+    known = stored(hash_bitmap(ids, F.xxhash64("id", "th"), DOC_BITS))
+    texts = sift(lines, F.xxhash64("id", "th"), known, DOC_BITS)
 
     def side(name: str) -> DataFrame:
-        """Both sides rename all columns, so that their exchanges are the same."""
-        return lines.filter(enough).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "th", "folds")])
+        return texts.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "th", "folds")])
+
+    def around(pos: str, folds: str, start: str, part: str, df: DataFrame) -> DataFrame:
+        """Only the part of a text around its hits goes on."""
+        least = F.greatest(F.lit(0), F.array_min(pos) - config.window)
+        size = F.array_max(pos) + config.gram + config.window - F.col(start)
+        return df.withColumn(start, least).withColumn(part, F.substring(folds, 4 * F.col(start) + 1, 4 * size)).drop(folds)
 
     mine = hits.join(side("late"), (F.col("id") == F.col("late_id")) & (F.col("th") == F.col("late_th")))
-    # Only the part of the later text around its hits goes on.
-    least = F.greatest(F.lit(0), F.array_min("hits.pos") - config.window)
-    size = F.array_max("hits.pos") + config.gram + config.window - F.col("from")
-    mine = mine.withColumn("from", least).withColumn("part", F.substring("late_folds", 4 * F.col("from") + 1, 4 * size)).drop("late_folds")
+    mine = around("hits.pos", "late_folds", "start", "folds_here", mine)
     pairs = mine.join(side("first"), (F.col("a_id") == F.col("first_id")) & (F.col("a_th") == F.col("first_th")))
+    pairs = around("hits.a_pos", "first_folds", "a_start", "a_folds", pairs)
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                hits = [(h["pos"] - r.start, h["a_pos"]) for h in r.hits]
-                found = repeated_runs(np.frombuffer(r.folds, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, config)
+                hits = [(h["pos"] - r.start, h["a_pos"] - r.a_start) for h in r.hits]
+                shift = r.a_start - r.start if (r.id, r.th) == (r.a_id, r.a_th) else None
+                found = repeated_runs(np.frombuffer(r.folds_here, "<u4"), np.frombuffer(r.a_folds, "<u4"), hits, config, shift)
                 out += [(r.id, r.th, r.start + a, r.start + b) for a, b in found]
             yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
 
-    named = pairs.select("id", "th", "hits", F.col("from").alias("start"), F.col("part").alias("folds"), F.col("first_folds").alias("a_folds"))
+    named = pairs.select("id", "th", "a_id", "a_th", "hits", "start", "a_start", "folds_here", "a_folds")
     runs = named.mapInPandas(extend, "id long, th long, first int, last int")
     return runs.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """The documents without the passages that an earlier place holds, and ``removed_words``.
+def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig(), into: str = "removed_words") -> DataFrame:
+    """The documents without the passages that an earlier place holds, and the number of words
+    taken out, as ``into``.
 
     Documents are ordered by id. A copy of a whole text is a repeat as well: if it has
     ``min_words`` words, its text becomes empty. Rows alike in id and text are one document and
     get the same result. A null text stays null. All columns stay; ``n_chars``, if there, is
-    counted anew, and a column ``removed_words`` is replaced. An empty table gives an empty one.
+    counted anew, and a column ``into`` is replaced. An empty table gives an empty one.
     """
-    docs = docs.drop("removed_words")
+    docs = docs.drop(into)
     found = repeats(docs, config).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__id")
     met = docs.join(found, key & (F.xxhash64(text_of()) == F.col("__th")), "left").select(*[docs[c] for c in docs.columns], "__runs")
@@ -252,9 +270,9 @@ def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFra
                 texts[i], removed[i] = without_runs(texts[i], [(r["first"], r["last"]) for r in runs])
                 if sized:
                     sizes[i] = len(texts[i])
-        return None, {"text": texts, "removed_words": removed} | ({"n_chars": sizes} if sized else {})
+        return None, {"text": texts, into: removed} | ({"n_chars": sizes} if sized else {})
 
-    new = {"text": "string", "removed_words": "long"} | ({"n_chars": docs.schema["n_chars"].dataType.simpleString()} if sized else {})
+    new = {"text": "string", into: "long"} | ({"n_chars": docs.schema["n_chars"].dataType.simpleString()} if sized else {})
     return map_columns(met, cut, new, drop=("__runs",))
 
 

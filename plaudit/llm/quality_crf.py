@@ -284,17 +284,20 @@ def train(docs: DataFrame, labels: DataFrame, config: CrfConfig = CrfConfig()) -
     return fit(x, length, begin, got["label"].to_numpy(np.int64), config)
 
 
-def score(docs: DataFrame, model: CrfModel, config: CrfConfig = CrfConfig()) -> DataFrame:
+def score(docs: DataFrame, model: CrfModel, config: CrfConfig = CrfConfig(), names: dict[str, str] | None = None) -> DataFrame:
     """Adds ``score`` (likelihood of a good text), ``predicted`` (1 from the threshold on),
-    ``n_lines`` and ``bad_lines``; columns of these names are replaced. One pass, no shuffle.
-    A null or empty text is one empty line and gets what the model says of it."""
+    ``n_lines`` and ``bad_lines``; ``names`` renames them, and columns so called are replaced.
+    One pass, no shuffle; texts of any length are read whole. A null or empty text is one empty line
+    and gets what the model says of it; equal texts get equal scores, an empty table stays empty."""
+    named = lambda c: (names or {}).get(c, c)
     threshold = config.threshold
 
     def run(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
         value, lines, bad = score_texts(model, [t or "" for t in batch.column("text").to_pylist()])
-        return None, {"score": value, "predicted": (value >= threshold).astype(np.int32), "n_lines": lines, "bad_lines": bad}
+        made = {"score": value, "predicted": (value >= threshold).astype(np.int32), "n_lines": lines, "bad_lines": bad}
+        return None, {named(c): v for c, v in made.items()}
 
-    return map_columns(docs, run, {"score": "double", "predicted": "int", "n_lines": "long", "bad_lines": "long"})
+    return map_columns(docs, run, {named(c): t for c, t in {"score": "double", "predicted": "int", "n_lines": "long", "bad_lines": "long"}.items()})
 
 
 def op2_quality_crf(spark, sf_dir: str) -> DataFrame:

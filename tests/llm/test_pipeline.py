@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from cases import edge_docs
+from cases import edge_docs, no_docs
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import stored
@@ -33,7 +33,21 @@ def test_later_stages_agree_with_brute_force(spark):
 
 
 def test_edge_rows_pass_through_all_stages(spark):
-    docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = edge_docs(spark).withColumnsRenamed({"id": "__removed", "th": "__score"}).withColumn("predicted", F.lit(0))
+    names, given = docs.columns, {r["score"] for r in docs.collect()}
+    for k, (_, stage) in enumerate(C.STAGES):
+        docs = stored(stage(spark, docs, SF))
+        if k < 4:
+            assert docs.columns == names
+            assert {(r["score"], r["removed_words"], r["predicted"], r["__removed"], r["__score"]) for r in docs.collect()} == {(0.5, "q", 0, "x", 1)}
+    assert given == {0.5} and docs.filter("doc_id = 5").count() > 0
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = no_docs(spark)
     for _, stage in C.STAGES:
         docs = stored(stage(spark, docs, SF))
-    assert docs.filter("doc_id = 5").count() > 0
+        assert docs.count() == 0
+    docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    one, two = [stored(C.near_copies(spark, stored(C.lines(spark, d, SF)), SF)) for d in (docs, docs.unionByName(docs))]
+    assert sorted(map(str, one.distinct().collect())) == sorted(map(str, two.distinct().collect()))
