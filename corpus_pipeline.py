@@ -1,4 +1,9 @@
-"""From raw documents to packed training batches, in five stages."""
+"""From raw documents to packed training batches, in five stages.
+
+Every stage takes null, empty and very long texts, null ids, ties, repeated rows and empty tables.
+Columns other than those of documents pass through, whatever they are called: what a stage works
+out for itself has names that the table does not have. ``text`` and ``n_chars`` change with the text.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.llm import jaccard_join, line_dedup, mixing, packing, quality_crf
-from plaudit.llm.common import WORD, bounded_batches, shared_folder, table, text_of
+from plaudit.llm.common import WORD, bounded_batches, free_name, shared_folder, table, text_of
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the line classifier, trained on the labels, finds bad."""
+    """Drops the documents that the line classifier, trained on the labels, finds bad. A null text
+    is judged as an empty one."""
     bounded_batches(spark, 8)
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    own = {c: free_name(docs, f"__{c}") for c in ("score", "predicted", "n_lines", "bad_lines")}
+    return quality_crf.score(docs, model, names=own).filter(F.col(own["predicted"]) == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated passages; a document goes if nothing else was in it."""
+    """Deletes repeated passages; a document goes if nothing else was in it. Documents of which
+    nothing was taken stay, empty ones and null ones too."""
     bounded_batches(spark, 8)
-    cut = line_dedup.dedup_lines(docs)
-    return cut.filter((F.col("removed_words") == 0) | text_of().rlike(WORD)).select(*docs.columns)
+    removed = free_name(docs, "__removed")
+    cut = line_dedup.dedup_lines(docs, into=removed)
+    return cut.filter((F.col(removed) == 0) | text_of().rlike(WORD)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
