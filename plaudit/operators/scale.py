@@ -236,10 +236,12 @@ def hash_bitmap(df: DataFrame, key: Column, bits: int) -> DataFrame:
     return words.groupBy("word").agg(F.bit_or("bit").alias("set_bits"))
 
 
-def sift(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose ``key`` may be in the bitmap, in the scan and without a shuffle. What passes still
-    has to meet its partner in a join; what is dropped has none."""
+def sift(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, invert: bool = False) -> DataFrame:
+    """Rows whose ``key`` may be in the bitmap, in the scan and without a shuffle; with ``invert``
+    those whose key is not, which are all others. What passes still has to meet its partner in a
+    join; what is dropped has none."""
     place = F.pmod(key, F.lit(1 << bits))
     words = F.broadcast(bitmap.withColumnsRenamed({"word": "__word", "set_bits": "__set"}))
-    met = df.join(words, F.shiftright(place, 6) == F.col("__word"))
-    return met.filter(F.getbit("__set", F.pmod(place, F.lit(64)).cast("int")) == 1).drop("__word", "__set")
+    met = df.join(words, F.shiftright(place, 6) == F.col("__word"), "left" if invert else "inner")
+    bit = F.getbit("__set", F.pmod(place, F.lit(64)).cast("int"))
+    return met.filter(F.coalesce(bit, F.lit(0)) == F.lit(0 if invert else 1)).drop("__word", "__set")

@@ -29,7 +29,7 @@ from plaudit.operators.scale import shared_folder, stable_copy
 from plaudit.plans import oracle_parts as O
 from plaudit.sources import driver_tables as D
 from plaudit.sources import readers, sinks
-from plaudit.streaming import jobs
+from plaudit.streaming import jobs, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1156,6 +1156,20 @@ def _run_stream(spark, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+@query(ORACLES["event_dedup"])
+def event_dedup_batches(spark, sf):
+    """The same rows from three batches of a stream that is started three times; every batch brings
+    all events of the earlier ones again."""
+    folder = shared_folder(spark)
+    rows = stable_copy(D.events(spark, sf).select("event_id", "event_type", "user_id", F.col("value").cast("string").alias("value")))
+    last = rows.agg(F.max("event_id").alias("m")).scalar()
+    for k in (1, 2, 3):
+        rows.filter(F.col("event_id") * 3 <= last * k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        reader = jobs.read_stream(spark, f"{folder}/in", rows.schema)
+        seen.unseen_stream(reader, folder, f"{folder}/checkpoint", ["event_type", "user_id"], "value", "event_id").awaitTermination()
+    return seen.kept_rows(spark, folder).select("event_id", "event_type", "user_id", F.col("value").cast("double").alias("value"))
+
+
 @query("SELECT DISTINCT event_type AS item, user_id, value FROM events")
 def stream_dedup(spark, sf):
     """The keys that pass; which of several equal events does is a matter of arrival."""
