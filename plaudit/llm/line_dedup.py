@@ -257,9 +257,13 @@ def dedup_lines(docs: DataFrame, config: DedupConfig = DedupConfig(), into: str
     counted anew, and a column ``into`` is replaced. An empty table gives an empty one.
     """
     docs = docs.drop(into)
-    found = repeats(docs, config).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__id")
-    met = docs.join(found, key & (F.xxhash64(text_of()) == F.col("__th")), "left").select(*[docs[c] for c in docs.columns], "__runs")
+    found = stored(repeats(docs, config).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"}))
+    own_id, own_th = F.coalesce(F.col("doc_id"), F.lit(NO_ID)), F.xxhash64(text_of())
+    # Texts without runs, as the bitmap of the others says, do not move.
+    known, key = stored(hash_bitmap(found, F.xxhash64("__id", "__th"), DOC_BITS)), F.xxhash64(own_id, own_th)
+    some, rest = sift(docs, key, known, DOC_BITS), sift(docs, key, known, DOC_BITS, invert=True)
+    met = some.join(found, (own_id == F.col("__id")) & (own_th == F.col("__th")), "left").select(*[some[c] for c in docs.columns], "__runs")
+    met = met.union(rest.withColumn("__runs", F.lit(None).cast(found.schema["__runs"].dataType)))
     sized = "n_chars" in docs.columns
 
     def cut(batch: pa.RecordBatch) -> tuple[None, dict[str, list]]:
