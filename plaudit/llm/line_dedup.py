@@ -196,17 +196,28 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     lines = one_per_key(stored(rows.mapInPandas(fold, "id long, th long, folds binary")), ["id", "th"])
     enough = F.octet_length("folds") >= 4 * config.min_words
 
-    def winnow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = [len(x) // 4 for x in batch["folds"]]
-            all_lines = np.frombuffer(b"".join(batch["folds"]), "<u4")
-            marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
-            yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "th": batch["th"].to_numpy()[owner], "pos": at})
-
-    marks = lines.filter(enough).select("id", "th", "folds").mapInPandas(winnow, "h long, id long, th long, pos int")
-    several = stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    # Most fingerprints occur once: a bitmap of constant size drops them before they move again.
-    likely = sift(marks, F.xxhash64("h"), hash_bitmap(several, F.xxhash64("h"), MARK_BITS), MARK_BITS)
+    def winnow(held=None):
+        """The fingerprints of all texts; with a bitmap, those that it may hold."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sizes = [len(x) // 4 for x in batch["folds"]]
+                all_lines = np.frombuffer(b"".join(batch["folds"]), "<u4")
+                marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
+                if held is not None:
+                    place = marks & ((1 << MARK_BITS) - 1)
+                    likely = (held.value[place >> 6] >> (place & 63)) & 1 == 1
+                    marks, owner, at = marks[likely], owner[likely], at[likely]
+                yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "th": batch["th"].to_numpy()[owner], "pos": at})
+
+        return lines.filter(enough).select("id", "th", "folds").mapInPandas(run, "h long, id long, th long, pos int")
+
+    several = stored(winnow().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    # Most fingerprints occur once: a bitmap of constant size drops them where they are made.
+    found = hash_bitmap(several, F.col("h"), MARK_BITS).toArrow()
+    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("set_bits").to_numpy()
+    likely = winnow(docs.sparkSession.sparkContext.broadcast(bits))
     shared = stored(likely.join(several, "h"))
     firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("first")))
     later = shared.join(firsts, "h").filter(F.struct("id", "th", "pos") > F.col("first"))
