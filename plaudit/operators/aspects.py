@@ -115,6 +115,13 @@ def weak_points(rates: DataFrame, cfg: C.AspectConfig = C.AspectConfig()) -> Dat
 def pros_and_cons(table: DataFrame, sampled: DataFrame, keywords: DataFrame | None = None,
                   cfg: C.AspectConfig = C.AspectConfig()) -> DataFrame:
     """One row per mined item: pros, cons and weak as arrays of structs, keyword lists."""
+    sizes = sampled.groupBy("item").agg(F.count(F.lit(1)).alias("n_sampled"))
+    return pros_and_cons_of(table, sizes, keywords, cfg)
+
+
+def pros_and_cons_of(table: DataFrame, sizes: DataFrame, keywords: DataFrame | None = None,
+                     cfg: C.AspectConfig = C.AspectConfig()) -> DataFrame:
+    """The same for given numbers of reviews (item, n_sampled)."""
 
     def listed(rows: DataFrame, evidence: str, name: str) -> DataFrame:
         shown = F.slice(F.transform(evidence, lambda e: e["clause"]), 1, cfg.evidence_shown)
@@ -122,9 +129,7 @@ def pros_and_cons(table: DataFrame, sampled: DataFrame, keywords: DataFrame | No
         packed = rows.groupBy("item").agg(F.array_sort(F.collect_list(entry)).alias(name))
         return packed.withColumn(name, F.transform(name, lambda e: e.dropFields("rank")))
 
-    out = table.select("item").distinct().join(
-        sampled.groupBy("item").agg(F.count(F.lit(1)).alias("n_sampled")), "item", "inner"
-    )
+    out = table.select("item").distinct().join(sizes, "item", "inner")
     parts = {
         "pros": listed(pros(table, cfg), "evidence_pos", "pros"),
         "cons": listed(cons(table, cfg), "evidence_neg", "cons"),

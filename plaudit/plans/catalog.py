@@ -24,6 +24,7 @@ from plaudit.operators import sampling as P
 from plaudit.operators import segmentation as G
 from plaudit.operators import serving as V
 from plaudit.operators import spam as X
+from plaudit.operators import states as Z
 from plaudit.operators import vocab as B
 from plaudit.operators.scale import shared_folder, stable_copy
 from plaudit.plans import oracle_parts as O
@@ -834,6 +835,56 @@ def full_report(spark, sf):
     return sinks.report_blocks(_board(rows, aspects), aspects).select("item", *_r("final_score"), "block")
 
 
+# --- aggregates kept per segment ---------------------------------------------------
+
+_STATES = Z.StateConfig(250, aspects=D.ASPECTS, keywords=D.KEYWORDS, spam=D.SPAM)
+_CHANGED = """changed AS (SELECT * REPLACE (CASE WHEN row_id < 250 THEN 6 - star ELSE star END AS star)
+  FROM scored WHERE row_id >= 250 OR row_id % 7 <> 0)"""
+
+
+@query(O.base_scored(_CHANGED, O.STATS.replace("FROM scored", "FROM changed")) + f"SELECT item, {', '.join(_COUNTS)}, star_sum, likes_sum, {_sql_r(*_MEANS, 'final_score')} FROM scores")
+def incremental_items(spark, sf):
+    """States of all segments; the first segment changes, is computed again and replaced. The SQL
+    runs over all of the changed rows."""
+    rows, path = _shared(spark, sf), shared_folder(spark)
+    Z.write_states(Z.item_states(rows, _STATES), path, _STATES)
+    first = rows.filter("row_id < 250 AND row_id % 7 <> 0").withColumn("star", 6 - F.col("star"))
+    Z.write_states(Z.item_states(first, _STATES), path, _STATES, 0, 250)
+    scores = R.item_scores(Z.merged_items(Z.read_states(spark, path)))
+    return scores.select("item", *_COUNTS, "star_sum", "likes_sum", *_r(*_MEANS, "final_score"))
+
+
+_PAGE = f"""suspects AS (SELECT item, string_agg(CAST(row_id AS VARCHAR), ' ' ORDER BY rank) AS suspects FROM (SELECT item, row_id,
+  row_number() OVER (PARTITION BY item ORDER BY spam_points DESC, likes DESC, row_id) AS rank FROM detail WHERE is_suspect) WHERE rank <= {D.SPAM.top_suspects} GROUP BY item),
+word_lists AS (SELECT item, coalesce(string_agg(word, ' ' ORDER BY rank) FILTER (WHERE polarity = 'pos' AND rank <= 10), '') AS keywords_pos,
+  coalesce(string_agg(word, ' ' ORDER BY rank) FILTER (WHERE polarity = 'neg' AND rank <= 10), '') AS keywords_neg FROM top_words GROUP BY item),
+quotes AS (SELECT p.item, string_agg(e.clause, ' / ' ORDER BY p.rank, e.rank) AS quotes FROM pros p JOIN evidence e
+  ON e.item = p.item AND e.aspect = p.aspect AND e.polarity = 'pos' WHERE e.rank <= {D.ASPECTS.evidence_shown} GROUP BY p.item)"""
+_HITS = " || ' ' || ".join(f"'{k}=' || spam_{k}" for k in C.SIGNALS)
+
+
+@query(O.base_scored(*_BOARD, O.EVIDENCE, O.WORDS, O.LOG_ODDS, _Z0, _TOPK, _PAGE) + f"""SELECT b.item, b.n_reviews, round(final_score, 6) AS final_score, pros, cons, coalesce(q.quotes, '') AS quotes,
+  coalesce(w.keywords_pos, '') AS keywords_pos, coalesce(w.keywords_neg, '') AS keywords_neg, b.n_suspect, {_HITS} AS hits, coalesce(x.suspects, '') AS suspects
+FROM board b JOIN summary m ON m.item = b.item LEFT JOIN quotes q ON q.item = b.item LEFT JOIN word_lists w ON w.item = b.item LEFT JOIN suspects x ON x.item = b.item""")
+def item_pages(spark, sf):
+    """Pages of all items with aspects, quotes, keywords, hit map and suspects, from states that
+    were written in two ranges, the first of them twice."""
+    rows, path = _shared(spark, sf), shared_folder(spark)
+    mentions, detail = stable_copy(A.aspect_mentions(rows, clause_score, D.ASPECTS)), stable_copy(_detail_of(rows))
+    last = (rows.agg(F.max("row_id")).first()[0] // 250 + 1) * 250
+    for start, end in ((0, 500), (500, last), (0, 500)):
+        part = [t.filter(F.col("row_id").between(start, end - 1)) for t in (rows, mentions, detail)]
+        Z.write_all(*part, path, _STATES, start, end)
+    page = Z.item_page(spark, path, cfg=_STATES)
+    names = lambda c: F.coalesce(R.aspect_names(F.col(c)), F.lit("")).alias(c)
+    quotes = F.array_join(F.flatten(F.transform("pros", lambda e: e["evidence"])), " / ")
+    hits = F.array_join(F.array(*[F.concat(F.lit(f"{k}="), F.col("by_type")[k].cast("string")) for k in C.SIGNALS]), " ")
+    return page.select(
+        "item", "n_reviews", F.round("final_score", 6).alias("final_score"), names("pros"), names("cons"),
+        F.coalesce(quotes, F.lit("")).alias("quotes"), _joined("keywords_pos"), _joined("keywords_neg"), "n_suspect", hits.alias("hits"),
+        F.coalesce(F.array_join(F.transform("top_suspects", lambda e: e["row_id"].cast("string")), " "), F.lit("")).alias("suspects"))
+
+
 # --- suspicious reviews -------------------------------------------------------------
 
 
