@@ -7,7 +7,7 @@ from plaudit.operators import vocab as B
 
 @pytest.fixture(scope="module")
 def vocab(spark):
-    texts = ["剧情拖沓但演员表演在线", "很好看", "一般般", "好好好", "😀"]
+    texts = ["灯光柔和配乐动人", "节奏明快", "平平无奇", "柔柔柔", "🎬"]
     df = spark.createDataFrame([(t,) for t in texts], "comment string")
     return B.build_vocab(df, C.SequenceConfig(min_freq=1)).cache()
 
@@ -17,49 +17,47 @@ def _ids(vocab):
 
 
 def test_vocab_order_and_cap(spark):
-    texts = spark.createDataFrame([(t,) for t in ("好好好", "好看", "差", "很差", "xx", "yyy")], "comment string")
+    texts = spark.createDataFrame([(t,) for t in ("云云云", "云海", "雾", "山雾", "kk", "mmm")], "comment string")
     forced = B.forced_tokens()
-    full = [r.token for r in B.build_vocab(texts, C.SequenceConfig(min_freq=1)).orderBy("id").collect()]
-    assert full[: len(forced)] == forced and full[:4] == ["<pad>", "<bos>", "<eos>", "<unk>"]
-    assert full.index("好") < full.index("差") and full.index("y") < full.index("x") < full.index("看")
-    capped = B.build_vocab(texts, C.SequenceConfig(min_freq=1, vocab_size=len(forced) + 1))
-    assert [r.token for r in capped.orderBy("id").collect()] == [*forced, "y"]
-    assert "很" not in [r.token for r in B.build_vocab(texts, C.SequenceConfig(min_freq=2)).collect()]
+
+    def tokens(**settings):
+        return [r.token for r in B.build_vocab(texts, C.SequenceConfig(**settings)).orderBy("id").collect()]
+
+    assert forced[:4] == ["<pad>", "<bos>", "<eos>", "<unk>"]
+    assert tokens(min_freq=1) == [*forced, "云", "m", "k", "雾", "山", "海"]
+    assert tokens(min_freq=2) == [*forced, "云", "m", "k", "雾"]
+    assert tokens(min_freq=1, vocab_size=len(forced) + 1) == [*forced, "云"]
 
 
 def test_encode_with_unknown_and_emoji(spark, vocab):
     ids = _ids(vocab)
-    df = spark.createDataFrame([("好Z😀",), ("",)], "comment string")
+    df = spark.createDataFrame([("光Q🎬",), ("",)], "comment string")
     got = [r.ids for r in B.encode_column(df, vocab).collect()]
-    assert sorted(got, key=len) == [[], [ids["好"], C.UNK_ID, ids["😀"]]]
+    assert sorted(got, key=len) == [[], [ids["光"], C.UNK_ID, ids["🎬"]]]
 
 
 def test_supervised_sequence(spark, vocab):
-    ids = _ids(vocab)
-    df = spark.createDataFrame([("很好看", 5), ("一般般", 3), ("很好看" * 200, 1)], "comment string, star int")
-    rows = B.encode_supervised(df, vocab).collect()
+    ids, long_text = _ids(vocab), "灯光" * 90
+    df = spark.createDataFrame([("节奏明快", 4), ("平平无奇", 3), (long_text, 2)], "comment string, star int")
+    made = {r.star: r for r in B.encode_supervised(df, vocab).collect()}
     prompts = {r.comment: r.ids for r in B.encode_prompts(df, vocab).collect()}
-    for r in rows:
-        assert len(r.ids) == len(r.labels) <= 144 and r.labels[-1] == C.EOS_ID
-    good, neutral, long = rows
-    assert good.ids[: len(prompts["很好看"])] == prompts["很好看"]
-    assert good.ids[0] == C.BOS_ID and prompts["很好看"][-1] == ids["："]
-    assert {x for x in good.labels if x != C.IGNORE_LABEL} == {ids["好"], ids["5"], C.EOS_ID}
-    at = good.labels.index(ids["5"])
-    assert good.ids[at - 1] == ids["："] and good.ids[at] == ids["5"]
-    assert {x for x in neutral.labels if x != C.IGNORE_LABEL} == {ids["3"], C.EOS_ID}
-    assert len(long.ids) == 144 and ids["差"] in long.labels
-    assert len(prompts["很好看" * 200]) == 144
+    answers = {star: [x for x in r.labels if x != C.IGNORE_LABEL] for star, r in made.items()}
+    assert answers == {4: [ids["好"], ids["4"], C.EOS_ID], 3: [ids["3"], C.EOS_ID], 2: [ids["差"], ids["2"], C.EOS_ID]}
+    for r in made.values():
+        assert len(r.ids) == len(r.labels) and r.ids[0] == C.BOS_ID and r.ids[-1] == r.labels[-1] == C.EOS_ID
+        assert all(label in (C.IGNORE_LABEL, token) for token, label in zip(r.ids, r.labels))
+    start = prompts["节奏明快"]
+    assert made[4].ids[: len(start)] == start and start[-1] == ids["："]
+    assert len(made[2].ids) == len(prompts[long_text]) == C.SequenceConfig().max_len
 
 
 def test_batch_plan_and_padding(spark):
-    lengths = [20, 21, 60, 61, 62, 130, 131, 144, 8, 9, 200, 201] * 6
+    lengths = [5, 17, 33, 34, 90, 100, 143, 12, 77, 160] * 5
     df = spark.createDataFrame([(n,) for n in lengths], "n int").select(F.array_repeat(F.lit(4), F.col("n")).alias("ids"))
-    plan = B.batch_plan(df, C.BatchConfig(batch_size=8, min_batch=4)).collect()
-    assert sum(r.n_rows for r in plan) == len(lengths)
-    assert all((r.batches - 1) * r.batch_size < r.n_rows <= r.batches * r.batch_size for r in plan)
-    long = df.filter(F.size("ids") == 144)
-    assert B.batch_plan(long).first().batch_size == 8192 // 144 + (8192 // 144 > 8192 // 144)
+    plan = B.batch_plan(df, C.BatchConfig(batch_size=6, min_batch=3)).collect()
+    assert sum(r.n_rows for r in plan) == 50 and {r.batch_size for r in plan} == {6}
+    assert {r.bucket: r.batches for r in plan} == {1: 2, 2: 1, 3: 2, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1}
+    assert B.batch_plan(df.filter(F.size("ids") == 100)).first().batch_size == 73  # 8,192 tokens of width 112
     keyed = df.withColumn("b", F.ceil(F.size("ids") / 16))
     for r in B.pad_sequences(keyed, ["b"]).collect():
         assert len(r.padded) == r.width == r.b * 16
