@@ -25,9 +25,13 @@ QUANTILE_BUCKETS = 1024
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the run's folder in ``spark.checkpoint.dir``, which all executors
-    share. Where that is unset, the warehouse serves, which they share as well. All folders of
-    a session lie in one, which ``drop_stored`` removes."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    share. Only a plain local master without that setting uses the warehouse. All folders of a
+    session lie in one, which ``drop_stored`` removes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     run = spark.conf.get(RUN_FOLDER, None)
     if run is None or not run.startswith(root.rstrip("/") + "/"):
         run = f"{root.rstrip('/')}/plaudit-{uuid.uuid4().hex}"
