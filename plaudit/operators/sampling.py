@@ -36,13 +36,13 @@ def sample_reviews_per_item(reviews: DataFrame, n: int = 4000, seed: int = 42,
 
 def sample_texts(reviews: DataFrame, target: int = 300_000, per_block: int = 15_000,
                  block_rows: int = 100_000, seed: int = 0, row_id: str = "row_id") -> DataFrame:
-    """Spread sample: at most ``per_block`` rows per block of row ids, ``target`` in all,
-    taken from the first blocks on."""
-    blocks = reviews.withColumn("__block", F.floor(F.col(row_id) / block_rows))
+    """Spread sample: at most ``per_block`` rows per block of row ids and ``target`` in all, chosen
+    by the seeded hash over all blocks. Both cuts are found in histograms of the hash, and a row
+    beyond one is dropped in the scan."""
+    blocks = reviews.withColumn("__block", F.floor(F.col(row_id) / block_rows)).withColumn("__all", F.lit(0))
     part = sample_per_group(blocks, ["__block"], row_id, per_block, seed)
-    return part.orderBy("__block", spread_hash(F.col(row_id), seed), row_id).limit(target).select(
-        *reviews.columns
-    )
+    ids = sample_per_group(part.select("__all", row_id), ["__all"], row_id, target, seed).select(row_id)
+    return reviews.join(ids, row_id, "left_semi")
 
 
 def random_subset(reviews: DataFrame, n: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
