@@ -15,6 +15,7 @@ from plaudit.functions import text as T
 from plaudit.operators import aspects as A
 from plaudit.operators import checks as Q
 from plaudit.operators import cleaning as N
+from plaudit.operators import cube as U
 from plaudit.operators import evaluation as E
 from plaudit.operators import keywords as K
 from plaudit.operators import lexicon as L
@@ -23,6 +24,7 @@ from plaudit.operators import ratings as R
 from plaudit.operators import sampling as P
 from plaudit.operators import segmentation as G
 from plaudit.operators import serving as V
+from plaudit.operators import sketches as H
 from plaudit.operators import spam as X
 from plaudit.operators import states as Z
 from plaudit.operators import vocab as B
@@ -315,7 +317,7 @@ def sample_per_item(spark, sf):
 
 @query(O.base() + f"""SELECT row_id FROM (SELECT row_id, row_id // 250 AS block, row_number() OVER (
   PARTITION BY row_id // 250 ORDER BY {O.spread('row_id', 0)}, row_id) AS rn FROM clean) WHERE rn <= 60
-  ORDER BY block, {O.spread('row_id', 0)}, row_id LIMIT 200""")
+  ORDER BY {O.spread('row_id', 0)}, row_id LIMIT 200""")
 def sample_texts(spark, sf):
     return P.sample_texts(clean(spark, sf), 200, 60, 250).select("row_id")
 
@@ -1256,3 +1258,97 @@ def stream_scores(spark, sf):
     score = lambda df: M.attach_lexicon_scores(df, D.SENTIMENT).drop("comment")
     jobs.score_stream(rows, score, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("row_id", "p_pos", "pred_sent", *_r("exp_rating"), "pred_rating", *_r("p_rating"))
+
+
+# --- sketches, levels of detail, runs and late predictions --------------------------
+
+
+@query("WITH " + O.REVIEWS + """, r AS (SELECT *, length(comment) AS n FROM reviews)
+SELECT count(*) AS n_rows, count(*) FILTER (coalesce(n, 0) = 0) AS empty_comment, round(avg(n), 6) AS len_mean, max(n) AS len_max,
+  count(DISTINCT user_id) + CAST(count(*) > count(user_id) AS INT) AS exact_users,
+  (SELECT count(*) FROM (SELECT DISTINCT item, day_no FROM r)) AS exact_item_days,
+  (SELECT count(*) FROM (SELECT DISTINCT comment FROM r)) AS exact_texts,
+  (SELECT count(*) FROM (SELECT DISTINCT item, user_id, comment FROM r)) AS exact_reviews,
+  true AS users_ok, true AS item_days_ok, true AS texts_ok, true AS reviews_ok, true AS len_p50_ok, true AS len_p90_ok, true AS len_p99_ok
+FROM r""")
+def profile_sketches(spark, sf):
+    """States of old segments, then of new ones and of one that is written again; the estimates
+    that are merged from them are held against the exact figures."""
+    cfg = H.SketchConfig(rows_per_segment=250)
+    states = Z.StateConfig(rows_per_segment=250)
+    path = shared_folder(spark) + "/profile"
+    rows = D.reviews(spark, sf)
+    Z.write_states(H.profile_states(rows.filter("row_id < 500").withColumn("comment", F.lit("old")), cfg), path, states)
+    Z.write_states(H.profile_states(rows.filter("row_id < 500"), cfg), path, states, 0, 500)
+    H.profile_states(rows.filter("row_id >= 500"), cfg).write.mode("append").partitionBy("segment").parquet(path)
+    profile = stable_copy(H.merged_profile(Z.read_states(spark, path)))
+    out = H.errors_within(profile, rows, cfg)
+    return out.withColumn("len_mean", F.round("len_mean", 6))
+
+
+@query(O.base_scored() + """SELECT item, star, pred_sent, CAST(grouping(item, star, pred_sent) AS BIGINT) AS grouping_id, count(*) AS n,
+  CAST(sum(likes) AS BIGINT) AS likes_sum, round(sum(p_pos), 6) AS p_pos_sum
+FROM scored GROUP BY GROUPING SETS ((item), (), (item, star), (item, pred_sent), (star), (pred_sent))""")
+def review_cube(spark, sf):
+    out = U.review_cube(scored(spark, sf))
+    return out.withColumn("p_pos_sum", F.round("p_pos_sum", 6))
+
+
+@query(O.base_scored() + """SELECT item, star, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY item), 6) AS share FROM scored GROUP BY item, star""")
+def star_shares(spark, sf):
+    return U.shares(U.review_cube(scored(spark, sf)), "star").select("item", "star", "n", *_r("share"))
+
+
+_RUNS = """marked AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events
+  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+placed AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM marked),
+runs AS (SELECT user_id, event_type AS item, min(ts) AS first, max(ts) AS last, count(*) AS n FROM placed GROUP BY user_id, event_type, run HAVING count(*) >= 2)"""
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "item", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("first", "last")], "n")
+
+
+_RUN_ROW = "user_id, item, strftime(first, '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS last, n"
+
+
+@query(f"WITH {_RUNS} SELECT {_RUN_ROW} FROM runs")
+def burst_sessions(spark, sf):
+    """Runs of events of a user and type, over midnight or not."""
+    rows = D.events(spark, sf).withColumnRenamed("event_type", "item")
+    return _as_text(jobs.burst_sessions(rows, ["user_id", "item"], "12 hours", 2))
+
+
+@query(f"WITH {_RUNS} SELECT {_RUN_ROW} FROM runs WHERE last + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_burst_sessions(spark, sf):
+    """The same runs from a stream, as far as its watermark has closed them."""
+    return _as_text(_run_stream(spark, jobs.burst_sessions(_event_stream(spark, sf), ["user_id", "item"], "12 hours", 2)))
+
+
+_LATE = f"""e AS (SELECT event_id AS row_id, CAST(event_id % 5 + 1 AS INT) AS star, ts,
+  CAST((event_id * 7919) % 100 AS DOUBLE) / 100 AS p, ts + to_hours(CAST((event_id * 31) % 40 AS BIGINT)) AS scored_ts FROM events),
+met AS (SELECT row_id, star, ts, CASE WHEN scored_ts <= ts + INTERVAL 24 HOUR THEN p END AS p_pos FROM e),
+flagged AS (SELECT row_id, star, ts, p_pos, CASE WHEN p_pos IS NOT NULL THEN (p_pos >= {C.SpamConfig().confident_positive} AND star <= 2) OR (p_pos <= {C.SpamConfig().confident_negative} AND star >= 4) END AS rating_mismatch FROM met)"""
+
+
+def _late_inputs(spark, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as reviews, and predictions for them that come up to 39 hours later."""
+    reviews = rows.select(F.col("event_id").alias("row_id"), (F.col("event_id") % 5 + 1).cast("int").alias("star"), "ts")
+    late = F.make_dt_interval(hours=((F.col("event_id") * 31) % 40).cast("int"))
+    p = ((F.col("event_id") * 7919) % 100).cast("double") / 100
+    return reviews, rows.select(F.col("event_id").alias("row_id"), p.alias("p_pos"), (F.col("ts") + late).alias("scored_ts"))
+
+
+@query(f"WITH {_LATE} SELECT row_id, star, p_pos, rating_mismatch FROM flagged")
+def late_predictions(spark, sf):
+    found = jobs.late_predictions(*_late_inputs(spark, D.events(spark, sf)), "24 hours")
+    return found.select("row_id", "star", "p_pos", "rating_mismatch")
+
+
+@query(f"WITH {_LATE} SELECT row_id, star, p_pos, rating_mismatch FROM flagged WHERE p_pos IS NOT NULL OR ts + INTERVAL 24 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_late_predictions(spark, sf):
+    """The same flags from two streams; a review without a prediction appears when it is certain."""
+    reviews, _ = _late_inputs(spark, _event_stream(spark, sf))
+    _, predictions = _late_inputs(spark, _event_stream(spark, sf))
+    found = jobs.late_predictions(reviews, predictions, "24 hours", "1 day")
+    return _run_stream(spark, found.select("row_id", "star", "p_pos", "rating_mismatch"))
