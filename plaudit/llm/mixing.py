@@ -27,7 +27,8 @@ from plaudit.llm.common import bounded_batches, map_columns, stored, table, text
 @dataclass(frozen=True)
 class MixConfig:
     """Weights repeat over the sources in code-point order. ``cap`` bounds how often a word is
-    taken. ``part_docs`` is how many documents, about, are numbered in one task."""
+    taken. ``part_docs`` is how many documents, about, are numbered in one task, and ``task_slots``
+    how many slots, about, one task makes at most."""
 
     weights: tuple[int, ...] = (1, 2, 3)
     cap: int = 3
@@ -35,6 +36,7 @@ class MixConfig:
     slots: int = 4096
     seed: int = 8
     part_docs: int = 5_000
+    task_slots: int = 4_000_000
 
 
 def source_targets(sizes: pd.DataFrame, config: MixConfig = MixConfig()) -> pd.DataFrame:
@@ -153,7 +155,10 @@ def block_takes(spark, targets: pd.DataFrame, config: MixConfig = MixConfig()) -
                     block = permuted(mine % size, size, int(seed * 1_000_003 + source * 101 + turn))
                     yield pd.DataFrame({"no": int(source), "block": block, "shard": int(shard), "slot": mine})
 
-    return counted.mapInPandas(place, "no int, block long, shard long, slot long")
+    # The draws of one source lie in one task of the window; they are dealt again by shard, so that
+    # its slots come from many tasks. The number is given, as Spark would join such small parts.
+    tasks = max(min(shards * len(no), spark.sparkContext.defaultParallelism * 4), -(-total // config.task_slots))
+    return counted.repartition(tasks, "no", "shard").mapInPandas(place, "no int, block long, shard long, slot long")
 
 
 def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, DataFrame, pd.DataFrame]:

@@ -64,6 +64,30 @@ def test_taken_words(spark):
     assert ((by["taken"] - by["target"]).abs() <= 600).all()
 
 
+def test_taken_words_word_by_word(spark):
+    """Every word of a stream is taken as often as its block is; every pass takes each block once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    config = M.MixConfig(block=32, slots=128, part_docs=17, task_slots=100)
+    placed, pieces, targets = M.mix_plan(docs, config)
+    slots = M.block_takes(spark, targets, config)
+    assert slots.rdd.getNumPartitions() >= 32
+    got = slots.toPandas()
+    times = Counter(zip(got["no"], got["block"]))
+    for no, mine in got.groupby("no"):
+        n = -(-int(targets["size"][no]) // config.block)
+        assert sorted(mine["slot"]) == list(range(len(mine)))
+        for _, turn in mine.groupby(mine["slot"] // n):
+            assert turn["block"].is_unique and turn["block"].between(0, n - 1).all()
+    per_shard = got.groupby("shard").size()
+    assert (per_shard.iloc[:-1] == config.slots).all() and per_shard.iloc[-1] <= config.slots
+    number = {s: i for i, s in enumerate(targets["source"])}
+    want = Counter()
+    for r in placed.toPandas().itertuples():
+        want[r.doc_id] = sum(times[number[r.source], w // config.block] for w in range(r.start, r.start + r.size))
+    taken = pieces.groupBy("doc_id").agg({"words": "sum"}).toPandas()
+    assert dict(zip(taken["doc_id"], taken["sum(words)"])) == {d: n for d, n in want.items() if n}
+
+
 def test_mixed_texts(spark):
     docs = edge_docs(spark)
     config = M.MixConfig(block=16, slots=64, part_docs=3)
