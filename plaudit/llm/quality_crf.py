@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import bounded_batches, held_out, map_columns, table, text_of
+from plaudit.llm.common import bounded_batches, held_out, map_columns, stored, table, text_of
 
 #: Classes of characters that are counted, by ASCII code; all codes from 128 on form one more.
 SYMBOLS = b"#*$%&|<>=_^~@\\+"
@@ -43,11 +44,13 @@ FEATURES = (*OWN, *[f"before_{n}" for n in NEAR], *[f"after_{n}" for n in NEAR])
 
 @dataclass(frozen=True)
 class CrfConfig:
-    """The sample that the model is fitted on has at most ``sample`` labelled documents, chosen
-    by hash; of one with more than ``window`` lines a window at a hashed place is taken."""
+    """The sample that the model is fitted on has at most ``sample`` labelled documents, chosen by
+    hash, with at most ``lines`` lines in all; every document in it is whole. While fitting, the
+    chain of a document is cut every ``segment`` lines; scoring never cuts it."""
 
     sample: int = 8_000
-    window: int = 64
+    lines: int = 400_000
+    segment: int = 128
     steps: int = 150
     rate: float = 0.3
     penalty: float = 1e-4
@@ -136,9 +139,10 @@ def marginals(model: CrfModel, x: np.ndarray, begin: np.ndarray) -> tuple[np.nda
     return good, log_z
 
 
-def _forward_backward(score: np.ndarray, move: np.ndarray, first: float, begin: np.ndarray):
+def _forward_backward(score: np.ndarray, move: np.ndarray, first: float | np.ndarray, begin: np.ndarray):
     """Marginals of good, summed pair marginals by (from, to), and log Z per text; all texts side
-    by side, one line after the other, in scaled probabilities."""
+    by side, one line after the other, in scaled probabilities. ``first`` is one score or one per
+    text."""
     order, n = _rows(begin)
     at, longest = begin[:-1][order], int(n[0]) if len(n) else 0
     running = [int(np.searchsorted(-n, -t, side="left")) for t in range(longest + 1)]  # texts with more than t lines
@@ -147,11 +151,12 @@ def _forward_backward(score: np.ndarray, move: np.ndarray, first: float, begin:
     step = np.exp(np.clip(move, -30, 30))
     alpha, beta = np.empty((len(score), 2)), np.empty((len(score), 2))
     log_z, scale = np.zeros(len(n)), np.empty(len(score))
-    now = np.array([1.0, np.exp(np.clip(first, -30, 30))])[None, :]
+    now = np.exp(np.clip(np.broadcast_to(first, len(n)), -30, 30))[order]
+    now = np.stack([np.ones(len(n)), now], 1)
     for t in range(longest):
         k = running[t]
         i = at[:k] + t
-        raw = (now if t == 0 else alpha[i - 1] @ step) * emit[i]
+        raw = (now[:k] if t == 0 else alpha[i - 1] @ step) * emit[i]
         c = raw.sum(1)
         alpha[i], scale[i] = raw / c[:, None], c
         log_z[:k] += np.log(c)
@@ -203,14 +208,17 @@ def fit(x: np.ndarray, length: np.ndarray, begin: np.ndarray, label: np.ndarray,
     low = np.minimum.reduceat(looks, begin[:-1])
     worst[looks <= low[doc_of]] = True
     line = np.where(label[doc_of] == 1, 1, np.where((looks > 0) & ~worst, 1, 0))
+    place = np.arange(len(line)) - begin[:-1][doc_of]
+    chains = np.append(np.flatnonzero(place % config.segment == 0), len(line))
+    opens = (place[chains[:-1]] == 0).astype(float)  # chains that begin their document
     inner = np.ones(len(line), bool)
-    inner[begin[:-1]] = False
+    inner[chains[:-1]] = False
     seen = np.zeros((2, 2))
     np.add.at(seen, (line[:-1][inner[1:]], line[1:][inner[1:]]), 1)
     first_good = line[begin[:-1]].sum()
 
     def crf(w):
-        good, pairs, _ = _forward_backward(x @ w[:width], w[width : width + 4].reshape(2, 2), w[-1], begin)
+        good, pairs, _ = _forward_backward(x @ w[:width], w[width : width + 4].reshape(2, 2), w[-1] * opens, chains)
         g = np.concatenate([x.T @ (good - line), (pairs - seen).ravel(), [good[begin[:-1]].sum() - first_good]])
         return g / len(line) + config.penalty * w
 
@@ -252,15 +260,16 @@ def score_texts(model: CrfModel, texts: Sequence[str]) -> tuple[np.ndarray, np.n
 def train(docs: DataFrame, labels: DataFrame, config: CrfConfig = CrfConfig()) -> CrfModel:
     """Fit on labelled documents outside the held-out fold (crc32 of the id, modulo ``folds``).
 
-    Of a document labelled more than once the lower label counts. Features are computed by the
-    tasks; at most ``sample`` x ``window`` lines of them reach the driver.
+    Of a document labelled more than once the lower label counts; equal rows count once. Features
+    are computed by the tasks from whole texts. Documents enter in the order of their hash as long
+    as ``sample`` and ``lines`` hold; one with more than ``lines`` lines of its own is left out, so
+    what reaches the driver is bounded.
     """
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), config.folds))
     picked = usable.groupBy("doc_id").agg(F.min("quality").alias("label"))
     # The ids are at most `sample` rows, so they may be broadcast.
     ids = F.broadcast(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample))
-    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").select("doc_id", "text", "label")
-    window = config.window
+    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,16 +277,20 @@ def train(docs: DataFrame, labels: DataFrame, config: CrfConfig = CrfConfig()) -
                 continue
             x, length, begin = line_features(batch["text"].tolist())
             out = []
-            for i, (doc, label) in enumerate(zip(batch["doc_id"], batch["label"])):
+            for i, (doc, th, label) in enumerate(zip(batch["doc_id"], batch["th"], batch["label"])):
                 a, b = int(begin[i]), int(begin[i + 1])
-                if b - a > window:
-                    a += (int(doc) * 2654435761 >> 7) % (b - a - window + 1)
-                    b = a + window
-                out.append((int(doc), int(label), b - a, x[a:b].astype("<f4").tobytes(), length[a:b].astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "label", "n", "x", "length"])
-
-    got = rows.mapInPandas(features, "doc long, label int, n int, x binary, length binary").toPandas()
-    got = got.sort_values(["doc", "x"], kind="stable")
+                out.append((int(doc), int(th), int(label), b - a, x[a:b].astype("<f4").tobytes(), length[a:b].astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc", "th", "label", "n", "x", "length"])
+
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("th"), "text", "label")
+    made = stored(hashed.mapInPandas(features, "doc long, th long, label int, n int, x binary, length binary"))
+    # One row per document and text, then the first `sample` of them: few and narrow rows.
+    sizes = made.groupBy("doc", "th").agg(F.min("n").alias("n")).filter(F.col("n") <= config.lines)
+    first = sizes.orderBy(F.xxhash64("doc"), "doc", "th").limit(config.sample)
+    running = F.sum("n").over(W.orderBy(F.xxhash64("doc"), "doc", "th"))
+    chosen = first.withColumn("running", running).filter(F.col("running") <= config.lines).select("doc", "th")
+    got = made.join(F.broadcast(chosen), ["doc", "th"]).dropDuplicates(["doc", "th"]).toPandas()
+    got = got.sort_values(["doc", "th"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, len(FEATURES)).astype(np.float64)
     length = np.frombuffer(b"".join(got["length"]), "<f4").astype(np.float64)
     begin = np.concatenate([[0], np.cumsum(got["n"].to_numpy(np.int64))])

@@ -44,6 +44,31 @@ def test_features_of_lines():
     assert x[3, at["before_upper"]] == 0  # another text's line is no neighbour
 
 
+def test_bad_lines_far_inside_are_learned_from(spark):
+    """Long documents are whole in the fit: the bad ones differ from the good ones in a passage at
+    the end alone, beyond many lines that look the same."""
+    plain, bad = "some plain words of a common line\n", "#### $$$$ !!!! BUY NOW #### $$$$\n"
+    texts = [plain * 300 + (bad if i % 2 else plain) * 60 for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = Q.score(docs, Q.train(docs, labels)).toPandas()
+    assert (rows["predicted"] == 1 - rows["doc_id"] % 2).all()
+    assert (rows.loc[rows["predicted"] == 0, "bad_lines"] >= 60).all() and (rows.loc[rows["predicted"] == 1, "bad_lines"] <= 1).all()
+    # The bound on lines leaves whole documents: 360 lines and an empty last one each.
+    few = Q.train(docs, labels, Q.CrfConfig(lines=361 * 4))
+    assert np.isfinite(few.emission).all()
+    none = Q.train(docs, labels, Q.CrfConfig(lines=100))
+    assert (none.emission == 0).all()
+
+
+def test_chains_cut_in_the_fit_keep_their_first_line():
+    rng = np.random.default_rng(5)
+    score, move = rng.normal(size=7), rng.normal(size=(2, 2))
+    good, _, _ = Q._forward_backward(score, move, np.array([0.7, 0.0]), np.array([0, 5, 7]))
+    assert np.allclose(good[:5], Q._forward_backward(score[:5], move, 0.7, np.array([0, 5]))[0])
+    assert np.allclose(good[5:], Q._forward_backward(score[5:], move, 0.0, np.array([0, 2]))[0])
+
+
 def test_held_out_accuracy(spark):
     rows = Q.op2_quality_crf(spark, SF).toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
