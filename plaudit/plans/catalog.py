@@ -1352,3 +1352,65 @@ def stream_late_predictions(spark, sf):
     _, predictions = _late_inputs(spark, _event_stream(spark, sf))
     found = jobs.late_predictions(reviews, predictions, "24 hours", "1 day")
     return _run_stream(spark, found.select("row_id", "star", "p_pos", "rating_mismatch"))
+
+
+# --- written tables, optional sides and refused arguments ---------------------------
+
+
+@query(O.base() + "SELECT row_id, item, user_id, day_no, star, likes, comment FROM clean")
+def parquet_sink(spark, sf):
+    """Clean reviews written in a folder per item, and read back with a fixed schema."""
+    path = shared_folder(spark) + "/clean"
+    rows = clean(spark, sf).select("row_id", "item", "user_id", "day_no", "star", "likes", "comment")
+    sinks.write_table(rows, path, ["item"])
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+_MARKED = "marked AS (SELECT item, count(*) FILTER (likes >= 300) AS n_suspect, count(*) FILTER (likes >= 300) / count(*) AS suspect_rate FROM scored WHERE item <> 'src3' GROUP BY item)"
+
+
+@query(O.base_scored(O.STATS, _MARKED) + """SELECT 'with' AS side, s.item, n_reviews, coalesce(n_suspect, 0) AS n_suspect, round(coalesce(suspect_rate, 0), 6) AS suspect_rate
+FROM scores s LEFT JOIN marked m ON s.item = m.item UNION ALL SELECT 'without', item, n_reviews, NULL, NULL FROM scores""")
+def optional_side_table(spark, sf):
+    """The summary with a side table that lacks one item, and without the table, before it is there."""
+    path = shared_folder(spark) + "/marked"
+    rows = stable_copy(scored(spark, sf).drop("comment"))
+    scores = R.item_scores(R.item_stats(rows))
+    bare = R.item_summary(scores, spam_summary=readers.read_optional(spark, path)).select(
+        F.lit("without").alias("side"), "item", "n_reviews", F.lit(None).cast("bigint").alias("n_suspect"), F.lit(None).cast("double").alias("suspect_rate"))
+    hits = F.count_if(F.col("likes") >= 300)
+    side = rows.filter("item <> 'src3'").groupBy("item").agg(hits.alias("n_suspect"), (hits / F.count(F.lit(1))).alias("suspect_rate"))
+    sinks.write_table(side, path)
+    full = R.item_summary(scores, spam_summary=readers.read_optional(spark, path))
+    return full.select(F.lit("with").alias("side"), "item", "n_reviews", "n_suspect", *_r("suspect_rate")).unionByName(bare)
+
+
+@query(ORACLES["calibration_record"])
+def metrics_file(spark, sf):
+    """The calibration record written as a JSON file and read back with its schema."""
+    path = shared_folder(spark) + "/metrics"
+    record = QUERIES["calibration_record"](spark, sf)
+    sinks.write_json(record, path)
+    return spark.read.schema(record.schema).json(path)
+
+
+@query(O.base_scored() + """SELECT 'known item' AS request, count(*) AS n, false AS refused FROM (SELECT * FROM scored WHERE item = 'src3' AND pred_sent = 1 LIMIT 20)
+UNION ALL SELECT 'unknown item', 0, false UNION ALL SELECT 'bad polarity', NULL, true UNION ALL SELECT 'empty text', NULL, true""")
+def bad_requests(spark, sf):
+    """An unknown item gives no rows; a wrong polarity and an empty text are refused."""
+    rows = scored(spark, sf)
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    def found(name: str, item: str) -> DataFrame:
+        return V.sample_reviews(rows, rows, item).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("request"), "n", F.lit(False).alias("refused"))
+
+    wrong = [("bad polarity", refused(lambda: V.sample_reviews(rows, rows, "src3", "both"))),
+             ("empty text", refused(lambda: M.predict_text(spark, "  ", lambda df: M.attach_lexicon_scores(df, D.SENTIMENT))))]
+    answers = spark.createDataFrame([(r, None, x) for r, x in wrong], "request string, n bigint, refused boolean")
+    return found("known item", "src3").unionByName(found("unknown item", "no such item")).unionByName(answers)
