@@ -16,6 +16,7 @@ from plaudit.functions.scoring import spread_hash
 RUN_FOLDER = "plaudit.run.folder"
 HOT_GROUPS = 1024
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 4096
 SAMPLE_BUCKETS = 1024
 TOP_SALTS = 64
@@ -59,6 +60,11 @@ def stored(df: DataFrame) -> tuple[DataFrame, int]:
     return copy, copy.count()
 
 
+def stored_bytes(copy: DataFrame) -> int:
+    """Size of the files of a stored table."""
+    return int(copy._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def stable_copy(df: DataFrame) -> DataFrame:
     """The table that ``stored`` writes, without counting it."""
     path = shared_folder(df.sparkSession)
@@ -88,7 +94,8 @@ def attach_group_values(
 
     ``size`` is a column of ``groups`` with the number of fact rows of the group (or a number
     that grows with it). The groups are stored first, which gives their exact number. Up to
-    BROADCAST_ROWS of them are broadcast, and the fact table is not shuffled at all. Beyond
+    BROADCAST_ROWS of them with files of up to BROADCAST_BYTES (keys may be long) are broadcast,
+    and the fact table is not shuffled at all. Beyond
     that, the HOT_GROUPS largest ones are broadcast; their fact rows take a salt into the
     shuffle that joins the others, match nothing there and are spread evenly. A group left for
     the shuffle holds at most 1/HOT_GROUPS of all rows. Keys compare null-safe, as grouping does.
@@ -100,7 +107,7 @@ def attach_group_values(
     values = [c for c in groups.columns if c not in keys]
     kept = [c for c in fact.columns if c not in values]
     groups, rows = stored(groups)
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and stored_bytes(groups) <= BROADCAST_BYTES:
         found = _left_join(fact, F.broadcast(_packed(groups, keys, values)), keys)
         return _unpacked(found, kept, values, keep)
     largest = groups.filter(F.col(size) > 1).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)

@@ -135,3 +135,18 @@ def test_key_split_is_stable(spark):
     assert split.groupBy("a", "b").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
     sizes = {r.split: r.n for r in split_counts(split).collect()}
     assert sum(sizes.values()) == 2000 and 200 < sizes["train"] < 560
+
+
+def test_few_groups_with_long_keys_are_not_broadcast(spark, monkeypatch):
+    """The size of the stored groups decides, not their number alone."""
+    fact = spark.range(60).select(F.col("id"), F.concat(F.lit("k" * 500), F.col("id") % 4).alias("k"))
+    groups = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+    def run():
+        found = scale.attach_group_values(fact, groups, ["k"], "n", ["id"])
+        assert {(r.id, r.n) for r in found.collect()} == {(i, 15) for i in range(60)}
+        return "__salt" in found._jdf.queryExecution().analyzed().toString()
+
+    assert not run()
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 100)
+    assert run()
