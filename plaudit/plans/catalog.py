@@ -32,6 +32,7 @@ from plaudit.operators.scale import shared_folder, stable_copy
 from plaudit.plans import oracle_parts as O
 from plaudit.sources import driver_tables as D
 from plaudit.sources import readers, sinks
+from plaudit.sources.csv_blocks import read_csv_blocks
 from plaudit.streaming import jobs, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,18 @@ def csv_round_trip(spark, sf):
     return N.clean_reviews(typed).select("row_id", "item", "item_label", "user_id", "day_no", "star", "likes", "comment")
 
 
+_BROKEN = "replace(comment, 'e ', 'e\"' || chr(13) || chr(10) || '\",')"
+
+
+@query("WITH " + O.REVIEWS + f" SELECT row_id, item, {_BROKEN} AS comment, likes FROM reviews WHERE comment <> ''")
+def csv_in_blocks(spark, sf):
+    """Texts full of quotes, commas and line breaks, written as CSV and read by blocks."""
+    path = shared_folder(spark) + "/broken"
+    rows = D.reviews(spark, sf).filter("comment <> ''").select("row_id", "item", F.expr(_BROKEN).alias("comment"), "likes")
+    sinks.write_csv(rows, path)
+    return read_csv_blocks(spark, path, rows.schema)
+
+
 # --- cleaning -----------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaudit.operators.spam import day_number
+from plaudit.sources.csv_blocks import read_csv_blocks
 
 RAW_SCHEMA = T.StructType(
     [
@@ -39,13 +40,14 @@ PREDICTION_SCHEMA = T.StructType(
 
 
 def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Raw reviews with a fixed schema. Quoted line breaks need ``multi_line``, which reads each
-    file in one task: hand over many files, and write Parquet once. Columns that are not
-    selected later are not parsed."""
+    """Raw reviews with a fixed schema. Quoted line breaks need ``multi_line``, which stores the
+    lines once in chunks (``csv_blocks``); a file is read by many tasks either way. Columns that
+    are not selected later are not parsed."""
+    if multi_line:
+        return read_csv_blocks(spark, path, RAW_SCHEMA)
     return (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
