@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED, WARNING = "required", "warning"
 
 
-def _checks(df: DataFrame, tests: dict[str, tuple[str, Column]]) -> DataFrame:
+Tests = dict[str, tuple[str, Column]]
+
+
+def _checks(df: DataFrame, tests: Tests) -> DataFrame:
     """All tests of a table in one aggregation; a test is an aggregate that counts violations."""
     one = df.agg(*[agg.cast("bigint").alias(name) for name, (_, agg) in tests.items()])
     levels = F.create_map(*[F.lit(x) for name, (lvl, _) in tests.items() for x in (name, lvl)])
@@ -21,6 +25,29 @@ def _checks(df: DataFrame, tests: dict[str, tuple[str, Column]]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Watched:
+    """Checks counted in the pass that writes ``table``: write it, then read ``checks``. Tests
+    that need distinct values or another table cannot be counted in passing."""
+
+    table: DataFrame
+    tests: Tests
+    seen: Observation
+
+    def checks(self) -> DataFrame:
+        """A row per test. Waits for the write; a table without any task has no violations."""
+        counts = self.seen.get
+        rows = [(n, lvl, int(counts.get(n) or 0), not counts.get(n)) for n, (lvl, _) in self.tests.items()]
+        spark: SparkSession = self.table.sparkSession
+        return spark.createDataFrame(rows, "check string, level string, violations bigint, ok boolean")
+
+
+def watched(df: DataFrame, tests: Tests) -> Watched:
+    seen = Observation()
+    counts = [agg.cast("bigint").alias(name) for name, (_, agg) in tests.items()]
+    return Watched(df.observe(seen, *counts), tests, seen)
+
+
 def _outside(name: str, low, high) -> Column:
     """Rows outside the range; a missing value counts as outside."""
     return F.count_if(~F.coalesce(F.col(name).between(low, high), F.lit(False)))
@@ -31,9 +58,9 @@ def _strict(smoke: bool) -> str:
     return WARNING if smoke else REQUIRED
 
 
-def summary_checks(summary: DataFrame, min_reviews: int = 1000, smoke: bool = False) -> DataFrame:
+def summary_tests(min_reviews: int = 1000, smoke: bool = False) -> Tests:
     n = F.col("n_reviews")
-    tests = {
+    return {
         "final_score_range": (REQUIRED, _outside("final_score", 0, 10)),
         "bayes_rating_range": (REQUIRED, _outside("bayes_rating", 1, 5)),
         "confidence_range": (REQUIRED, _outside("confidence", 0, 1)),
@@ -41,49 +68,76 @@ def summary_checks(summary: DataFrame, min_reviews: int = 1000, smoke: bool = Fa
         "verdicts_add_up": (REQUIRED, F.count_if(F.col("model_pos") + F.col("model_neg") != n)),
         "enough_reviews": (_strict(smoke), F.count_if(n < min_reviews)),
     }
-    return _checks(summary, tests)
 
 
-def prediction_checks(scored: DataFrame, threshold: float = 0.5, dense: bool = True) -> DataFrame:
-    """Ranges of the scores; uniqueness, and if asked density, of the row ids."""
-    rows, ids = F.count(F.lit(1)), F.count_distinct("row_id")
+def summary_checks(summary: DataFrame, min_reviews: int = 1000, smoke: bool = False) -> DataFrame:
+    return _checks(summary, summary_tests(min_reviews, smoke))
+
+
+def prediction_tests(threshold: float = 0.5) -> Tests:
+    """Ranges of the scores."""
     agree = (F.col("p_pos") >= threshold).cast("int") == F.col("pred_sent")
-    tests = {
+    return {
         "p_pos_range": (REQUIRED, _outside("p_pos", 0, 1)),
         "pred_sent_values": (REQUIRED, F.count_if(~F.coalesce(F.col("pred_sent").isin(0, 1), F.lit(False)))),
         "exp_rating_range": (WARNING, _outside("exp_rating", 1, 5)),
         "verdict_follows_threshold": (WARNING, F.count_if(~F.coalesce(agree, F.lit(False)))),
-        "row_id_unique": (REQUIRED, rows - ids),
     }
+
+
+def row_id_checks(scored: DataFrame, dense: bool = True) -> DataFrame:
+    """Uniqueness, and if asked density, of the row ids."""
+    return _checks(scored, _row_id_tests(dense))
+
+
+def _row_id_tests(dense: bool) -> Tests:
+    rows, ids = F.count(F.lit(1)), F.count_distinct("row_id")
+    tests = {"row_id_unique": (REQUIRED, rows - ids)}
     if dense:
         span = F.max("row_id") - F.min("row_id") + 1
         tests["row_id_dense"] = (REQUIRED, F.abs(span - ids) + F.abs(F.min("row_id")))
-    return _checks(scored, tests)
+    return tests
 
 
-def spam_checks(spam_summary: DataFrame, detail: DataFrame, smoke: bool = False) -> DataFrame:
-    per_item = {
+def prediction_checks(scored: DataFrame, threshold: float = 0.5, dense: bool = True) -> DataFrame:
+    """Ranges of the scores; uniqueness, and if asked density, of the row ids."""
+    return _checks(scored, prediction_tests(threshold) | _row_id_tests(dense))
+
+
+def suspect_rate_tests(smoke: bool = False) -> Tests:
+    """Tests of the spam summary, a row per item."""
+    return {
         "suspect_rate_range": (REQUIRED, _outside("suspect_rate", 0, 1)),
         "suspects_within_reviews": (REQUIRED, F.count_if(F.col("n_suspect") > F.col("n_reviews"))),
         "every_item_has_suspects": (_strict(smoke), F.count_if(F.col("n_suspect") == 0)),
     }
-    per_row = {
+
+
+def suspect_tests() -> Tests:
+    """Tests of the spam detail, a row per review."""
+    return {
         "suspects_have_reasons": (REQUIRED, F.count_if(F.col("is_suspect") & (F.size("reasons") == 0))),
         "spam_score_range": (REQUIRED, _outside("spam_score", 0, 1)),
     }
-    return _checks(spam_summary, per_item).unionByName(_checks(detail, per_row))
 
 
-def aspect_checks(pros_cons: DataFrame, smoke: bool = False) -> DataFrame:
+def spam_checks(spam_summary: DataFrame, detail: DataFrame, smoke: bool = False) -> DataFrame:
+    return _checks(spam_summary, suspect_rate_tests(smoke)).unionByName(_checks(detail, suspect_tests()))
+
+
+def aspect_tests(smoke: bool = False) -> Tests:
     """Every item has pros, and cons or weak points; evidence is never an empty string."""
     listed = F.concat("pros", "cons", "weak")
     blank = F.exists(listed, lambda e: F.exists(e["evidence"], lambda s: F.coalesce(s, F.lit("")) == ""))
-    tests = {
+    return {
         "has_pros": (_strict(smoke), F.count_if(F.size("pros") == 0)),
         "has_cons_or_weak": (_strict(smoke), F.count_if((F.size("cons") == 0) & (F.size("weak") == 0))),
         "evidence_not_blank": (REQUIRED, F.count_if(blank)),
     }
-    return _checks(pros_cons, tests)
+
+
+def aspect_checks(pros_cons: DataFrame, smoke: bool = False) -> DataFrame:
+    return _checks(pros_cons, aspect_tests(smoke))
 
 
 def totals_check(left: DataFrame, right: DataFrame, name: str = "totals_match") -> DataFrame:

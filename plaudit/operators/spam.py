@@ -100,14 +100,19 @@ def day_cut(base: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataFrame:
     )
 
 
-def user_groups(base: DataFrame) -> DataFrame:
-    """Per user, item and day: the size of that group, of (user, item) and of (item, day)."""
+def user_days(base: DataFrame) -> DataFrame:
+    """Per user, item and day: the size of that group and of (user, item)."""
     daily = base.groupBy("user_id", "item", "day_no").agg(
         F.count(F.lit(1)).alias("user_movie_day_count")
     )
     # A (user, item) window holds one row per day, however many reviews there are.
     per_item = F.sum("user_movie_day_count").over(W.partitionBy("user_id", "item"))
-    daily = stable_copy(daily.withColumn("user_movie_count", per_item))
+    return daily.withColumn("user_movie_count", per_item)
+
+
+def user_groups(base: DataFrame) -> DataFrame:
+    """Per user, item and day: the size of that group, of (user, item) and of (item, day)."""
+    daily = stable_copy(user_days(base))
     volume = daily.groupBy("item", "day_no").agg(
         F.sum("user_movie_day_count").alias("movie_day_count"), F.count(F.lit(1)).alias("__users")
     )
@@ -151,9 +156,17 @@ def with_text_groups(base: DataFrame) -> DataFrame:
 
 
 def with_user_groups(base: DataFrame) -> DataFrame:
-    return attach_group_values(
-        base, user_groups(base), ["user_id", "item", "day_no"], "user_movie_day_count", ["row_id"]
+    """Adds the user group sizes and the volume of the item's day. Only users with several reviews
+    of an item travel; the volumes, one row per item and day, are few."""
+    daily = stable_copy(user_days(base))
+    volume = daily.groupBy("item", "day_no").agg(F.sum("user_movie_day_count").alias("movie_day_count"))
+    several = daily.filter(F.col("user_movie_count") > 1)
+    out = attach_group_values(
+        base, several, ["user_id", "item", "day_no"], "user_movie_day_count", ["row_id"]
     )
+    out = attach_group_values(out, volume, ["item", "day_no"], "movie_day_count", ["row_id"])
+    sizes = ("user_movie_day_count", "user_movie_count")
+    return out.withColumns({c: F.coalesce(c, F.lit(1).cast("bigint")) for c in sizes})
 
 
 def spam_detail(base: DataFrame, cfg: C.SpamConfig = C.SpamConfig()) -> DataFrame:

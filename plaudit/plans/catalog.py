@@ -1172,6 +1172,25 @@ def quality_checks(spark, sf):
     return _checks_table(spark, sf)
 
 
+@query(ORACLES["quality_checks"])
+def write_checks(spark, sf):
+    """The same checks counted while the tables are written; only ids and totals are read again."""
+    found = []
+
+    def save(df, tests):
+        seen, path = Q.watched(df, tests), shared_folder(spark)
+        sinks.write_table(seen.table, path)
+        found.append(seen.checks())
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = save(_shared(spark, sf), Q.prediction_tests())
+    scores = save(R.item_scores(R.item_stats(rows)), Q.summary_tests())
+    detail = save(_detail_of(rows), Q.suspect_tests())
+    per_item = save(X.spam_summary(detail), Q.suspect_rate_tests())
+    save(_pros_cons(rows), Q.aspect_tests())
+    return Q.all_checks(*found, Q.row_id_checks(rows), Q.totals_check(scores, per_item))
+
+
 _GATES = {
     "accuracy": "NOT acc > 0.80", "f1_good": "NOT f1_pos > 0.85", "rating_mae": "NOT (SELECT avg(abs(pred_rating - star)) FROM scored) < 0.8",
     "threshold": "NOT (threshold > 0.05 AND threshold < 0.95)",

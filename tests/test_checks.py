@@ -1,0 +1,30 @@
+"""Checks counted while a table is written equal those of a second scan."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from plaudit.operators import checks as Q
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_counted_in_the_write(spark, tmp_path, n):
+    df = spark.range(0, n, 1, 7).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 10 > 0, (F.col("id") % 13) / 10).alias("p_pos"),
+        (F.col("id") % 3).cast("int").alias("pred_sent"), F.lit(3.0).alias("exp_rating"),
+    )
+    seen = Q.watched(df, Q.prediction_tests())
+    seen.table.write.parquet(str(tmp_path / "t"))
+    got = seen.checks().union(Q.row_id_checks(df, dense=False))
+    assert _rows(got) == _rows(Q.prediction_checks(df, dense=False))
+
+
+def test_empty_relation(spark, tmp_path):
+    df = spark.createDataFrame([], "n_reviews long, final_score double, bayes_rating double, confidence double, "
+                                   "star_pos long, star_neg long, star_mid long, model_pos long, model_neg long")
+    seen = Q.watched(df, Q.summary_tests())
+    seen.table.write.parquet(str(tmp_path / "t"))
+    assert {r.violations for r in seen.checks().collect()} == {0}
