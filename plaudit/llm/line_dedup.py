@@ -116,6 +116,12 @@ def winnow_all(lines: np.ndarray, begin: np.ndarray, config: DedupConfig) -> tup
     return grams[chosen].astype(np.int64), owner[chosen], at[chosen].astype(np.int32)
 
 
+def _parts(values: np.ndarray, begin: np.ndarray, kind: str) -> list[bytes]:
+    """The values of each text as bytes."""
+    values, edges = values.astype(kind), begin.tolist()
+    return [values[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+
 def winnowed(lines: np.ndarray, config: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of one text and the lines where they begin."""
     marks, _, at = winnow_all(lines, np.array([0, len(lines)]), config)
@@ -177,7 +183,8 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     """``id, th, runs``: the runs of lines to delete from each document that has any. The id is
     the doc_id (a null one comes last), th tells documents with one id apart.
 
-    The corpus is read once; its line hashes are stored, 4 bytes a word. Fingerprints that occur
+    The corpus is read once; its line hashes, 4 bytes a word, and its fingerprints, 12 bytes for
+    every six or seven words, are stored. Fingerprints that occur
     once go after a count; a hot one meets its first place by a join whose large side is split
     (counts and first places are stored, so both sides of the joins are plain exchanges). Later
     and earlier texts are joined from one exchange of the line hashes. Bitmaps of constant size
@@ -190,34 +197,47 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes, begin = fold_all([t.encode("utf-8") for t in batch["text"]])
-            packed = [hashes[a:b].astype("<u4").tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "folds": packed})
-
-    lines = one_per_key(stored(rows.mapInPandas(fold, "id long, th long, folds binary")), ["id", "th"])
-    enough = F.octet_length("folds") >= 4 * config.min_words
+            sizes = np.diff(begin)
+            enough = sizes >= config.min_words
+            ends = np.concatenate([[0], np.cumsum(sizes[enough])])
+            marks, owner, at = winnow_all(hashes[np.repeat(enough, sizes)], ends, config)
+            each = np.zeros(len(sizes), np.int64)  # fingerprints of each text
+            each[enough] = np.bincount(owner, minlength=len(ends) - 1)
+            upto = np.concatenate([[0], np.cumsum(each)])
+            yield pd.DataFrame({
+                "id": batch["id"], "th": batch["th"], "folds": _parts(hashes, begin, "<u4"),
+                "marks": _parts(marks, upto, "<i8"), "places": _parts(at, upto, "<i4"),
+            })
+
+    packed = "id long, th long, folds binary, marks binary, places binary"
+    lines = one_per_key(stored(rows.mapInPandas(fold, packed)), ["id", "th"])
+    marked = lines.filter(F.octet_length("marks") > 0)
+
+    def only_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": np.frombuffer(b"".join(batch["marks"]), "<i8")})
 
-    def winnow(held=None):
-        """The fingerprints of all texts; with a bitmap, those that it may hold."""
+    def held_marks(held):
+        """The fingerprints that the bitmap may hold."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sizes = [len(x) // 4 for x in batch["folds"]]
-                all_lines = np.frombuffer(b"".join(batch["folds"]), "<u4")
-                marks, owner, at = winnow_all(all_lines, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), config)
-                if held is not None:
-                    place = marks & ((1 << MARK_BITS) - 1)
-                    likely = (held.value[place >> 6] >> (place & 63)) & 1 == 1
-                    marks, owner, at = marks[likely], owner[likely], at[likely]
-                yield pd.DataFrame({"h": marks, "id": batch["id"].to_numpy()[owner], "th": batch["th"].to_numpy()[owner], "pos": at})
-
-        return lines.filter(enough).select("id", "th", "folds").mapInPandas(run, "h long, id long, th long, pos int")
-
-    several = stored(winnow().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+                marks = np.frombuffer(b"".join(batch["marks"]), "<i8")
+                place = marks & ((1 << MARK_BITS) - 1)
+                likely = np.flatnonzero((held.value[place >> 6] >> (place & 63)) & 1)
+                owner = np.repeat(np.arange(len(batch)), [len(x) // 8 for x in batch["marks"]])[likely]
+                at = np.frombuffer(b"".join(batch["places"]), "<i4")[likely]
+                yield pd.DataFrame({"h": marks[likely], "id": batch["id"].to_numpy()[owner], "th": batch["th"].to_numpy()[owner], "pos": at})
+
+        return marked.select("id", "th", "marks", "places").mapInPandas(run, "h long, id long, th long, pos int")
+
+    counted = marked.select("marks").mapInPandas(only_marks, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    several = stored(counted.filter("n > 1").select("h"))
     # Most fingerprints occur once: a bitmap of constant size drops them where they are made.
     found = hash_bitmap(several, F.col("h"), MARK_BITS).toArrow()
     bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
     bits[found.column("word").to_numpy()] = found.column("set_bits").to_numpy()
-    likely = winnow(docs.sparkSession.sparkContext.broadcast(bits))
+    likely = held_marks(docs.sparkSession.sparkContext.broadcast(bits))
     shared = stored(likely.join(several, "h"))
     firsts = stored(shared.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("first")))
     later = shared.join(firsts, "h").filter(F.struct("id", "th", "pos") > F.col("first"))
@@ -227,7 +247,7 @@ def repeats(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
     # Only documents with hits, on either side, are exchanged; both sides take the same columns.
     ids = hits.select("id", "th").union(hits.select("a_id", "a_th"))
     known = stored(hash_bitmap(ids, F.xxhash64("id", "th"), DOC_BITS))
-    texts = sift(lines, F.xxhash64("id", "th"), known, DOC_BITS)
+    texts = sift(lines.select("id", "th", "folds"), F.xxhash64("id", "th"), known, DOC_BITS)
 
     def side(name: str) -> DataFrame:
         return texts.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "th", "folds")])
