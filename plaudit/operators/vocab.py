@@ -165,6 +165,38 @@ def batch_plan(sequences: DataFrame, cfg: C.BatchConfig = C.BatchConfig(),
     )
 
 
+def batched_sequences(sequences: DataFrame, cfg: C.BatchConfig = C.BatchConfig(),
+                      ids: str = "ids", row_id: str = "row_id") -> DataFrame:
+    """``row_id, bucket, length, batch, slot``: the batches of ``batch_plan`` as data. Sequences
+    are ordered by length (ties by id) and cut into batches inside each length bucket; batches
+    count from 0 over all buckets.
+
+    The places come from a range sort (``dense_index``), so a bucket may hold most of the rows.
+    The plan, one row per bucket, has at most the longest length over the bucket width.
+    """
+    from plaudit.operators.scale import dense_index
+
+    plan = batch_plan(sequences, cfg, ids)
+    earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = plan.select(
+        F.col("bucket").alias("__bucket"), "batch_size",
+        F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("__row"),
+        F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("__batch"),
+    )
+    length = F.size(ids)
+    rows = sequences.select(
+        row_id, F.ceil(length / cfg.bucket_width).cast("bigint").alias("bucket"), length.alias("length")
+    )
+    placed = dense_index(rows, ["bucket", "length", row_id], "__at")
+    met = placed.join(F.broadcast(starts), F.col("bucket") == F.col("__bucket"))
+    here = F.col("__at") - F.col("__row")
+    return met.select(
+        row_id, "bucket", "length",
+        (F.col("__batch") + F.floor(here / F.col("batch_size"))).cast("bigint").alias("batch"),
+        (here % F.col("batch_size")).cast("bigint").alias("slot"),
+    )
+
+
 def pad_sequences(sequences: DataFrame, by: list[str], ids: str = "ids", multiple: int = 16,
                   pad: int = C.PAD_ID, labels: str | None = None) -> DataFrame:
     """Adds ``padded``: every sequence of a batch (the columns ``by``) filled up to the longest

@@ -21,7 +21,7 @@ from plaudit.operators import models as M
 from plaudit.operators import ratings as R
 from plaudit.operators import spam as S
 from plaudit.operators import vocab as B
-from plaudit.operators.cleaning import clean_reviews, dedup_keep_first
+from plaudit.operators.cleaning import clean_reviews, dedup_keep_first, item_dimension, map_item_ids
 from plaudit.operators.sampling import random_subset, sample_reviews_per_item, with_split
 from plaudit.operators.scale import stable_copy
 from plaudit.sources import sinks
@@ -89,16 +89,9 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     """
     spark = raw.sparkSession
     tables: dict[str, DataFrame] = {}
-    checks: list[DataFrame] = []
-
-    def save(name: str, df: DataFrame, tests: Q.Tests | None = None) -> DataFrame:
-        """Write a table and read it back; tests are counted while it is written."""
-        if tests is None:
-            sinks.write_table(df, f"{out}/{name}")
-        else:
-            seen = Q.watched(df, tests)
-            sinks.write_table(seen.table, f"{out}/{name}")
-            checks.append(seen.checks())
+
+    def save(name: str, df: DataFrame) -> DataFrame:
+        sinks.write_table(df, f"{out}/{name}")
         tables[name] = spark.read.parquet(f"{out}/{name}")
         return tables[name]
 
@@ -112,7 +105,9 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     metrics = save("metrics", validation_metrics(stored_scores, cfg.split, cfg.max_val_rows))
     threshold = float(metrics.first()["threshold"])
     reviews = tables["reviews"] = stored_scores.withColumn("pred_sent", verdict(F.col("p_pos"), threshold))
-    predictions = save("predictions", reviews.drop("comment"), Q.prediction_tests(threshold))
+    named = raw if "item_label" in raw.columns else raw.withColumn("item_label", F.col("item"))
+    items = save("items", item_dimension(named))
+    predictions = save("predictions", map_item_ids(reviews.drop("comment"), items))
     sampled = reviews.select("row_id", "item", "likes", "pred_sent", "comment")
     if cfg.aspects.sample_per_item is not None:
         sampled = save("sampled", sample_reviews_per_item(sampled, cfg.aspects.sample_per_item, cfg.aspects.seed))
@@ -123,22 +118,28 @@ def run(raw: DataFrame, out: str, cfg: BatchConfig = BatchConfig(),
     pros_cons = save(
         "pros_cons",
         A.pros_and_cons(table, sampled, K.keyword_lists(keywords, cfg.keywords), cfg.aspects),
-        Q.aspect_tests(cfg.smoke),
     )
     base = save("spam_base", S.signal_base(reviews, cfg.spam))
-    detail = save("spam_detail", S.spam_detail(base, cfg.spam), Q.suspect_tests())
-    per_item = save("spam_summary", S.spam_summary(detail), Q.suspect_rate_tests(cfg.smoke))
+    detail = save("spam_detail", S.spam_detail(base, cfg.spam))
+    per_item = save("spam_summary", S.spam_summary(detail))
     suspects = save("suspects", S.rank_suspects(detail, cfg.spam))
     save("top_suspects", S.suspect_texts(suspects, reviews, cfg.spam))
     scores = R.item_scores(R.item_stats(predictions), cfg.ratings)
-    summary = save("summary", R.item_summary(scores, pros_cons, per_item), Q.summary_tests(smoke=cfg.smoke))
+    summary = save("summary", R.item_summary(scores, pros_cons, per_item))
     report = save("report", sinks.report_blocks(summary, pros_cons))
     sinks.write_csv(summary, f"{out}/files/summary_csv")
     sinks.write_json(summary, f"{out}/files/summary_json")
     sinks.write_json(metrics, f"{out}/files/metrics_json")
     sinks.write_json(pros_cons, f"{out}/files/pros_cons_json")
     sinks.write_report(report, f"{out}/files/report", sinks.report_header(summary))
-    # Distinct ids and totals of two tables need a look of their own, at narrow columns.
-    checks += [Q.row_id_checks(predictions, dense=False), Q.totals_check(summary, per_item)]
-    save("checks", Q.all_checks(*checks).orderBy(F.col("check")))
+    save(
+        "checks",
+        Q.all_checks(
+            Q.summary_checks(summary, smoke=cfg.smoke),
+            Q.prediction_checks(predictions, threshold, dense=False),
+            Q.spam_checks(per_item, detail, cfg.smoke),
+            Q.aspect_checks(pros_cons, cfg.smoke),
+            Q.totals_check(summary, per_item),
+        ).orderBy(F.col("check")),
+    )
     return tables

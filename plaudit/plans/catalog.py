@@ -291,6 +291,17 @@ def batch_plan(spark, sf):
     return B.batch_plan(_encoded(spark, sf))
 
 
+@query(O.base(_VOCAB_SQL, _ENCODED) + """, b AS (SELECT row_id, CAST(len(ids) AS INT) AS length,
+  CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket FROM encoded),
+p AS (SELECT bucket, count(*) AS n, CAST(greatest(8, least(128, 8192 // greatest(1, bucket * 16))) AS BIGINT) AS size FROM b GROUP BY bucket),
+s AS (SELECT *, coalesce(sum((n + size - 1) // size) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY length, row_id) - 1 AS place FROM b)
+SELECT row_id, bucket, length, CAST(before + place // size AS BIGINT) AS batch, CAST(place % size AS BIGINT) AS slot FROM r JOIN s USING (bucket)""")
+def sequence_batches(spark, sf):
+    """Every sequence with its batch of like lengths and its place there."""
+    return B.batched_sequences(_encoded(spark, sf))
+
+
 @query(O.base(_VOCAB_SQL, _ENCODED) + """, t AS (SELECT row_id, ids, CAST(ceil(len(ids) / 16.0) AS BIGINT) AS bucket FROM encoded),
 w AS (SELECT bucket, CAST(ceil(max(len(ids)) / 16.0) * 16 AS INT) AS width FROM t GROUP BY bucket)
 SELECT row_id, bucket, width, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded
@@ -1172,25 +1183,6 @@ def quality_checks(spark, sf):
     return _checks_table(spark, sf)
 
 
-@query(ORACLES["quality_checks"])
-def write_checks(spark, sf):
-    """The same checks counted while the tables are written; only ids and totals are read again."""
-    found = []
-
-    def save(df, tests):
-        seen, path = Q.watched(df, tests), shared_folder(spark)
-        sinks.write_table(seen.table, path)
-        found.append(seen.checks())
-        return spark.read.schema(df.schema).parquet(path)
-
-    rows = save(_shared(spark, sf), Q.prediction_tests())
-    scores = save(R.item_scores(R.item_stats(rows)), Q.summary_tests())
-    detail = save(_detail_of(rows), Q.suspect_tests())
-    per_item = save(X.spam_summary(detail), Q.suspect_rate_tests())
-    save(_pros_cons(rows), Q.aspect_tests())
-    return Q.all_checks(*found, Q.row_id_checks(rows), Q.totals_check(scores, per_item))
-
-
 _GATES = {
     "accuracy": "NOT acc > 0.80", "f1_good": "NOT f1_pos > 0.85", "rating_mae": "NOT (SELECT avg(abs(pred_rating - star)) FROM scored) < 0.8",
     "threshold": "NOT (threshold > 0.05 AND threshold < 0.95)",

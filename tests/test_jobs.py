@@ -47,6 +47,9 @@ def test_whole_batch(spark, tmp_path):
     tables = batch.run(raw, str(tmp_path), cfg)
     n = tables["reviews"].count()
     assert tables["summary"].agg(F.sum("n_reviews")).first()[0] == n == tables["spam_detail"].count()
+    items = {r["item"]: r.item_id for r in tables["items"].collect()}
+    assert sorted(items.values()) == list(range(len(items)))
+    assert all(items[r["item"]] == r.item_id for r in tables["predictions"].select("item", "item_id").distinct().collect())
     failed = [r.check for r in tables["checks"].filter("level = 'required' and not ok").collect()]
     assert failed == []
     block = tables["report"].orderBy(F.desc("final_score")).first().block

@@ -62,3 +62,15 @@ def test_batch_plan_and_padding(spark):
     for r in B.pad_sequences(keyed, ["b"]).collect():
         assert len(r.padded) == r.width == r.b * 16
         assert r.padded[len(r.ids):] == [C.PAD_ID] * (r.width - len(r.ids))
+
+
+def test_batches_as_rows(spark):
+    """Nine sequences of one bucket, four to a batch, and one of the next; ties go by id."""
+    lengths = [5, 3, 3, 7, 2, 8, 1, 6, 4, 9]
+    rows = spark.createDataFrame([(i, [1] * n) for i, n in enumerate(lengths)], "row_id long, ids array<int>")
+    cfg = C.BatchConfig(batch_size=4, token_budget=1000, bucket_width=8, min_batch=1)
+    got = {r.row_id: (r.batch, r.slot) for r in B.batched_sequences(rows, cfg).collect()}
+    assert [got[i] for i in (6, 4, 1, 2)] == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert [got[i] for i in (8, 0, 7, 3)] == [(1, 0), (1, 1), (1, 2), (1, 3)]
+    assert got[5] == (2, 0) and got[9] == (3, 0)
+    assert B.batched_sequences(rows.filter("false"), cfg).count() == 0
