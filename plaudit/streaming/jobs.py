@@ -21,6 +21,13 @@ def read_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parque
     return reader.parquet(path)
 
 
+def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of a table that is one Parquet file or a folder of them, with the table's schema. The
+    last character is written as a glob: a path without one must be a folder."""
+    schema = spark.read.parquet(path).schema
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, "*", files_per_trigger)
+
+
 def dedup_stream(reviews: DataFrame, keys: list[str], text: str | None = "comment",
                  delay: str = "1 day") -> DataFrame:
     """Drop repeats of (keys, text) that arrive within the watermark. State holds digests."""
