@@ -11,30 +11,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaudit import config as C
 from plaudit.functions.text import letter_runs
-from plaudit.operators.scale import stable_copy
+from plaudit.operators.scale import bounded_batches, stable_copy
 
 #: Weights are logarithms in millionths, as whole numbers: sums are exact and ties are real ones.
 WEIGHT_SCALE = 1_000_000
+HAN_RUN = "[一-龥]+"
 
 
 def gram_counts(reviews: DataFrame, cfg: C.SegmentConfig = C.SegmentConfig(), text: Column | None = None) -> DataFrame:
-    """``gram, n``: how often every string of up to ``max_chars`` + 1 ideographs occurs in a run."""
+    """``gram, n``: how often every string of up to ``max_chars`` + 1 ideographs occurs in a run.
+    Runs are counted first, so a run that repeats is cut into strings once."""
     text = F.col("comment") if text is None else text
-    runs = F.filter(letter_runs(text), lambda r: r.rlike("^[一-龥]"))
-    rows = reviews.filter(text.rlike("[一-龥]")).select(F.explode(runs).alias("run"))
+    runs = F.regexp_extract_all(text, F.lit(HAN_RUN), F.lit(0))
+    rows = reviews.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("times"))
 
     def starts(size: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.length("run") - (size - 1)), lambda i: F.substring("run", i, F.lit(size)))
         return F.when(F.length("run") >= size, made).otherwise(F.array().cast("array<string>"))
 
-    grams = rows.select(F.explode(F.concat(*[starts(k + 1) for k in range(cfg.max_chars + 1)])).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = rows.select("times", F.explode(F.concat(*[starts(k + 1) for k in range(cfg.max_chars + 1)])).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("times").alias("n"))
 
 
 def word_statistics(counts: DataFrame, cfg: C.SegmentConfig = C.SegmentConfig()) -> DataFrame:
@@ -114,9 +118,11 @@ def segmenter(dictionary: DataFrame) -> Callable[[Column], Column]:
     character being in exactly one; other runs of letters are words as they stand.
 
     The dictionary is bounded by its ``max_words`` and goes to every task once. Only the runs of
-    ideographs of a text reach Python; a text without them costs an empty list.
+    ideographs of a text reach Python, in batches bounded by bytes; a text without them costs an
+    empty list.
     """
     spark = dictionary.sparkSession
+    bounded_batches(spark)
     rows = dictionary.select("word", "weight").toArrow()
     weights = dict(zip(rows.column("word").to_pylist(), rows.column("weight").to_pylist()))
     if not weights:
@@ -125,10 +131,13 @@ def segmenter(dictionary: DataFrame) -> Callable[[Column], Column]:
     unseen = min(weights.values()) - WEIGHT_SCALE
     held = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<array<string>>")
-    def cut(runs: pd.Series) -> pd.Series:
-        known = held.value
-        return pd.Series([[best_path(r, known, longest, unseen) for r in of] for of in runs], dtype=object)
+    @F.arrow_udf("array<array<string>>")
+    def cut(runs: pa.Array) -> pa.Array:
+        """Every distinct run of a batch is cut once; the rest is Arrow, without an object per run."""
+        known, flat = held.value, runs.flatten().dictionary_encode()
+        words = [best_path(r, known, longest, unseen) for r in flat.dictionary.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.list_(pa.string())).take(flat.indices))
 
     def tokenize(text: Column) -> Column:
         runs = F.coalesce(letter_runs(text), F.array().cast("array<string>"))
