@@ -111,9 +111,8 @@ def write_states(states: DataFrame, path: str, cfg: StateConfig = StateConfig(),
     segments in that range; a segment that has no rows any more gets an empty state. The bounds lie
     on segment borders."""
     size = cfg.rows_per_segment
-    writer = states.write.mode("overwrite").partitionBy("segment")
     if start is None and end is None:
-        writer.parquet(path)
+        _by_segment(states).write.mode("overwrite").partitionBy("segment").parquet(path)
         return
     if start is None or end is None or start % size or end % size:
         raise ValueError("a range must start and end on a segment border")
@@ -121,7 +120,14 @@ def write_states(states: DataFrame, path: str, cfg: StateConfig = StateConfig(),
     mine = states.filter(F.col("segment").between(first, last - 1))
     marks = states.sparkSession.range(first, last).select(F.col("id").alias("segment"), F.lit(0).cast("bigint").alias("n"))
     both = mine.unionByName(marks, allowMissingColumns=True)
-    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(path)
+    _by_segment(both).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(path)
+
+
+def _by_segment(states: DataFrame) -> DataFrame:
+    """Each segment in one task, so that it becomes one file, and not one for every task that has
+    rows of it. A state is bounded by the size of its segment."""
+    parts = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return states.repartition(parts, "segment")
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
