@@ -151,8 +151,11 @@ def sequence_stats(sequences: DataFrame, by: str = "split") -> DataFrame:
 def batch_plan(sequences: DataFrame, cfg: C.BatchConfig = C.BatchConfig(),
                ids: str = "ids") -> DataFrame:
     """Rows, batch size, batches and padding waste per length bucket."""
+    return _plan_of(sequences, F.size(ids), cfg)
+
+
+def _plan_of(sequences: DataFrame, n: Column, cfg: C.BatchConfig) -> DataFrame:
     w = cfg.bucket_width
-    n = F.size(ids)
     buckets = sequences.groupBy(F.ceil(n / w).cast("bigint").alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(n).alias("tokens")
     )
@@ -171,22 +174,21 @@ def batched_sequences(sequences: DataFrame, cfg: C.BatchConfig = C.BatchConfig()
     are ordered by length (ties by id) and cut into batches inside each length bucket; batches
     count from 0 over all buckets.
 
-    The places come from a range sort (``dense_index``), so a bucket may hold most of the rows.
+    The sequences are read once, into lengths that are stored. The places come from a range sort
+    (``dense_index``), so a bucket may hold most of the rows.
     The plan, one row per bucket, has at most the longest length over the bucket width.
     """
-    from plaudit.operators.scale import dense_index
+    from plaudit.operators.scale import dense_index, stable_copy
 
-    plan = batch_plan(sequences, cfg, ids)
+    lengths = stable_copy(sequences.select(row_id, F.size(ids).alias("length")))
+    plan = _plan_of(lengths, F.col("length"), cfg)
     earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = plan.select(
         F.col("bucket").alias("__bucket"), "batch_size",
         F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("__row"),
         F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("__batch"),
     )
-    length = F.size(ids)
-    rows = sequences.select(
-        row_id, F.ceil(length / cfg.bucket_width).cast("bigint").alias("bucket"), length.alias("length")
-    )
+    rows = lengths.select(row_id, F.ceil(F.col("length") / cfg.bucket_width).cast("bigint").alias("bucket"), "length")
     placed = dense_index(rows, ["bucket", "length", row_id], "__at")
     met = placed.join(F.broadcast(starts), F.col("bucket") == F.col("__bucket"))
     here = F.col("__at") - F.col("__row")
