@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plaudit.operators.scale import stable_copy
+from plaudit.operators.scale import bounded_batches, stable_copy
 
 #: Text of a chunk, whole lines of one block; a longer line is a chunk of its own.
 CHUNK_BYTES = 32 << 10
@@ -97,8 +97,10 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> DataFram
     Quotes inside a quoted field must be doubled, and a field that is not quoted holds none, as
     CSV writers do it; a quote that is never closed makes the rest of its file one record. Empty
     lines between records are no records. The text is stored once, in the shared folder. The open
-    blocks, 8 bytes for each block of ``spark.sql.files.maxPartitionBytes``, are broadcast.
+    blocks, 8 bytes for each block of ``spark.sql.files.maxPartitionBytes``, are broadcast. Python
+    gets batches bounded by bytes.
     """
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
