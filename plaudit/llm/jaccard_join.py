@@ -35,8 +35,8 @@ class JoinConfig:
     """``words`` per gram and ``threshold`` define the links; ``width``, ``levels``, ``limit``
     and ``recall`` the search. ``sketch`` is the number of smallest hashes kept of a set, and
     ``suspect`` the estimate from which a pair is a candidate. A bucket that cannot be split is
-    dealt into chunks of about ``chunk`` sets, each with the same ``pivots``; whether it can is
-    judged by ``judges`` of its sets before it is tried. A tile holds at
+    dealt into chunks of about ``chunk`` sets, and every two chunks are compared (``pivots`` has no
+    effect any more); whether it can is judged by ``judges`` of its sets before it is tried. A tile holds at
     most about ``tile`` sets and ``tile_tokens`` tokens."""
 
     words: int = 5
@@ -309,13 +309,13 @@ def candidates(sets: DataFrame, config: JoinConfig) -> DataFrame:
     leaves = stored(buckets(sets, config))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / config.chunk)).cast("int")
     dealt = leaves.select("path", "doc", chunks.alias("chunks"), F.pmod(F.xxhash64("doc", "path"), chunks).cast("int").alias("chunk"))
-    # The pivots of a large bucket: its first sets by hash, cut in the map tasks; one in each chunk.
-    order = W.partitionBy("path").orderBy(F.xxhash64(F.lit(config.seed), "doc"), "doc")
-    pivots = dealt.filter("chunks > 1").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.pivots)
-    everywhere = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("to <> chunk")
-    members = dealt.select("path", "chunk", "doc").unionByName(everywhere.select("path", F.col("to").alias("chunk"), "doc"))
+    # Every two chunks of a large bucket meet in a task, so that no pair of its sets is left out.
+    members = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = members.join(sets.select("doc", "sketch"), "doc")
-    rows = rows.select("path", "chunk", F.col("doc.id").alias("id"), F.col("doc.th").alias("th"), "sketch")
+    rows = rows.select(
+        "path", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"),
+        F.col("doc.id").alias("id"), F.col("doc.th").alias("th"), "sketch",
+    )
 
     def connect(group: pd.DataFrame) -> list[tuple]:
         if len(group) < 2:
@@ -325,7 +325,7 @@ def candidates(sets: DataFrame, config: JoinConfig) -> DataFrame:
         first = first_members(suspected(sketches, config))
         return [(int(ids[i]), int(ths[i]), int(ids[j]), int(ths[j])) for i, j in enumerate(first) if i != j]
 
-    found = _in_groups(rows, ["path", "chunk"], connect, "a_id long, a_th long, b_id long, b_th long").distinct()
+    found = _in_groups(rows, ["path", "c1", "c2"], connect, "a_id long, a_th long, b_id long, b_th long").distinct()
     return stored(found.select(F.struct(F.col("a_id").alias("id"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_th").alias("th")).alias("b")))
 
 
