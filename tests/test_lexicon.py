@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from plaudit import config as C
@@ -61,3 +62,14 @@ def test_large_lexicon_is_joined_by_hash_and_sort_alone(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and got._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
     assert got.filter("keyword = concat('w', hex(id * 7919), 'z')").count() == 3_000
+
+
+def test_matches_of_texts_in_one_piece_are_not_shuffled(spark):
+    """A text in one piece under its own keys needs no ``distinct``; others come out once still."""
+    texts = [(1, "Abab long ab"), (2, "ab " * 300), (3, "ab"), (3, "long AB"), (None, "a long"), (None, "long a"), (4, None)]
+    words = [("x", "ab"), ("y", "ab"), ("x", "long ab"), ("z", "b ab ab ab")]
+    rows = spark.createDataFrame(texts, "id long, t string")
+    got = L.contains_join(rows, ["id"], "t", spark.createDataFrame(words, "aspect string, keyword string"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(id=i, aspect=a, keyword=w) for i, a, w in brute(texts, words)]))
+    direct, rest = got._jdf.queryExecution().optimizedPlan().children().apply(0), got._jdf.queryExecution().optimizedPlan().children().apply(1)
+    assert "Aggregate [id" not in direct.toString() and "Aggregate [id" in rest.toString()
