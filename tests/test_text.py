@@ -125,3 +125,19 @@ def test_aspects_search_plainly(spark):
     tests = T.clause_aspects(F.col("c"), {"dot": ("a.b",), "word": ("this", "漢")})
     assert [r.a for r in made.select(tests.alias("a")).collect()] == [["dot", "word"], [], ["word"]]
     assert "RLIKE" not in made.select(tests)._jdf.queryExecution().analyzed().toString()
+
+
+def test_frequent_characters_start_no_match(spark):
+    """What makes up most of a text (plain spaces, letters beyond ASCII, letters that begin no word)
+    is told apart by one look at a character, with the results of the plain patterns."""
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(" \t\n　\u0085\x1c\x0baéſKtheWX微信.@") for _ in range(rnd.randint(0, 16))) for _ in range(2000)]
+    words = spark.createDataFrame([(t,) for t in [*texts, "the-end the", "xthe the!the"]], "t string")
+    lex = C.SentimentLexicon(positive=("the", "he-", "é^"), negative=("a]", "e"), whole_words=True)
+    bare = F.regexp_replace(F.regexp_replace("t", C.CONTROL_PATTERN, ""), r"(?U)\s+", " ")
+    hits = [F.regexp_count(F.lower("t"), F.lit(f"(?<![a-z])(?:{T.any_of(w)})(?![a-z])")) for w in (lex.positive, lex.negative)]
+    pairs = [(T.clean_text(F.col("t")), F.trim(bare)), (T.normalize_text(F.col("t")), F.regexp_replace("t", C.NON_WORD_PATTERN, "")),
+             (T.is_advert(F.col("t")), F.col("t").rlike(f"(?iU)(?:{C.AD_PATTERN})")), *zip(S.lexicon_counts(F.col("t"), lex), hits)]
+    for got, want in pairs:
+        assert words.filter(~got.eqNullSafe(want)).count() == 0
+    assert "\\x{80}" not in C.AD_FIRST and S.lexicon_counts(F.col("t"), lex)[0]._jc.toString().count("(?=[")
