@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plaudit import config as C
-from plaudit.functions.scoring import lexicon_p_pos
+from plaudit.functions.scoring import lexicon_p_pos, like_weight
 from plaudit.operators import aspects as A
 from plaudit.operators import keywords as K
+from plaudit.operators.scale import top_per_group
 
 LEX = C.SentimentLexicon()
 REVIEWS = [
@@ -97,3 +98,19 @@ def test_tokenizer_can_be_replaced(spark):
     df = spark.createDataFrame([(1, "m", 1, "a|bb|ccc")], "row_id bigint, item string, pred_sent int, comment string")
     bags = K.word_bags(df, tokenize=lambda c: F.split(c, r"\|"))
     assert {r.word for r in bags.collect()} == {"bb", "ccc"}
+
+
+@pytest.mark.parametrize("large", [0, 5, 10_000])
+def test_evidence_sorts_only_the_strongest(spark, monkeypatch, large):
+    """Large groups are cut first; ties, equal rows, missing scores and items come out as without."""
+    monkeypatch.setattr(A, "LARGE_GROUP", large)
+    rows = [(i % 90, None if i % 11 == 0 else f"m{i % 3}", f"c{i % 17}", f"a{i % 2}", None if i % 13 == 0 else (i * 7 % 10) / 10, i % 4) for i in range(300)]
+    mentions = spark.createDataFrame([*rows, *rows[:40]], "row_id long, item string, clause string, aspect string, p double, likes int").cache()
+    polar = mentions.withColumn("polarity", F.when(F.col("p") >= 0.5, "pos").otherwise("neg"))
+    polar = polar.withColumn("strength", 2 * F.abs(F.col("p") - 0.5) * like_weight(F.col("likes")))
+    group = ["item", "aspect", "polarity"]
+    want = top_per_group(polar, group, [F.desc("strength"), F.asc("clause"), F.asc("row_id")], CFG.evidence)
+    got = A.aspect_evidence(mentions, CFG)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    left = A._strongest(polar, group, 1).filter("item IS NOT NULL").count()
+    assert (left < 200) == (large < 10_000)
