@@ -37,6 +37,9 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+NOISE = np.random.default_rng(7).integers(1, 1 << 62, 4096, dtype=np.int64)
+#: Code points whose classes and signatures are held at a time: about 60 bytes each.
+BLOCK = 1 << 18
 OWN = ("bias", "log_words", "upper", "digit", "symbol", "bang", "punct", "wide", "repeats", "word_length", "seen")
 NEAR = ("upper", "symbol", "bang", "repeats")
 FEATURES = (*OWN, *[f"before_{n}" for n in NEAR], *[f"after_{n}" for n in NEAR])
@@ -71,49 +74,81 @@ class CrfModel:
     shift: float
 
 
-def line_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of the texts, the lengths of the lines in code points, and where
-    each text begins in the list of lines (one entry more than texts). An empty text is one
-    empty line."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+def _blocks(texts: Sequence[str]) -> Iterator[np.ndarray]:
+    """The code points of the texts, a newline behind each, in blocks of whole lines: no more than
+    ``BLOCK`` code points, unless a line has more."""
+    held, size = [], 0
+    for text in texts:
+        at = 0
+        while at <= len(text):
+            if len(text) - at < BLOCK - size:
+                held.append(text[at:])
+                size, at = size + len(text) - at + 1, len(text) + 1
+                continue
+            cut = text.rfind("\n", at, at + BLOCK - size)
+            if cut < 0 and not held:  # a line longer than a block
+                cut = text.find("\n", at)
+                cut = len(text) if cut < 0 else cut
+            if cut >= 0:
+                held.append(text[at:cut])
+                at = cut + 1
+            yield np.frombuffer("\n".join([*held, ""]).encode("utf-32-le", "replace"), np.uint32)
+            held, size = [], 0
+    if held:
+        yield np.frombuffer("\n".join([*held, ""]).encode("utf-32-le", "replace"), np.uint32)
+
+
+def _line_counts(codes: np.ndarray, before: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Of each line of a block: its length, the characters of each class, words, words equal to the
+    one before, and signature. ``before`` has the signature of the last word of the block before,
+    or nothing; so has what is returned beside."""
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n_lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    begin = np.concatenate([[0], np.cumsum(n_lines)])
     kinds = CLASSES[np.minimum(codes, 128)]
 
     def per_line(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
         return (total[ends] - total[starts]).astype(np.float32)
 
-    length = (ends - starts).astype(np.float32)
-    count = {k: per_line(kinds == k) for k in range(9)}
+    out = {k: per_line(kinds == k) for k in range(9)} | {"length": (ends - starts).astype(np.float32)}
     blank = kinds == _SPACE
     word_first = ~blank & np.concatenate([[True], blank[:-1]])
-    words = per_line(word_first)
     # A word's signature is the sum of random values of its characters, so equal words agree.
-    noise = np.random.default_rng(7).integers(1, 1 << 62, 4096, dtype=np.int64)
     with np.errstate(over="ignore"):
-        total = np.concatenate([[0], np.cumsum(np.where(blank, 0, noise[codes & 4095] + codes))])
+        total = np.concatenate([[0], np.cumsum(np.where(blank, 0, NOISE[codes & 4095] + codes))])
         at = np.flatnonzero(word_first)
-        signature = total[np.concatenate([at[1:], [len(codes)]])] - total[at]
-        line_sign = total[ends] - total[starts]
+        signature = np.concatenate([before, total[np.concatenate([at[1:], [len(codes)]])[: len(at)]] - total[at]])
+        out["sign"] = total[ends] - total[starts]
     again = np.zeros(len(codes), bool)
-    again[at[1:]] = signature[1:] == signature[:-1]
-    repeats = per_line(again)
-    seen = np.zeros(len(ends), np.float32)
+    again[at[len(at) - len(signature) + 1 :]] = signature[1:] == signature[:-1]
+    return out | {"words": per_line(word_first), "repeats": per_line(again)}, signature[-1:]
+
+
+def line_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of the texts, the lengths of the lines in code points, and where
+    each text begins in the list of lines (one entry more than texts). An empty text is one
+    empty line. What is held for each character is held for one block of lines at a time."""
+    n_lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(n_lines)])
+    found, last_word = [], np.zeros(0, np.int64)
+    for codes in _blocks(texts):
+        counts, last_word = _line_counts(codes, last_word)
+        found.append(counts)
+    count = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+    length, words, repeats, line_sign = (count[k] for k in ("length", "words", "repeats", "sign"))
+    seen = np.zeros(len(length), np.float32)
     owner = np.repeat(np.arange(len(texts)), n_lines)
-    order = np.lexsort((np.arange(len(ends)), line_sign, owner))
+    order = np.lexsort((np.arange(len(length)), line_sign, owner))
     same = (owner[order][1:] == owner[order][:-1]) & (line_sign[order][1:] == line_sign[order][:-1])
     seen[order[1:][same & (words[order][1:] > 0)]] = 1
     solid = np.maximum(length - count[_SPACE], 1)
     own = {
-        "bias": np.ones(len(ends), np.float32), "log_words": np.log1p(words) / 4, "upper": count[_UPPER] / solid,
+        "bias": np.ones(len(length), np.float32), "log_words": np.log1p(words) / 4, "upper": count[_UPPER] / solid,
         "digit": count[_DIGIT] / solid, "symbol": count[_SYMBOL] / solid, "bang": count[_BANG] / solid,
         "punct": count[_PUNCT] / solid, "wide": count[_WIDE] / solid, "repeats": repeats / np.maximum(words, 1),
         "word_length": np.minimum(solid / np.maximum(words, 1), 40) / 10, "seen": seen,
     }
-    inner_first = np.zeros(len(ends), bool)
+    inner_first = np.zeros(len(length), bool)
     inner_first[begin[:-1]] = True
     columns = [own[n] for n in OWN]
     for name in NEAR:

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -89,3 +90,20 @@ def test_edges(spark):
     assert Q.score(no_docs(spark), Q.train(no_docs(spark), no_labels(spark))).count() == 0
     flat = Q.score(docs, Q.train(docs, no_labels(spark))).toPandas()
     assert (flat["score"] == 0.5).all()
+
+
+def test_memory_of_features_is_that_of_a_block_of_lines(monkeypatch):
+    texts = [f"{i} {'Some words words, and more of them! ' * 20}\n" * 100 for i in range(100)]
+    Q.line_features(texts[:1])
+    tracemalloc.start()
+    try:
+        whole = Q.line_features(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * sum(a.nbytes for a in whole) + 60 * Q.BLOCK < 5 * sum(map(len, texts))  # it was 30 bytes a character
+    mixed = ["", "\n", "a a\na", "a a b\n\n b", "x" * 30 + "\nx y", "é é\t\U0001f600", " "]
+    want = Q.line_features(mixed)
+    for size in (1, 2, 5, 11):
+        monkeypatch.setattr(Q, "BLOCK", size)
+        assert all((a == b).all() for a, b in zip(want, Q.line_features(mixed))), size
