@@ -30,6 +30,8 @@ TAILS = 16
 LOG10 = math.log(10)
 #: Logits are cut here; exp of it is still a number, and trained ones stay far below.
 LARGEST = np.float32(60)
+#: Weights that Adam takes at a time: they stay in a core's cache.
+CHUNK = 1 << 14
 #: Key of documents without an id.
 NO_ID = (1 << 63) - 1
 
@@ -66,7 +68,7 @@ def tokens_of(text: str) -> list[bytes]:
 
 def tail_of(word: bytes) -> int:
     """Tail class of a word: letters beyond ASCII, mark at the end, length."""
-    wide = any(x > 127 for x in word)
+    wide = not word.isascii()
     last = word[-1] if word else 0
     mark = not (97 <= last <= 122 or last > 127)
     size = len(word)
@@ -97,10 +99,6 @@ class Vocabulary:
         return (count + self.smoothing) / (self.total + self.smoothing * (self.distinct + 1))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
-
-
 class Gru:
     """The network. Token ids below ``n_words`` are words (rank by count: class = rank modulo
     classes, place = rank // classes); the TAILS ids above are tail classes."""
@@ -111,6 +109,7 @@ class Gru:
         self.n_words, self.c, self.s = len(vocabulary.ids), vocabulary.classes, vocabulary.places
         self.e, self.h, self.config = config.embedding, config.hidden, config
         self.w = weights if weights is not None else self._start(vocabulary)
+        self._rooms: dict[str, np.ndarray] = {}
 
     def _start(self, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         """Random recurrent weights, output weights of zero and biases that give the counts."""
@@ -141,89 +140,140 @@ class Gru:
             at += size
         return out
 
+    def _room(self, name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+        """An array with any content; the memory is that of the last one called so, as new memory
+        for each window costs as much as the work in it."""
+        size = math.prod(shape)
+        if name not in self._rooms or self._rooms[name].size < size or self._rooms[name].dtype != dtype:
+            self._rooms[name] = np.empty(size, dtype)
+        return self._rooms[name][:size].reshape(shape)
+
     def steps(self, ids: np.ndarray, state: np.ndarray, keep: bool = False):
-        """Hidden states after each of the inputs ``ids`` (time, lane), from ``state`` on."""
-        w, h = self.w, self.h
-        x = w["emb"][ids]
-        gx = x.reshape(-1, self.e) @ w["wx"] + w["b"]
-        gx = gx.reshape(*ids.shape, 3 * h)
-        out, kept = np.empty((*ids.shape, h), np.float32), []
-        for t in range(len(ids)):
-            gh = state @ w["wh"]
-            zr = _sigmoid(gx[t, :, : 2 * h] + gh[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(gx[t, :, 2 * h :] + r * gh[:, 2 * h :])
-            new = n + z * (state - n)
-            if keep:
-                kept.append((state, z, r, n, gh[:, 2 * h :]))
-            out[t] = state = new
-        return out, kept, x
+        """Hidden states after each of the inputs ``ids`` (time, lane), from ``state`` on. With
+        ``keep`` also what ``backward`` needs and the embeddings, good until the next call."""
+        w, h, (size, lanes) = self.w, self.h, ids.shape
+        kind = w["wx"].dtype
+        x = np.take(w["emb"], ids, axis=0, out=self._room("x", (size, lanes, self.e), kind), mode="clip")
+        gx = np.matmul(x.reshape(-1, self.e), w["wx"], out=self._room("gx", (size * lanes, 3 * h), kind))
+        gx += w["b"]
+        gx = gx.reshape(size, lanes, 3 * h)
+        out, held = np.empty((size, lanes, h), np.float32), size if keep else 1
+        befores, zrs, ns, ghs = (self._room(k, (held, lanes, d * h), kind) for k, d in (("before", 1), ("zr", 2), ("n", 1), ("gh", 3)))
+        new = self._room("new", (lanes, h), kind)
+        new[...] = state
+        for t in range(size):
+            at = t if keep else 0
+            before, zr, n, gh = befores[at], zrs[at], ns[at], ghs[at]
+            before[...] = new
+            np.dot(before, w["wh"], out=gh)
+            np.add(gx[t, :, : 2 * h], gh[:, : 2 * h], out=zr)
+            zr *= kind.type(0.5)  # sigmoid
+            np.tanh(zr, out=zr)
+            zr *= kind.type(0.5)
+            zr += kind.type(0.5)
+            np.multiply(zr[:, h:], gh[:, 2 * h :], out=n)
+            n += gx[t, :, 2 * h :]
+            np.tanh(n, out=n)
+            np.subtract(before, n, out=new)
+            new *= zr[:, :h]
+            new += n
+            out[t] = new
+        return out, (befores, zrs, ns, ghs) if keep else None, x
 
     def log_probs(self, hidden: np.ndarray, target: np.ndarray, gradient: bool = False):
         """Natural logarithms of P(target) for rows of hidden states. A tail class counts as its
-        class only. With ``gradient`` also the gradients of the mean negative sum."""
-        w, n = self.w, len(target)
+        class only. With ``gradient`` also the gradients of the mean negative sum, good until the
+        next call."""
+        w, n, kind = self.w, len(target), np.result_type(hidden, self.w["wc"])
         word = target < self.n_words
         cls = np.where(word, target % self.c, self.c + target - self.n_words)
-        logits = hidden @ w["wc"]
+        logits = np.matmul(hidden, w["wc"], out=self._room("p", (n, self.c + TAILS), kind))
         logits += w["bc"]
-        np.minimum(logits, LARGEST, out=logits)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
         rows = np.arange(n)
-        out = logits[rows, cls] - np.log(total[:, 0])
-        g, dh = {}, None
+
+        def softmax(logits: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log probabilities of ``picked``, and the sums of what ``logits`` then holds: their exp."""
+            if logits.size and logits.max() > LARGEST:
+                np.minimum(logits, LARGEST, out=logits)
+            mine = logits[rows, picked]
+            sums = np.exp(logits, out=logits).sum(1, keepdims=True)
+            return mine - np.log(sums[:, 0]), sums
+
+        out, total = softmax(logits, rows, cls)
+        p, g, dh = logits, {}, None
         if gradient:
             p /= total
             p[rows, cls] -= 1
             p /= n
             dh = p @ w["wc"].T
-            g = {"wc": hidden.T @ p, "bc": p.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-        order = np.argsort(np.where(word, cls, self.c), kind="stable")
-        bounds = np.searchsorted(cls[order[: word.sum()]], np.arange(self.c + 1))
-        for c in range(self.c):
-            mine = order[bounds[c] : bounds[c + 1]]
-            if not len(mine):
-                continue
-            here, place = hidden[mine], target[mine] // self.c
-            y = here @ w["ww"][c]
-            y += w["bw"][c]
-            np.minimum(y, LARGEST, out=y)
-            at = np.arange(len(mine))
-            mine_of = y[at, place]
-            q = np.exp(y, out=y)
-            sums = q.sum(1, keepdims=True)
-            out[mine] += mine_of - np.log(sums[:, 0])
-            if gradient:
-                q /= sums
-                q[at, place] -= 1
-                q /= n
-                g["ww"][c], g["bw"][c] = here.T @ q, q.sum(0)
-                dh[mine] += q @ w["ww"][c].T
+            g = {"wc": hidden.T @ p, "bc": p.sum(0), "ww": self._room("ww", w["ww"].shape, kind), "bw": np.zeros_like(w["bw"])}
+            g["ww"].fill(0)
+        short = self.c + TAILS < 1 << 15  # sorts small numbers faster
+        order = np.argsort(cls.astype(np.int16) if short else cls, kind="stable")  # words first, by class
+        bounds = np.searchsorted(cls[order], np.arange(self.c + 1)).tolist()
+        mine = order[: bounds[-1]]
+        here, place, at = np.take(hidden, mine, axis=0), target[mine] // self.c, rows[: len(mine)]
+        spans = [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if a < b]
+        q = self._room("q", (len(mine), self.s), kind)
+        for c, a, b in spans:
+            part = np.dot(here[a:b], w["ww"][c], out=q[a:b])
+            part += w["bw"][c]
+        inner, sums = softmax(q, at, place)
+        out[mine] += inner
+        if gradient and spans:
+            q /= sums
+            q[at, place] -= 1
+            q /= n
+            back = self._room("back", (len(mine), self.h), kind)
+            for c, a, b in spans:
+                np.dot(here[a:b].T, q[a:b], out=g["ww"][c])
+                np.sum(q[a:b], axis=0, out=g["bw"][c])
+                np.dot(q[a:b], w["ww"][c].T, out=back[a:b])
+            dh[mine] += back
         return out, g, dh
 
-    def backward(self, ids: np.ndarray, kept: list, x: np.ndarray, dh: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, ids: np.ndarray, kept: tuple, x: np.ndarray, dh: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the recurrent part, from those of the hidden states (time, lane, hidden);
-        nothing flows out of the window."""
-        w, h = self.w, self.h
-        dgx = np.empty((*ids.shape, 3 * h), np.float32)
-        dwh = np.zeros_like(w["wh"])
-        carry = np.zeros_like(dh[0])
-        for t in range(len(ids) - 1, -1, -1):
-            state, z, r, n, ghn = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (state - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dgx[t] = np.concatenate([dz, dr, dn], 1)
-            dgh = np.concatenate([dz, dr, dn * r], 1)
-            dwh += state.T @ dgh
-            carry = d * z + dgh @ w["wh"].T
+        nothing flows out of the window. Good until the next call."""
+        w, h, (size, lanes) = self.w, self.h, ids.shape
+        before, zr, n, gh = kept
+        kind = n.dtype
+        r, ghn = zr[..., h:], gh[..., 2 * h :]
+        z, shut_z, shut_n, ahead = (self._room(k, n.shape, kind) for k in ("z", "shut_z", "shut_n", "ahead"))
+        shut_zr = np.subtract(1, zr, out=self._room("shut_zr", zr.shape, kind))
+        z[...], shut_z[...] = zr[..., :h], shut_zr[..., :h]
+        np.multiply(n, n, out=shut_n)
+        np.subtract(1, shut_n, out=shut_n)
+        np.subtract(before, n, out=ahead)
+        dgx, dgh = self._room("dgx", (size, lanes, 3 * h), kind), self._room("dgh", (lanes, 3 * h), kind)
+        d, dn, dz, dr, carry = (self._room(k, (lanes, h), kind) for k in ("d", "dn", "dz", "dr", "carry"))
+        dwh, add = np.zeros_like(w["wh"]), np.empty_like(w["wh"])
+        carry.fill(0)
+        for t in range(size - 1, -1, -1):
+            np.add(dh[t], carry, out=d)
+            np.multiply(d, shut_z[t], out=dn)
+            dn *= shut_n[t]
+            np.multiply(d, ahead[t], out=dz)
+            dz *= z[t]
+            dz *= shut_z[t]
+            np.multiply(dn, ghn[t], out=dr)
+            dr *= r[t]
+            dr *= shut_zr[t, :, h:]
+            dgh[:, :h], dgh[:, h : 2 * h], dgh[:, 2 * h :] = dz, dr, dn
+            dgx[t] = dgh
+            dgh[:, 2 * h :] *= r[t]
+            dwh += np.dot(before[t].T, dgh, out=add)
+            np.dot(dgh, w["wh"].T, out=carry)
+            d *= z[t]
+            carry += d
         flat = dgx.reshape(-1, 3 * h)
-        demb = np.zeros_like(w["emb"])
-        order = np.argsort(ids, axis=None, kind="stable")
-        seen, first = np.unique(ids.reshape(-1)[order], return_index=True)
-        demb[seen] = np.add.reduceat((flat @ w["wx"].T)[order], first, axis=0)
+        demb = self._room("demb", w["emb"].shape, kind)
+        demb.fill(0)
+        each = ids.reshape(-1)
+        order = np.argsort(each.astype(np.int16) if len(demb) < 1 << 15 else each, kind="stable")
+        each = each[order]
+        starts = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+        demb[each[starts]] = np.add.reduceat(np.take(flat @ w["wx"].T, order, axis=0), starts, axis=0)
         return {"wx": x.reshape(-1, self.e).T @ flat, "b": flat.sum(0), "wh": dwh, "emb": demb}
 
 
@@ -233,14 +283,15 @@ class Trainer:
 
     def __init__(self, net: Gru, config: LmConfig, end: int):
         self.net, self.config, self.end, self.t, self.tokens = net, config, end, 0, 0
+        net.w = {k: np.ascontiguousarray(v) for k, v in net.w.items()}  # updated in flat pieces
         self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.w.items()}
-        self.lanes: list[tuple[np.ndarray, int]] = []  # documents and how far they are read
+        self.lanes: list[tuple[np.ndarray, int]] = []  # documents, the end before each, and how far they are read
         self.state = np.zeros((0, net.h), np.float32)
 
     def read(self, document: np.ndarray) -> None:
         """Takes the token ids of a document; trains as long as no lane is free for the next."""
-        self.lanes.append((document, 0))
+        self.lanes.append((np.concatenate([[self.end], document]).astype(np.int32), 0))
         self.state = np.concatenate([self.state, np.zeros((1, self.net.h), np.float32)])
         while len(self.lanes) >= self.config.lanes:
             self._window()
@@ -251,25 +302,28 @@ class Trainer:
             self._window()
 
     def _window(self) -> None:
-        size = min(self.config.window, max(len(d) - at for d, at in self.lanes))
-        inputs = np.full((size, len(self.lanes)), self.end, np.int32)
-        targets, live = np.zeros_like(inputs), np.zeros(inputs.shape, bool)
-        for j, (d, at) in enumerate(self.lanes):
-            part = d[at : at + size]
-            targets[: len(part), j], live[: len(part), j] = part, True
-            before = d[max(at - 1, 0) : at + len(part) - 1]
-            inputs[len(part) - len(before) : len(part), j] = before
+        left = np.array([len(d) - 1 - at for d, at in self.lanes])
+        size = min(self.config.window, int(left.max()))
+        tokens = np.full((len(self.lanes), size + 1), self.end, np.int32)
+        for row, (d, at) in zip(tokens, self.lanes):
+            part = d[at : at + size + 1]
+            row[: len(part)] = part
+        inputs, targets = np.ascontiguousarray(tokens[:, :-1].T), tokens[:, 1:].T
+        live = np.arange(size)[:, None] < left
         hidden, kept, x = self.net.steps(inputs, self.state, keep=True)
-        _, g, dh = self.net.log_probs(hidden[live], targets[live], gradient=True)
+        at = np.flatnonzero(live)
+        _, g, dh = self.net.log_probs(np.take(hidden.reshape(-1, self.net.h), at, axis=0), targets[live], gradient=True)
         full = np.zeros_like(hidden)
-        full[live] = dh
+        full.reshape(-1, self.net.h)[at] = dh
         g |= self.net.backward(inputs, kept, x, full)
         seen = int(live.sum())
         share = np.float32(seen / (self.config.lanes * self.config.window))  # each token weighs alike
-        self._update({k: v * share for k, v in g.items()})
+        for v in g.values():
+            v *= share
+        self._update(g)
         self.tokens += seen
         ahead = [(d, at + size) for d, at in self.lanes]
-        stay = [j for j, (d, at) in enumerate(ahead) if at < len(d)]
+        stay = [j for j, (d, at) in enumerate(ahead) if at < len(d) - 1]
         self.lanes, self.state = [ahead[j] for j in stay], hidden[-1][stay]
 
     def _update(self, g: dict[str, np.ndarray]) -> None:
@@ -278,13 +332,17 @@ class Trainer:
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         rate = self.config.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            x = x * scale
-            m, v = self.m[k], self.v[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * x
-            v *= np.float32(0.99)
-            v += np.float32(0.01) * x * x
-            self.net.w[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-6))
+            every = [a.reshape(-1) for a in (x, self.m[k], self.v[k], self.net.w[k])]
+            for at in range(0, x.size, CHUNK):
+                part, m, v, w = (a[at : at + CHUNK] for a in every)
+                part *= scale
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * part
+                v *= np.float32(0.99)
+                v += np.float32(0.01) * part * part
+                np.sqrt(v, out=part)
+                part += np.float32(1e-6)
+                w -= np.float32(rate) * m / part
 
 
 def log_likelihoods(net: Gru, documents: list[np.ndarray], end: int) -> np.ndarray:
@@ -308,7 +366,8 @@ def log_likelihoods(net: Gru, documents: list[np.ndarray], end: int) -> np.ndarr
             inputs = np.where(time > 0, flat[np.maximum(place - 1, 0)], end)
             hidden, _, _ = net.steps(inputs, state[:k])
             state = hidden[-1]
-            got, _, _ = net.log_probs(hidden[live], target[live])
+            at_once = np.take(hidden.reshape(-1, net.h), np.flatnonzero(live), axis=0)
+            got, _, _ = net.log_probs(at_once, target[live])
             total[:k] += np.bincount(np.broadcast_to(np.arange(k), live.shape)[live], weights=got, minlength=k)
         out[mine] = total / LOG10
     return out

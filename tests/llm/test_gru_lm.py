@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -148,3 +149,18 @@ def test_every_part_of_a_long_document_is_learned_from(spark):
         moved = [*words[:at], *sorted(words[at : at + 40]), *words[at + 40 :]]
         other = G.train(docs_of(spark, [" ".join(moved)]), vocabulary, SMALL)
         assert any((plain[k] != other[k]).any() for k in plain), at
+
+
+def test_windows_use_the_same_memory_again():
+    config, ids = G.LmConfig(), {b"w%d" % i: i for i in range(4095)} | {G.END: 4095}
+    vocabulary = G.Vocabulary(ids, dict.fromkeys(ids, 5), 5 * 4096, 4096, np.full(G.TAILS, 0.01), 0.1)
+    trainer, rng = G.Trainer(G.Gru(vocabulary, config), config, ids[G.END]), np.random.default_rng(1)
+    for _ in range(config.lanes - 1):
+        trainer.read(rng.integers(0, len(ids) + G.TAILS, 400).astype(np.int32))
+    trainer._window()
+    tracemalloc.start()
+    try:
+        trainer._window()
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000  # it was 6.3 MB
+    finally:
+        tracemalloc.stop()
