@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import docs_of, edge_docs, no_docs
 
@@ -164,3 +165,29 @@ def test_windows_use_the_same_memory_again():
         assert tracemalloc.get_traced_memory()[1] < 3_000_000  # it was 6.3 MB
     finally:
         tracemalloc.stop()
+
+
+def test_texts_are_cut_in_batches_of_columns():
+    texts = ["Ab  c\x85d\r\n", "", None, " \x0b ", "ÄA é\u2003É 7. x", "no" * 9]
+    tokens, bounds = G.tokens_of(pa.array(texts, pa.string()))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [[*(t or "").translate(lower).encode().split(), G.END] for t in texts]
+    assert [tokens.to_pylist()[a:b] for a, b in zip(bounds, bounds[1:])] == want
+    assert G.tails_of(tokens).tolist() == [G.tail_of(w) for ws in want for w in ws]
+    assert G.tails_of(tokens[2:]).tolist() == [G.tail_of(w) for ws in want for w in ws][2:]
+    assert len(G.tails_of(tokens[:0])) == 0
+    vocabulary, _ = small_model()
+    assert G.ids_of(pa.array([b"w0", b"zz", G.END, b"w15"], pa.binary()), vocabulary).tolist() == [0, 10 + G.tail_of(b"zz"), vocabulary.ids[G.END], 10 + G.tail_of(b"w15")]
+
+
+def test_scoring_holds_what_a_cache_holds():
+    config, ids = G.LmConfig(), {b"w%d" % i: i for i in range(4095)} | {G.END: 4095}
+    vocabulary = G.Vocabulary(ids, dict.fromkeys(ids, 5), 5 * 4096, 4096, np.full(G.TAILS, 0.01), 0.1)
+    net, rng = G.Gru(vocabulary, config), np.random.default_rng(1)
+    docs = [rng.integers(0, len(ids) + G.TAILS, 40).astype(np.int32) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        G.log_likelihoods(net, docs, ids[G.END])
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000  # it was 74 MB
+    finally:
+        tracemalloc.stop()
