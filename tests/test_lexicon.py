@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from plaudit import config as C
 from plaudit.operators import aspects as A
 from plaudit.operators import lexicon as L
+from plaudit.operators import word_search as S
 
 
 def brute(texts, words):
@@ -73,3 +76,59 @@ def test_matches_of_texts_in_one_piece_are_not_shuffled(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, [Row(id=i, aspect=a, keyword=w) for i, a, w in brute(texts, words)]))
     direct, rest = got._jdf.queryExecution().optimizedPlan().children().apply(0), got._jdf.queryExecution().optimizedPlan().children().apply(1)
     assert "Aggregate [id" not in direct.toString() and "Aggregate [id" in rest.toString()
+
+
+def test_words_on_bytes_against_contains(monkeypatch):
+    """Short words, words in blocks that share their beginning, words over the end of a text, and
+    texts longer than a slice."""
+    rnd = random.Random(3)
+    for _ in range(120):
+        letters = rnd.choice(["ab", "ab\0c", "abcdefg h", "aé漢😀", "é漢"])
+        make = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+        texts = [None if rnd.random() < 0.05 else make(rnd.randint(0, 80)) for _ in range(rnd.randint(0, 50))] + [make(1500)]
+        words = {make(rnd.choice([1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 24, 25, 30])).encode(): 0 for _ in range(50)}
+        words = {w: i for i, w in enumerate([*words, (texts[-1][3:60]).encode()])}
+        monkeypatch.setattr(S, "SLICE", rnd.choice([8, 100, 1 << 16]))
+        monkeypatch.setattr(S, "SLICE_ROWS", rnd.choice([1, 7, 8192]))
+        column = pa.array([None, "a", *texts], pa.string()).slice(2)
+        got = {(start + (int(p) >> S.ROW_AT), int(p) & S.ID_MASK) for start, _, found in S.search([(S.Words(words), column)]) for p in found}
+        assert got == {(r, i) for r, t in enumerate(texts) if t for w, i in words.items() if w in t.encode()}
+
+
+REPEATED = [(1, 0, "Abab long ab"), (1, 1, "ab " * 300), (1, 2, "x"), (2, 0, "ab"), (2, 0, "long AB"), (2, 70, "b ab long"), (2, None, "ab"),
+            (None, 0, "a long"), (None, 0, "long a"), (None, 1, "été"), (4, 0, None), (1, 90, "Été ab"), (2, 1, "ab"), (5, 3, "aB"), (5, 2, "ab")]
+WORDS = [("x", "ab"), ("y", "ab"), ("x", "AB"), ("x", "long ab"), ("z", "b ab ab ab ab"), ("z", "Été"), ("y", "a")]
+
+
+@pytest.mark.parametrize("held", [1 << 17, -1])
+def test_matches_and_their_counts_for_both_sizes_of_a_lexicon(spark, monkeypatch, held):
+    """Repeated and null keys count once, also if only some texts of a review repeat their keys."""
+    monkeypatch.setattr(L, "HELD_WORDS", held)
+    rows = spark.createDataFrame(REPEATED, "id long, pos int, t string")
+    lexicon = spark.createDataFrame(WORDS, "aspect string, keyword string")
+    want = brute([((i, p), t) for i, p, t in REPEATED], WORDS)
+    got = L.contains_join(rows, ["id", "pos"], "t", lexicon).collect()
+    assert len(got) == len(want) and {((r.id, r.pos), r.aspect, r.keyword) for r in got} == want
+    counts = L.contains_join(rows, ["id", "pos"], "t", lexicon, per=["id"])
+    assert counts.columns == ["id", "aspect", "keyword", "n"]
+    assert sorted(map(str, map(tuple, counts.collect()))) == sorted(str((*k, n)) for k, n in Counter((i, a, w) for (i, _), a, w in want).items())
+
+
+def test_counts_of_a_review_over_several_slices(spark):
+    n = 2 * S.SLICE_ROWS + 10
+    rows = spark.range(n + 500).selectExpr(f"if(id < {n}, 7, id) AS id", "cast(id AS int) AS pos", "if(id % 3 = 0, 'ab', 'c') AS t").coalesce(1)
+    lexicon = spark.createDataFrame([("x", "ab"), ("y", "c"), ("x", "b")], "aspect string, keyword string")
+    counts = L.contains_join(rows, ["id", "pos"], "t", lexicon, per=["id"])
+    want = (n + 2) // 3
+    assert sorted(map(tuple, counts.filter("id = 7").drop("id").collect())) == [("x", "ab", want), ("x", "b", want), ("y", "c", n - want)]
+    assert counts.filter("id <> 7").count() == sum(2 if i % 3 == 0 else 1 for i in range(n, n + 500))
+
+
+def test_counting_query_makes_no_row_per_match(spark, tmp_path):
+    """Matches are counted in the batches that find them; only parts of a review are summed."""
+    rows = spark.range(40).selectExpr("id", "explode(sequence(0, 99)) AS pos").selectExpr("id", "pos", "concat('ab ', pos) AS t").coalesce(2)
+    rows.write.parquet(str(tmp_path / "rows"))
+    lexicon = spark.createDataFrame([("x", "ab"), ("y", "a")], "aspect string, keyword string")
+    counts = L.contains_join(spark.read.parquet(str(tmp_path / "rows")), ["id", "pos"], "t", lexicon, per=["id"])
+    assert "pos" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == sorted((i, a, w, 100) for i in range(40) for a, w in (("x", "ab"), ("y", "a")))
