@@ -132,3 +132,25 @@ def test_counting_query_makes_no_row_per_match(spark, tmp_path):
     counts = L.contains_join(spark.read.parquet(str(tmp_path / "rows")), ["id", "pos"], "t", lexicon, per=["id"])
     assert "pos" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, counts.collect())) == sorted((i, a, w, 100) for i in range(40) for a, w in (("x", "ab"), ("y", "a")))
+
+
+@pytest.mark.parametrize("held", [1 << 17, -1])
+def test_mentions_under_repeated_keys(spark, monkeypatch, held):
+    """Clauses at the same place of reviews with the same id share their aspects; without an id there are none."""
+    monkeypatch.setattr(L, "HELD_WORDS", held)
+    texts = [(1, "plot one, music"), (1, "song, music"), (2, "plot, plot, song"), (None, "plot"), (3, "none")]
+    reviews = spark.createDataFrame([(i, "m", 1, t) for i, t in texts], "row_id long, item string, likes int, comment string")
+    table = spark.createDataFrame([("story", "plot"), ("sound", "music"), ("sound", "song"), ("all", "o")], "aspect string, keyword string")
+    got = L.lexicon_mentions(reviews, lambda c: F.length(c) / 100.0, table, C.AspectConfig(clause_pattern="[,.!;]+", min_clause_chars=3))
+    assert sorted(map(tuple, got.select("row_id", "pos", "clause", "aspect").collect())) == sorted([
+        (1, 0, "plot one", "all"), (1, 0, "plot one", "sound"), (1, 0, "plot one", "story"), (1, 0, "song", "all"), (1, 0, "song", "sound"),
+        (1, 0, "song", "story"), (1, 1, "music", "sound"), (1, 1, "music", "sound"), (2, 0, "plot", "all"), (2, 0, "plot", "story"),
+        (2, 1, "song", "all"), (2, 1, "song", "sound"), (3, 0, "none", "all")])
+
+
+def test_mentions_of_clauses_under_keys_of_their_own_are_not_joined(spark):
+    reviews = spark.range(50).selectExpr("id AS row_id", "'m' AS item", "1 AS likes", "'plot, music' AS comment")
+    table = spark.createDataFrame([("story", "plot"), ("sound", "music")], "aspect string, keyword string")
+    got = L.lexicon_mentions(reviews, lambda c: F.length(c) / 100.0, table, C.AspectConfig(clause_pattern="[,.!;]+"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and got.count() == 100
